@@ -9,35 +9,79 @@ a true match.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import fits_broadcast
+from .staging import measure
+
+PIECE = 256
 
 
 def find_needles(
-    texts: DataFrame,
-    text: str,
-    needles: DataFrame,
-    needle: str,
-    head: int = 1,
-    measured: bool = False,
+    texts: DataFrame, text: str, needles: DataFrame, needle: str, head: int = 1
 ) -> DataFrame:
     """The columns of both sides plus ``start``: one row per occurrence.
 
-    ``needles`` must hold each needle once and none shorter than ``head`` characters.
-    ``measured`` sizes the needle table, which costs a small job, and broadcasts it when it
-    fits; without it the optimizer decides from what it knows.
+    For short texts such as names. ``needles`` must hold each needle once and none shorter
+    than ``head`` characters. The optimizer chooses how to join.
     """
-    heads = needles.groupBy(F.substring(needle, 1, head).alias("_head")).agg(
+    return _find(texts, text, needles, needle, _heads(needles, needle, head), head)
+
+
+def find_in_texts(
+    texts: DataFrame, text: str, needles: DataFrame, needle: str, head: int = 1
+) -> DataFrame:
+    """The same for texts of any length against a dictionary.
+
+    The dictionary is measured (a small job) and broadcast when it fits. Texts are cut into
+    pieces that overlap by the longest needle: a row per position then carries a piece, not
+    the text, and a long text costs no more per character than a short one. ``texts`` should
+    carry a short key besides the text; ``text`` itself is not returned.
+    """
+    size = measure(needles, needle)
+    heads = _heads(needles, needle, head)
+    if size.fits:  # then its heads fit too
+        needles, heads = F.broadcast(needles), F.broadcast(heads)
+    step, overlap = max(PIECE, size.longest), max(size.longest - 1, 0)
+    pieces = texts.select(
+        *[c for c in texts.columns if c != text],
+        F.posexplode(_pieces(F.col(text), step)).alias("_n", "_piece"),
+    ).select(
+        "*",
+        F.col("_piece.own").alias("_own"),
+        F.concat("_piece.own", F.substring("_piece.next", 1, overlap)).alias("_text"),
+    )
+    found = _find(pieces, "_text", needles, needle, heads, head, F.length("_own"))
+    return found.withColumn("start", F.col("_n") * step + F.col("start")).drop(
+        "_n", "_piece", "_own", "_text"
+    )
+
+
+def _pieces(text: Column, step: int) -> Column:
+    """Consecutive pieces of ``step`` characters, each with the one after it."""
+    cut = F.when(F.length(text) <= step, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+    )
+    following = F.concat(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), F.array(F.lit("")))
+    return F.zip_with(
+        cut, following, lambda own, after: F.struct(own.alias("own"), after.alias("next"))
+    )
+
+
+def _heads(needles: DataFrame, needle: str, head: int) -> DataFrame:
+    return needles.groupBy(F.substring(needle, 1, head).alias("_head")).agg(
         F.collect_set(F.length(needle)).alias("_lengths")
     )
-    if measured and fits_broadcast(needles):  # then its heads fit too
-        needles, heads = F.broadcast(needles), F.broadcast(heads)
+
+
+def _find(texts, text, needles, needle, heads, head, last_start=None) -> DataFrame:
     body = F.col(text)
+    last = F.length(body) - head + 1
+    if last_start is not None:  # starts beyond belong to the next piece
+        last = F.least(last, last_start)
     cuts = (
         texts.where(F.length(body) >= head)
-        .withColumn("start", F.explode(F.sequence(F.lit(1), F.length(body) - head + 1)))
+        .withColumn("start", F.explode(F.sequence(F.lit(1), last)))
         .withColumn("_head", F.substring(body, F.col("start"), F.lit(head)))
         .join(heads, "_head")
         .withColumn("_length", F.explode("_lengths"))

@@ -9,6 +9,8 @@ from ..functions.dates import question_date
 from ..functions.text import asks_for_release, one_repeated_character, patch_vendor, strip
 from .vendors import resolve_vendor, vendors_in_names
 
+SHORT_TEXT = 128
+
 # Branches and the flow each is logged under.
 PATCH_FOR, LINUX_TEXT, OS_VERSION, UNKNOWN = "patch_for", "linux_text", "os", "unknown"
 
@@ -37,12 +39,12 @@ def add_vendors(df: DataFrame, vendor_names: DataFrame, boundary: bool = False)
 
     ``df`` holds each text once, so nothing here is skewed by repeated questions.
     """
-    named = resolve_vendor(df, "text", vendor_names, boundary)
+    named = resolve_vendor(df, vendor_names, boundary)
     listed = vendors_in_names(df, "parsed_vendor", vendor_names).withColumn(
         "vendor_in_names", F.lit(True)
     )
     return (
-        df.join(named, "text", "left")
+        df.join(named, "text_key", "left")
         .join(listed, "parsed_vendor", "left")
         .withColumn("vendor_in_names", F.coalesce("vendor_in_names", F.lit(False)))
         .withColumn(
@@ -72,6 +74,18 @@ def route(df: DataFrame, strict: bool = False) -> DataFrame:
     return df.withColumn("branch", branch).withColumn("flow", flow)
 
 
+def text_key(text: Column) -> Column:
+    """Key of a text in joins and groupings: the text, or a digest of a long one."""
+    return F.when(F.length(text) <= SHORT_TEXT, text).otherwise(F.sha2(text, 256))
+
+
+def with_texts(questions: DataFrame, *keep: str) -> DataFrame:
+    """``(question_id, text, text_key, *keep)`` of every question."""
+    return questions.select("question_id", question_text(questions).alias("text"), *keep).withColumn(
+        "text_key", text_key(F.col("text"))
+    )
+
+
 def distinct_texts(questions: DataFrame) -> DataFrame:
-    """Each distinct question text once. Copies are folded before the shuffle."""
-    return questions.select(question_text(questions).alias("text")).distinct()
+    """``(text_key, text)``, each text once. Copies are folded before the shuffle."""
+    return with_texts(questions).groupBy("text_key").agg(F.first("text").alias("text"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +48,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Count the rows and text bytes of a dictionary against the bound (one small job)."""
+@dataclass(frozen=True)
+class Size:
+    fits: bool
+    longest: int
+
+
+def measure(df: DataFrame, text: str) -> Size:
+    """Rows and text bytes of a dictionary against the bound, and its longest ``text``."""
     texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    size = df.agg(
+    found = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(c) for c in texts],
+        F.coalesce(F.max(F.length(text)), F.lit(0)).alias("longest"),
+        *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(f"{c}_bytes") for c in texts],
     ).first()
-    payload = sum(size[c] for c in texts) + ROW_OVERHEAD * size["rows"]
-    return size["rows"] <= BROADCAST_ROWS and payload <= BROADCAST_BYTES
+    payload = sum(found[f"{c}_bytes"] for c in texts) + ROW_OVERHEAD * found["rows"]
+    fits = found["rows"] <= BROADCAST_ROWS and payload <= BROADCAST_BYTES
+    return Size(fits, found["longest"])

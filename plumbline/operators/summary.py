@@ -183,7 +183,7 @@ def today_top_vendors(
     """Vendors of one day among the most recent events, or among all with ``recent=None``.
     An event without a time counts as that day's; ties go to the one listed first."""
     rows = events if recent is None else recent_events(events, recent)
-    age = F.struct(-F.unix_millis("ts"), F.col("pos"))
+    age = F.struct(-F.unix_micros("ts"), F.col("pos"))
     counted = (
         rows.where(F.coalesce(F.to_date("ts"), F.lit(as_of)) == F.lit(as_of))
         .groupBy(F.coalesce(empty_to_null(strip("vendor")), F.lit("Unknown")).alias("vendor"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, strip
-from .containment import find_needles
+from .containment import find_in_texts, find_needles
 
-WORD_CHARACTER = "[A-Za-z0-9_]"
+WORD_EDGE = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
+EDGE_MARK = "\x01"
 
 
 def distinct_names(vendor_names: DataFrame) -> DataFrame:
@@ -25,31 +26,41 @@ def distinct_names(vendor_names: DataFrame) -> DataFrame:
 
 
 def resolve_vendor(
-    texts: DataFrame, text: str, vendor_names: DataFrame, boundary: bool = False
+    texts: DataFrame,
+    vendor_names: DataFrame,
+    boundary: bool = False,
+    key: str = "text_key",
+    text: str = "text",
 ) -> DataFrame:
     """The longest listed name inside each text; equal lengths go to the earlier name.
 
-    ``texts`` holds each text once. Returns ``(text, vendor_name)`` for texts with a match.
-    Names of one letter are ignored. ``boundary`` asks for whole words.
+    ``texts`` holds each ``key`` once. Returns ``(key, vendor_name)`` for texts with a
+    match. Names of one letter are ignored. ``boundary`` asks for whole words.
     """
     names = distinct_names(vendor_names).where(F.length("folded") >= 2)
-    bodies = texts.select(text, F.lower(F.col(text)).alias("_body"))
-    hits = find_needles(bodies, "_body", names, "folded", head=2, measured=True)
+    body = F.lower(F.col(text))
     if boundary:
-        before = F.substring("_body", F.col("start") - 1, F.lit(1))
-        after = F.substring("_body", F.col("start") + F.length("folded"), F.lit(1))
-        starts_word = (F.col("start") == 1) | ~before.rlike(WORD_CHARACTER)
-        hits = hits.where(starts_word & ~after.rlike(WORD_CHARACTER))
+        hits = _whole_words(texts.select(key, body.alias("_body")), names)
+    else:
+        hits = find_in_texts(texts.select(key, body.alias("_body")), "_body", names, "folded", 2)
     longest = F.min(F.struct(-F.length("folded"), "pos", "name")).alias("longest")
-    return hits.groupBy(text).agg(longest).select(
-        text, F.col("longest.name").alias("vendor_name")
-    )
+    return hits.groupBy(key).agg(longest).select(key, F.col("longest.name").alias("vendor_name"))
+
+
+def _whole_words(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Occurrences between word edges: the edges are marked in texts and names alike, so that
+    a name's marks must meet the text's."""
+    def marked(col):
+        return F.regexp_replace(col, WORD_EDGE, EDGE_MARK)
+
+    bodies = texts.withColumn("_body", marked("_body"))
+    return find_in_texts(bodies, "_body", names.withColumn("marked", marked("folded")), "marked", 2)
 
 
 def vendors_in_names(vendors: DataFrame, vendor: str, vendor_names: DataFrame) -> DataFrame:
     """The vendors that contain a listed name or lie inside one, each once."""
     asked = vendors.select(fold(vendor).alias(vendor)).where(F.col(vendor) != "").distinct()
     names = distinct_names(vendor_names).select("folded")
-    holding = find_needles(asked, vendor, names, "folded", measured=True).select(vendor)
+    holding = find_needles(asked, vendor, names, "folded").select(vendor)
     held = find_needles(names, "folded", asked, vendor).select(vendor)
     return holding.unionByName(held).distinct()

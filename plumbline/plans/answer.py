@@ -25,8 +25,8 @@ from ..operators.questions import (
     add_vendors,
     distinct_texts,
     parse,
-    question_text,
     route,
+    with_texts,
 )
 from ..operators.releases import PATCH, search_releases
 from ..operators.staging import stage
@@ -273,15 +273,16 @@ def answer_questions(
 ) -> DataFrame:
     """One answer row per question. ``keep`` names question columns to carry along."""
     routed = stage(
-        route_texts(distinct_texts(questions), vendor_names, options).drop("normalized"), "routed"
+        route_texts(distinct_texts(questions), vendor_names, options).drop("text", "normalized"),
+        "routed",
     )
     requests = routed.where(F.col("lookup").isNotNull()).select(*REQUEST).distinct()
     evidence = stage(
         format_evidence(find_evidence(requests, releases, options), releases), "evidence"
     )
     rows = (
-        questions.select("question_id", question_text(questions).alias("text"), *keep)
-        .join(routed, "text", "left")
+        with_texts(questions, *keep)
+        .join(routed, "text_key", "left")
         .join(evidence, REQUEST, "left")
     )
     answers = conclude(rows, releases, options)

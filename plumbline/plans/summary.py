@@ -84,6 +84,7 @@ def build_summary(events: DataFrame, wanted: SummaryFilter) -> DataFrame:
         F.struct(
             F.unix_millis("ts").alias("ts"),
             "status", "flow", "vendor", "latency_ms", "reason", "is_vendor_found", "pos",
+            F.unix_micros("ts").alias("at"),
         ).alias("event")
     )
 
@@ -106,7 +107,7 @@ def build_summary(events: DataFrame, wanted: SummaryFilter) -> DataFrame:
         _listed("vendor", by_size).alias("vendors"),
         _listed("reason", by_size).alias("reasons"),
         _listed("day", F.struct("label", "count")).alias("days"),
-        _listed("recent", F.struct(-event["ts"], event["pos"], event)).alias("recent"),
+        _listed("recent", F.struct(-event["at"], event["pos"], event)).alias("recent"),
     )
 
     def top(name, as_name):
@@ -158,5 +159,5 @@ def build_summary(events: DataFrame, wanted: SummaryFilter) -> DataFrame:
         n("answered").alias("responded_count"),
         n("abstained").alias("abstain_count_kpi"),
         n("os_queries").alias("os_query_count"),
-        F.transform("recent", lambda x: x["event"].dropFields("pos")).alias("recent"),
+        F.transform("recent", lambda x: x["event"].dropFields("pos", "at")).alias("recent"),
     )

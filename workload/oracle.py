@@ -492,7 +492,7 @@ def summary(rows: str, days: int, flow: str, status: str, vendor: str) -> str:
 
 TODAY = """select coalesce(nullif(trim(vendor), ''), 'Unknown') as vendor, count(*) as count
   from ({rows}) where ts::date = {as_of} group by 1
-  order by 2 desc, arg_min(pos, (-epoch_us(ts) // 1000, pos)), 1 limit 3"""
+  order by 2 desc, min((-epoch_us(ts), pos)) limit 3"""
 
 LANDED = """select page * 4294967296 + idx as pos, id, name, version_number, ts_ms, is_cve,
     array_to_string(tags, '|') as tags
@@ -500,12 +500,6 @@ LANDED = """select page * 4294967296 + idx as pos, id, name, version_number, ts_
           row_number() over (partition by pos // 32 order by pos) - 1 as idx from releases)
   where page % 7 in ({kinds})"""
 
-BLANKS = (
-    "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160), chr(5760), chr(8192), "
-    "chr(8193), chr(8194), chr(8195), chr(8196), chr(8197), chr(8198), chr(8199), chr(8200), "
-    "chr(8201), chr(8202), chr(8232), chr(8233), chr(8239), chr(8287), chr(12288), chr(65279))"
-)
-
 CLEAN = r"""array_to_string(list_filter(
     list_transform(string_split(answer, chr(10)), lambda l: trim(l)), lambda l: l <> ''
     and not (coalesce(version, '') <> '' and regexp_matches(lower(l), '^(patch\s*)?version\s*:'))
@@ -537,13 +531,13 @@ def statements() -> dict[str, str]:
             "questions",
             "named",
         ),
-        "resolve_vendor_in_documents": f"""
-            with names as (select distinct unnest([source, lang]) as name from documents),
-            bodies as (select distinct trim(text, {BLANKS}) as text from documents)
-            select md5(text) as text_md5, name as vendor_name from (
-              select text, name, row_number() over (
-                partition by text order by length(name) desc, name) as rn
-              from bodies join names on length(name) >= 2 and contains(lower(text), lower(name)))
+        "resolve_vendor_in_documents": """
+            with names as (select distinct unnest([source, lang]) as name from documents)
+            select doc_id, name as vendor_name from (
+              select doc_id, name, row_number() over (
+                partition by doc_id order by length(name) desc, length(name), name) as rn
+              from documents join names
+                on length(name) >= 2 and contains(lower(text), lower(name)))
             where rn = 1""",
         "vendor_in_names": sql("select parsed_vendor from listed", "listed"),
         "vendor_found_flag": sql(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import formatting as fmt
 from plumbline.functions.dates import date_digits
-from plumbline.functions.text import strip
 from plumbline.operators import events as ev
 from plumbline.operators import lookups, questions, releases, summary, vendors
 from plumbline.operators.percentiles import exact_percentiles
@@ -47,6 +46,10 @@ def flat(name: str):
     return F.array_join(name, "|").alias(name)
 
 
+def asked(spark, sf_dir):
+    return questions.with_texts(views.questions(spark, sf_dir))
+
+
 def texts(spark, sf_dir):
     return questions.parse(questions.distinct_texts(views.questions(spark, sf_dir)))
 
@@ -56,16 +59,14 @@ def texts(spark, sf_dir):
 
 @query
 def parse_questions(spark, sf_dir):
-    rows = views.questions(spark, sf_dir)
-    parsed = questions.parse(rows.select("question_id", questions.question_text(rows).alias("text")))
+    parsed = questions.parse(asked(spark, sf_dir))
     return parsed.select("question_id", "normalized", "parsed_vendor", "parsed_date")
 
 
 @query
 def parse_questions_day_first(spark, sf_dir):
-    rows = views.questions(spark, sf_dir)
-    asked = rows.select("question_id", questions.question_text(rows).alias("text"))
-    return questions.parse(asked, day_first=True).select("question_id", "parsed_date")
+    parsed = questions.parse(asked(spark, sf_dir), day_first=True)
+    return parsed.select("question_id", "parsed_date")
 
 
 @query
@@ -86,24 +87,18 @@ def route_questions_strict(spark, sf_dir):
 @query
 def resolve_vendor(spark, sf_dir):
     """The vendor of every question, not only of every text."""
-    rows = views.questions(spark, sf_dir)
-    asked = rows.select("question_id", questions.question_text(rows).alias("text"))
-    named = vendors.resolve_vendor(
-        questions.distinct_texts(rows), "text", views.vendor_names(spark, sf_dir)
-    )
-    return asked.join(named, "text", "left").select("question_id", "vendor_name")
+    once = questions.distinct_texts(views.questions(spark, sf_dir))
+    named = vendors.resolve_vendor(once, views.vendor_names(spark, sf_dir))
+    return asked(spark, sf_dir).join(named, "text_key", "left").select("question_id", "vendor_name")
 
 
 @query
 def resolve_vendor_in_documents(spark, sf_dir):
     """Source and language names occurring anywhere in the long documents."""
     docs = views.table(spark, sf_dir, "documents")
-    bodies = docs.select(strip("text").alias("text")).distinct()
     words = docs.select(F.explode(F.array("source", "lang")).alias("name")).distinct()
     listed = words.select(F.length("name").cast("bigint").alias("pos"), "name")
-    return vendors.resolve_vendor(bodies, "text", listed).select(
-        F.md5("text").alias("text_md5"), "vendor_name"
-    )
+    return vendors.resolve_vendor(docs, listed, key="doc_id")
 
 
 @query
@@ -115,11 +110,11 @@ def vendor_in_names(spark, sf_dir):
 
 @query
 def vendor_found_flag(spark, sf_dir):
-    rows = views.questions(spark, sf_dir)
-    asked = rows.select("question_id", questions.question_text(rows).alias("text"))
     flags = questions.add_vendors(texts(spark, sf_dir), views.vendor_names(spark, sf_dir))
-    return asked.join(flags.select("text", "is_vendor_found"), "text", "left").select(
-        "question_id", "is_vendor_found"
+    return (
+        asked(spark, sf_dir)
+        .join(flags.select("text_key", "is_vendor_found"), "text_key", "left")
+        .select("question_id", "is_vendor_found")
     )
 
 
