@@ -6,18 +6,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import empty_to_null
+
 # Fixed value: the first M-D-YYYY or M/D/YYYY in a question.
 QUESTION_DATE = r"(\d{1,2})[-/](\d{1,2})[-/](\d{4})"
 
 
 def question_date(question: Column, day_first: bool = False) -> Column:
     """YYYYMMDD digits of the first date in the text, or null. No calendar check."""
-    first, second = (
-        F.lpad(F.regexp_extract(question, QUESTION_DATE, group), 2, "0") for group in (1, 2)
-    )
+    found = empty_to_null(F.regexp_extract(question, QUESTION_DATE, 0))
+    parts = F.split(found, "[-/]")
+    first, second = (F.lpad(F.get(parts, i), 2, "0") for i in (0, 1))
     month, day = (second, first) if day_first else (first, second)
-    year = F.regexp_extract(question, QUESTION_DATE, 3)
-    return F.when(question.rlike(QUESTION_DATE), F.concat(year, month, day))
+    return F.concat(F.get(parts, 2), month, day)
 
 
 def date_digits(value: Column) -> Column:

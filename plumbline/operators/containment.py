@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .staging import measure
 
-PIECE = 256
+PIECE = 32
 
 
 def find_needles(
@@ -43,29 +43,34 @@ def find_in_texts(
     if size.fits:  # then its heads fit too
         needles, heads = F.broadcast(needles), F.broadcast(heads)
     step, overlap = max(PIECE, size.longest), max(size.longest - 1, 0)
-    pieces = texts.select(
-        *[c for c in texts.columns if c != text],
-        F.posexplode(_pieces(F.col(text), step)).alias("_n", "_piece"),
-    ).select(
-        "*",
-        F.col("_piece.own").alias("_own"),
-        F.concat("_piece.own", F.substring("_piece.next", 1, overlap)).alias("_text"),
+    keys = [c for c in texts.columns if c != text]
+    following = F.concat(
+        F.slice("_cut", 2, F.greatest(F.size("_cut") - 1, F.lit(0))), F.array(F.lit(""))
     )
-    found = _find(pieces, "_text", needles, needle, heads, head, F.length("_own"))
+    overlapping = F.zip_with(
+        "_cut",
+        following,
+        lambda own, after: F.struct(
+            F.length(own).alias("own"),
+            F.concat(own, F.substring(after, 1, overlap)).alias("text"),
+        ),
+    )
+    pieces = (
+        texts.select(*keys, _pieces(F.col(text), step).alias("_cut"))
+        .select(*keys, F.posexplode(overlapping).alias("_n", "_piece"))
+        .select(*keys, "_n", "_piece.own", F.col("_piece.text").alias("_text"))
+    )
+    found = _find(pieces, "_text", needles, needle, heads, head, F.col("own"))
     return found.withColumn("start", F.col("_n") * step + F.col("start")).drop(
-        "_n", "_piece", "_own", "_text"
+        "_n", "own", "_text"
     )
 
 
 def _pieces(text: Column, step: int) -> Column:
-    """Consecutive pieces of ``step`` characters, each with the one after it."""
-    cut = F.when(F.length(text) <= step, F.array(text)).otherwise(
+    """Consecutive pieces of ``step`` characters."""
+    return F.when(F.length(text) <= step, F.array(text)).otherwise(
         F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
     )
-    following = F.concat(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), F.array(F.lit("")))
-    return F.zip_with(
-        cut, following, lambda own, after: F.struct(own.alias("own"), after.alias("next"))
-    )
 
 
 def _heads(needles: DataFrame, needle: str, head: int) -> DataFrame:

@@ -1,10 +1,10 @@
 """Evidence lookups: the one release that answers each request.
 
-A lookup takes ``requests(key, date)``, each pair once and ``date`` empty when none was
-asked, and returns them with ``pos``, the chosen release (null when there is none).
-Releases are first folded to one row per key and date, map-side, so a vendor holding a
-third of the corpus reaches a shuffle as a few dates. Only positions travel; the texts of
-the chosen releases are fetched at the end by :func:`attach_releases`.
+A lookup takes ``requests(key, date)``, each pair once, ``date`` as digits and empty when
+none was asked. It returns them with ``pos``, the chosen release, null when there is none.
+Each has two forms: one that reads the release table, and one (``pick_…``) that reads a
+folded index. Only positions travel; the texts of the chosen releases are fetched at the
+end by :func:`attach_releases`.
 """
 
 from __future__ import annotations
@@ -12,19 +12,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import date_digits, undashed
+from ..functions.dates import date_digits
 from .containment import find_needles
+from .index import (
+    BY_DATE,
+    BY_TAG,
+    CORPUS,
+    NEWEST,
+    build,
+    date_entries,
+    first_position,
+    product_entries,
+    vendor_entries,
+)
 from .nearest import nearest_points
-from .releases import match_columns, tagged_patches
+from .releases import match_columns
+from .staging import measure, stage
 
 DATED_LENGTH = 6
 
 
-def first_position(releases: DataFrame) -> Column:
-    """Position of the first release, as a scalar subquery."""
-    return releases.agg(F.min("pos")).scalar()
-
-
 def product_release(
     requests: DataFrame, releases: DataFrame, fallback: str = "first"
 ) -> DataFrame:
@@ -34,35 +41,36 @@ def product_release(
     date wins over the nearest; among equals the newest does. An unknown product gets the
     first release of the corpus, or nothing with ``fallback='none'``.
     """
-    wanted = requests.select("key").distinct()
-    names = F.array_distinct(F.concat(F.array("name_lower"), F.col("tags_lower")))
-    keyed = (
-        match_columns(releases)
-        .select(F.explode(names).alias("key"), "date_norm", "newest")
-        .join(wanted, "key", "left_semi")
-    )
-    dated = keyed.groupBy("key", "date_norm").agg(F.min("newest").alias("best"))
-    newest = dated.groupBy("key").agg(F.min("best").alias("latest"))
+    entries = keep_asked(product_entries(releases), requests)
+    return pick_product(requests, build(entries), fallback)
+
+
+def keep_asked(entries: DataFrame, requests: DataFrame) -> DataFrame:
+    """Product entries of the requested keys, and those that count the corpus."""
+    wanted = requests.select("key").union(requests.sparkSession.range(1).select(F.lit("")))
+    return entries.join(wanted.distinct(), "key", "left_semi")
+
+
+def pick_product(requests: DataFrame, index: DataFrame, fallback: str = "first") -> DataFrame:
+    dated = index.where(F.col("rule") == BY_DATE).select("key", "date", F.col("order").alias("same"))
+    newest = dated.groupBy("key").agg(F.min("same").alias("latest"))
     points = (
-        dated.where(F.length("date_norm") >= DATED_LENGTH)
-        .groupBy("key", F.col("date_norm").cast("int").alias("at"))
-        .agg(F.min("best").alias("best"))
+        dated.where(F.length("date") >= DATED_LENGTH)
+        .groupBy("key", F.col("date").cast("int").alias("at"))
+        .agg(F.min("same").alias("best"))
     )
     asked = requests.where(F.col("date") != "")
     probes = asked.select("key", F.col("date").try_cast("int").alias("at")).distinct()
     nearest = nearest_points(probes, points).withColumnRenamed("best", "near")
-    exact = dated.where(F.col("date_norm") != "").select(
-        "key", F.col("date_norm").alias("date"), F.col("best").alias("same")
-    )
     found = (
         requests.withColumn("at", F.col("date").try_cast("int"))
-        .join(exact, ["key", "date"], "left")
+        .join(dated.where(F.col("date") != ""), ["key", "date"], "left")
         .join(nearest, ["key", "at"], "left")
         .join(newest, "key", "left")
     )
     pos = F.coalesce(F.col("same.pos"), F.col("near.pos"), F.col("latest.pos"))
     if fallback == "first":
-        pos = F.coalesce(pos, first_position(releases))
+        pos = F.coalesce(pos, first_position(index))
     return found.select("key", "date", pos.alias("pos"))
 
 
@@ -87,29 +95,12 @@ def vendor_patch(
     ``match='any_field'`` instead looks for the vendor inside any tag, the name or the
     brand, and goes by release date only.
     """
-    patches = tagged_patches(match_columns(releases))
+    return pick_vendor(requests, build(vendor_entries(releases, match)), match)
+
+
+def pick_vendor(requests: DataFrame, index: DataFrame, match: str = "first_tag") -> DataFrame:
     by_tag = match == "first_tag"
-    if not by_tag:
-        fields = F.array_distinct(F.concat("tags_lower", F.array("name_lower", "brand_lower")))
-        patches = patches.withColumn("key", F.explode(fields))
-
-    # One entry per rule a release can win by: rank of the rule, date, order within it.
-    first = F.struct(F.lit(0).cast("long").alias("age"), F.col("pos").alias("pos"))
-    entries = [
-        F.array(
-            _entry(F.lit(1), F.col("date_norm"), first),
-            _entry(F.lit(2), F.lit(""), F.col("newest")),
-        )
-    ]
-    if by_tag:
-        dates = F.filter(F.col("tags"), lambda t: t.rlike(r"\A[0-9]{1,8}\z"))
-        dates = F.coalesce(dates, F.array().cast("array<string>"))
-        entries.append(F.transform(dates, lambda t: _entry(F.lit(0), t, first)))
-    index = (
-        patches.select("key", F.explode(F.concat(*entries)).alias("e"))
-        .groupBy("key", "e.rule", "e.date")
-        .agg(F.min("e.order").alias("order"))
-    )
+    index = index.where(F.col("rule") != CORPUS).select("key", "rule", F.col("date").alias("on"), "order")
 
     vendors = requests.select(F.col("key").alias("vendor")).distinct()
     keys = index.select("key").distinct()
@@ -118,23 +109,20 @@ def vendor_patch(
         inside = find_needles(vendors, "vendor", keys.where(F.col("key") != ""), "key")
         anyone = vendors.select("vendor", F.lit("").alias("key"))
         pairs = pairs.unionByName(inside.select("vendor", "key")).unionByName(anyone)
-    pairs = pairs.distinct()
-
-    rules = F.when(F.col("date") == "", F.array(_probe(2, F.lit("")))).otherwise(
-        F.array(
-            *([_probe(0, F.col("date"))] if by_tag else []),
-            _probe(1, F.col("date")),
-            _probe(2, F.lit("")),
-        )
-    )
-    probes = requests.select("key", "date", F.explode(rules).alias("p")).select(
-        F.col("key").alias("vendor"), "date", "p.rule", F.col("p.on").alias("on")
+
+    def probe(rule: int, on: Column) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), on.alias("on"))
+
+    newest, exact = probe(NEWEST, F.lit("")), probe(BY_DATE, F.col("date"))
+    dated = [probe(BY_TAG, F.col("date"))] if by_tag else []
+    rules = F.when(F.col("date") == "", F.array(newest)).otherwise(F.array(*dated, exact, newest))
+    probes = requests.select(
+        F.col("key").alias("vendor"), "date", F.inline(rules)
     )
-    asked = probes.select("rule", F.col("on").alias("date")).distinct()
     by_vendor = (
-        index.join(asked, ["rule", "date"], "left_semi")
-        .join(pairs, "key")
-        .groupBy("vendor", "rule", F.col("date").alias("on"))
+        index.join(probes.select("rule", "on").distinct(), ["rule", "on"], "left_semi")
+        .join(pairs.distinct(), "key")
+        .groupBy("vendor", "rule", "on")
         .agg(F.min("order").alias("order"))
     )
     chosen = (
@@ -146,14 +134,6 @@ def vendor_patch(
     return requests.select("key", "date").join(chosen, ["key", "date"], "left")
 
 
-def _entry(rule: Column, date: Column, order: Column) -> Column:
-    return F.struct(rule.alias("rule"), date.alias("date"), order.alias("order"))
-
-
-def _probe(rule: int, on: Column) -> Column:
-    return F.struct(F.lit(rule).alias("rule"), on.alias("on"))
-
-
 def dated_patch(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     """The release of a candidate set for a date, or its newest one.
 
@@ -162,47 +142,56 @@ def dated_patch(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     date. Without a fit, or for a date without digits, the first candidate is taken.
     ``requests`` may carry any ``key``; the candidates are the same for all.
     """
-    docs = match_columns(candidates)
-    heads = docs.groupBy(F.substring(undashed(F.col("release_date")), 1, 8).alias("stem")).agg(
-        F.min("pos").alias("first"), F.min("newest").alias("newest")
+    return pick_dated(requests, build(date_entries(candidates)))
+
+
+def pick_dated(requests: DataFrame, index: DataFrame) -> DataFrame:
+    stems = index.where(F.col("rule") == BY_DATE).select(
+        F.col("date").alias("stem"), F.col("order.pos").alias("first")
     )
     asked = requests.select("date").where(F.col("date") != "").distinct()
     asked = asked.withColumn("digits", date_digits(F.col("date")))
 
     # "Starts with" in either direction, as equality of prefixes.
-    lengths = F.sequence(F.lit(0), F.length("digits"))
-    prefixes = asked.select(
-        "date", F.explode(F.transform(lengths, lambda n: F.substring(F.col("digits"), F.lit(1), n))).alias("stem")
-    )
-    shorter = prefixes.join(heads, "stem").select("date", "first")
+    def prefixes(name: str) -> Column:
+        ends = F.sequence(F.lit(0), F.length(name))
+        return F.explode(F.transform(ends, lambda n: F.substring(F.col(name), F.lit(1), n)))
+
+    shorter = asked.select("date", prefixes("digits").alias("stem")).join(stems, "stem")
     longer = (
-        heads.withColumn(
-            "digits",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(0), F.length("stem")),
-                    lambda n: F.substring(F.col("stem"), F.lit(1), n),
-                )
-            ),
-        )
+        stems.select(prefixes("stem").alias("digits"), "first")
         .groupBy("digits")
         .agg(F.min("first").alias("first"))
         .join(asked, "digits")
-        .select("date", "first")
     )
-    fitting = shorter.unionByName(longer).groupBy("date").agg(F.min("first").alias("fit"))
-    no_digits = date_digits(F.col("date")) == ""
-    pos = F.when(
-        F.col("date") == "", heads.agg(F.min("newest").alias("newest")).select("newest.pos").scalar()
-    ).otherwise(
-        F.coalesce(F.when(~no_digits, F.col("fit")), heads.agg(F.min("first")).scalar())
+    fitting = (
+        shorter.select("date", "first")
+        .unionByName(longer.select("date", "first"))
+        .groupBy("date")
+        .agg(F.min("first").alias("fit"))
     )
-    return requests.select("key", "date").join(fitting, "date", "left").select(
-        "key", "date", pos.alias("pos")
+    newest = index.where(F.col("rule") == NEWEST).select("order.pos").scalar()
+    has_digits = date_digits(F.col("date")) != ""
+    pos = F.when(F.col("date") == "", newest).otherwise(
+        F.coalesce(F.when(has_digits, F.col("fit")), first_position(index))
+    )
+    return (
+        requests.select("key", "date")
+        .join(fitting, "date", "left")
+        .select("key", "date", pos.alias("pos"))
     )
 
 
-def attach_releases(chosen: DataFrame, releases: DataFrame) -> DataFrame:
-    """Add the chosen releases' columns, null where no release was chosen."""
+def attach_releases(
+    chosen: DataFrame, releases: DataFrame, work_folder: str | None = None
+) -> DataFrame:
+    """Add the chosen releases' columns, null where no release was chosen.
+
+    The choice is staged and measured before the wide table is touched: when its positions
+    fit a broadcast, the table is filtered where it is read and never shuffled.
+    """
+    chosen = stage(chosen, "chosen", work_folder)
     wanted = chosen.select("pos").where(F.col("pos").isNotNull()).distinct()
+    if measure(wanted).fits:
+        wanted = F.broadcast(wanted)
     return chosen.join(releases.join(wanted, "pos", "left_semi"), "pos", "left")

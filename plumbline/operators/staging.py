@@ -40,12 +40,17 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, work_folder: str | None = None) -> DataFrame:
     """Write a frame once and read it back: later branches scan narrow Parquet columns
-    instead of repeating the work, and a lost executor costs no recomputation."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    instead of repeating the work, and a lost executor costs no recomputation.
+
+    Each call takes a new folder, to be cleared with the checkpoints. With ``work_folder`` it
+    overwrites one there, as a stream does batch after batch.
+    """
+    spark = df.sparkSession
+    path = f"{work_folder}/{label}" if work_folder else new_folder(spark, label)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -54,12 +59,13 @@ class Size:
     longest: int
 
 
-def measure(df: DataFrame, text: str) -> Size:
+def measure(df: DataFrame, text: str | None = None) -> Size:
     """Rows and text bytes of a dictionary against the bound, and its longest ``text``."""
     texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    longest = F.max(F.length(text)) if text else F.lit(0)
     found = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.max(F.length(text)), F.lit(0)).alias("longest"),
+        F.coalesce(longest, F.lit(0)).alias("longest"),
         *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(f"{c}_bytes") for c in texts],
     ).first()
     payload = sum(found[f"{c}_bytes"] for c in texts) + ROW_OVERHEAD * found["rows"]

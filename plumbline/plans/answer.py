@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting as fmt
 from ..functions.tags import mentions_vendor
-from ..operators.lookups import attach_releases, dated_patch, product_release, vendor_patch
+from ..operators.index import build, corpus_size, date_entries, product_entries, vendor_entries
+from ..operators.lookups import (
+    attach_releases,
+    keep_asked,
+    pick_dated,
+    pick_product,
+    pick_vendor,
+)
 from ..operators.questions import (
     LINUX_TEXT,
     OS_VERSION,
@@ -101,23 +108,49 @@ def feeds(releases: DataFrame, options: Options) -> dict[str, DataFrame]:
     }
 
 
-def find_evidence(requests: DataFrame, releases: DataFrame, options: Options) -> DataFrame:
-    """Requests with the position of their release."""
+def build_index(
+    releases: DataFrame,
+    options: Options = Options(),
+    requests: DataFrame | None = None,
+    work_folder: str | None = None,
+) -> DataFrame:
+    """The staged index of all lookups, folded together. With ``requests``, products nobody
+    asks for are left out; without, the index serves any questions on these releases."""
     corpus = feeds(releases, options)
+    products = product_entries(corpus[OS_VERSION])
+    if requests is not None:
+        products = keep_asked(products, requests.where(F.col("lookup") == OS_VERSION))
+    parts = {
+        OS_VERSION: products,
+        PATCH_FOR: vendor_entries(corpus[PATCH_FOR], options.match),
+        LINUX_TEXT: date_entries(corpus[LINUX_TEXT]),
+    }
+    entries = [df.withColumn("lookup", F.lit(lookup)) for lookup, df in parts.items()]
+    whole = entries[0].unionByName(entries[1]).unionByName(entries[2])
+    return build(whole, "lookup", work_folder=work_folder)
+
+
+def find_evidence(requests: DataFrame, index: DataFrame, options: Options) -> DataFrame:
+    """Requests with the position of their release."""
+
+    def of(df, lookup):
+        return df.where(F.col("lookup") == lookup).drop("lookup")
 
-    def of(lookup):
-        return requests.where(F.col("lookup") == lookup).select("key", "date")
+    def both(lookup):
+        return of(requests, lookup), of(index, lookup)
 
     found = {
-        OS_VERSION: product_release(of(OS_VERSION), corpus[OS_VERSION], options.fallback),
-        PATCH_FOR: vendor_patch(of(PATCH_FOR), corpus[PATCH_FOR], options.match),
-        LINUX_TEXT: dated_patch(of(LINUX_TEXT), corpus[LINUX_TEXT]),
+        OS_VERSION: pick_product(*both(OS_VERSION), options.fallback),
+        PATCH_FOR: pick_vendor(*both(PATCH_FOR), options.match),
+        LINUX_TEXT: pick_dated(*both(LINUX_TEXT)),
     }
     parts = [df.withColumn("lookup", F.lit(lookup)) for lookup, df in found.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def format_evidence(found: DataFrame, releases: DataFrame) -> DataFrame:
+def format_evidence(
+    found: DataFrame, releases: DataFrame, work_folder: str | None = None
+) -> DataFrame:
     """Answer columns for each request, null where there is no release."""
     docs = releases.select(
         F.col("pos"),
@@ -129,7 +162,7 @@ def format_evidence(found: DataFrame, releases: DataFrame) -> DataFrame:
             )
         ],
     )
-    df = attach_releases(found, docs)
+    df = attach_releases(found, docs, work_folder)
     c = {name.removeprefix("doc_"): F.col(name) for name in docs.columns if name != "pos"}
     lookup, has_doc = F.col("lookup"), F.col("pos").isNotNull()
     main = (
@@ -194,17 +227,17 @@ def _reason(options: Options) -> Column:
     )
 
 
-def conclude(rows: DataFrame, releases: DataFrame, options: Options) -> DataFrame:
+def conclude(rows: DataFrame, index: DataFrame, options: Options) -> DataFrame:
     """Turn routed rows joined with their evidence into answer rows."""
     branch = F.col("branch")
-    sizes = {
-        lookup: feed.agg(F.count(F.lit(1)).alias("n")).scalar()
-        for lookup, feed in feeds(releases, options).items()
-    }
-    items = (
-        F.when(F.col("lookup") == PATCH_FOR, sizes[PATCH_FOR])
-        .when(F.col("lookup") == LINUX_TEXT, sizes[LINUX_TEXT])
-        .when(F.col("lookup") == OS_VERSION, sizes[OS_VERSION])
+    items = F.coalesce(
+        *[
+            F.when(
+                F.col("lookup") == lookup,
+                F.coalesce(corpus_size(index.where(F.col("lookup") == lookup)), F.lit(0)),
+            )
+            for lookup in (PATCH_FOR, LINUX_TEXT, OS_VERSION)
+        ]
     )
     rows = rows.withColumn("items_count", items).withColumn("reason", _reason(options))
     status = (
@@ -270,20 +303,22 @@ def answer_questions(
     vendor_names: DataFrame,
     options: Options = Options(),
     keep: tuple[str, ...] = (),
+    index: DataFrame | None = None,
+    work_folder: str | None = None,
 ) -> DataFrame:
-    """One answer row per question. ``keep`` names question columns to carry along."""
-    routed = stage(
-        route_texts(distinct_texts(questions), vendor_names, options).drop("text", "normalized"),
-        "routed",
-    )
+    """One answer row per question. ``keep`` names question columns to carry along; ``index``
+    is one built beforehand with the same releases and options; ``work_folder`` is where
+    staged tables are overwritten instead of written anew."""
+    texts = route_texts(distinct_texts(questions), vendor_names, options)
+    routed = stage(texts.drop("text", "normalized"), "routed", work_folder)
     requests = routed.where(F.col("lookup").isNotNull()).select(*REQUEST).distinct()
-    evidence = stage(
-        format_evidence(find_evidence(requests, releases, options), releases), "evidence"
-    )
+    if index is None:
+        index = build_index(releases, options, requests, work_folder)
+    found = find_evidence(requests, index, options)
+    evidence = stage(format_evidence(found, releases, work_folder), "evidence", work_folder)
     rows = (
         with_texts(questions, *keep)
         .join(routed, "text_key", "left")
         .join(evidence, REQUEST, "left")
     )
-    answers = conclude(rows, releases, options)
-    return answers.select(*ANSWER_COLUMNS, *keep)
+    return conclude(rows, index, options).select(*ANSWER_COLUMNS, *keep)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.tags import mentions_vendor
 from ..functions.text import empty_to_null
 from ..operators.lookups import attach_releases, dated_patch, product_release
-from ..operators.questions import parse, question_text
+from ..operators.questions import distinct_texts, parse, with_texts
 from ..operators.releases import vendor_feed
 from ..operators.staging import stage
 from ..schemas import release_column
@@ -25,7 +25,11 @@ LINUX, DEFAULT_PRODUCT = "linux", "android"
 
 def explain_questions(questions: DataFrame) -> DataFrame:
     """Question rows with their parse and branch label; no lookup, no shuffle."""
-    rows = parse(questions.select("question_id", question_text(questions).alias("text")))
+    return _explained(with_texts(questions)).drop("text_key")
+
+
+def _explained(rows: DataFrame) -> DataFrame:
+    rows = parse(rows)
     text, vendor = F.col("normalized"), F.col("parsed_vendor")
     linux = F.contains(text, F.lit(LINUX)) & ~F.contains(text, F.lit("android"))
     branch = (
@@ -37,7 +41,7 @@ def explain_questions(questions: DataFrame) -> DataFrame:
         *[F.when(F.contains(text, F.lit(p)), p) for p in PRODUCTS], F.lit(DEFAULT_PRODUCT)
     )
     return rows.withColumn("branch", branch).select(
-        "question_id",
+        *[c for c in ("question_id", "text_key") if c in rows.columns],
         empty_to_null(F.col("text")).alias("raw_question"),
         empty_to_null(F.col("normalized")).alias("normalized_question"),
         "parsed_vendor",
@@ -48,23 +52,28 @@ def explain_questions(questions: DataFrame) -> DataFrame:
 
 
 def explain_matches(questions: DataFrame, releases: DataFrame) -> DataFrame:
-    """:func:`explain_questions` plus the size of the searched feed and the matched release."""
-    rows = explain_questions(questions).withColumns(
-        {
-            "key": F.when(F.col("branch") == LINUX_PATCH, LINUX).otherwise(F.col("product")),
-            "date": F.coalesce("parsed_date", F.lit("")),
-        }
+    """:func:`explain_questions` plus the size of the searched feed and the matched release.
+    Texts are explained once and staged, and so is the match of each request."""
+    linux, os = F.col("branch") == LINUX_PATCH, F.col("branch") == OS
+    texts = stage(
+        _explained(distinct_texts(questions)).withColumns(
+            {
+                "key": F.when(linux, LINUX).otherwise(F.col("product")),
+                "date": F.coalesce("parsed_date", F.lit("")),
+            }
+        ),
+        "explained",
     )
-    requests = rows.where(F.col("branch") != NOT_LINUX).select("branch", "key", "date").distinct()
+    requests = texts.where(linux | os).select("branch", "key", "date").distinct()
     feed = vendor_feed(releases, LINUX)
 
     def of(branch):
-        return requests.where(F.col("branch") == branch).select("key", "date")
+        return requests.where(branch).select("key", "date")
 
     found = (
-        dated_patch(of(LINUX_PATCH), feed)
+        dated_patch(of(linux), feed)
         .withColumn("branch", F.lit(LINUX_PATCH))
-        .unionByName(product_release(of(OS), releases).withColumn("branch", F.lit(OS)))
+        .unionByName(product_release(of(os), releases).withColumn("branch", F.lit(OS)))
     )
     docs = releases.select(
         "pos", "name", release_column(releases, "brand"), "release_date", "tags"
@@ -74,19 +83,23 @@ def explain_matches(questions: DataFrame, releases: DataFrame) -> DataFrame:
         "branch",
         "key",
         "date",
-        F.when((F.col("branch") == LINUX_PATCH) & F.col("pos").isNotNull(), has_vendor).alias(
-            "matched_has_vendor"
-        ),
+        F.when(linux & F.col("pos").isNotNull(), has_vendor).alias("matched_has_vendor"),
         F.col("name").alias("matched_name"),
         F.col("release_date").alias("matched_release_date"),
         F.col("tags").alias("matched_tags"),
     )
-    first = feed.agg(
-        F.min(F.struct("pos", "tags", "name")).alias("first"), F.count(F.lit(1)).alias("n")
+    first = stage(
+        feed.agg(
+            F.min(F.struct("pos", "tags", "name")).alias("first"),
+            F.count(F.lit(1)).alias("n"),
+        ),
+        "feed",
     )
-    linux, os = F.col("branch") == LINUX_PATCH, F.col("branch") == OS
     return (
-        rows.join(stage(matched, "matched"), ["branch", "key", "date"], "left")
+        with_texts(questions)
+        .select("question_id", "text_key")
+        .join(texts, "text_key", "left")
+        .join(stage(matched, "matched"), ["branch", "key", "date"], "left")
         .withColumns(
             {
                 "items_count": F.when(linux, first.select("n").scalar()).when(
@@ -96,5 +109,5 @@ def explain_matches(questions: DataFrame, releases: DataFrame) -> DataFrame:
                 "first_item_name": F.when(linux, first.select("first.name").scalar()),
             }
         )
-        .drop("key", "date")
+        .drop("text_key", "key", "date")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.events import answers_to_events
-from ..plans.answer import Options, answer_questions
+from ..plans.answer import Options, answer_questions, build_index
 
 
 def answer_stream(
@@ -26,11 +26,21 @@ def answer_stream(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start answering a stream of ``(question_id, asked_at, question, …)``. The latency of
-    an event is the time from asking to the run of its batch."""
+    an event is the time from asking to the run of its batch. The releases are indexed once,
+    when the stream starts."""
+    index = build_index(releases, options)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         folder = f"{answers_path}/batch={batch_id}"
-        answered = answer_questions(batch, releases, vendor_names, options, keep=("asked_at",))
+        answered = answer_questions(
+            batch,
+            releases,
+            vendor_names,
+            options,
+            keep=("asked_at",),
+            index=index,
+            work_folder=f"{answers_path}/_work",
+        )
         answered.withColumn("answered_at", F.current_timestamp()).write.mode("overwrite").parquet(
             folder
         )
