@@ -98,13 +98,17 @@ def route_texts(texts: DataFrame, vendor_names: DataFrame, options: Options) ->
 
 
 def feeds(releases: DataFrame, options: Options) -> dict[str, DataFrame]:
-    """The candidate releases of each lookup."""
+    """The candidate releases of each lookup; an unreadable source has none."""
+    none = releases.where(F.lit(False))
+    patches = none if "patch" in options.unavailable else releases
+
+    def patch_feed(vendor=None):
+        return search_releases(patches, vendor, PATCH, options.evidence_limit)
+
     return {
-        OS_VERSION: releases,
-        PATCH_FOR: search_releases(releases, channel=PATCH, limit=options.evidence_limit),
-        LINUX_TEXT: search_releases(
-            releases, vendor=LINUX, channel=PATCH, limit=options.evidence_limit
-        ),
+        OS_VERSION: none if "os" in options.unavailable else releases,
+        PATCH_FOR: patch_feed(),
+        LINUX_TEXT: patch_feed(LINUX),
     }
 
 
