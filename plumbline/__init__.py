@@ -8,7 +8,7 @@ from .operators.lookups import (
     product_release,
     vendor_patch,
 )
-from .operators.percentiles import exact_percentiles
+from .operators.percentiles import approximate_percentiles, exact_percentiles
 from .operators.releases import patch_feed, search_releases, vendor_feed
 from .operators.summary import SummaryFilter
 from .operators.vendors import resolve_vendor, vendors_in_names
@@ -23,6 +23,7 @@ __all__ = [
     "SummaryFilter",
     "answer_questions",
     "answers_to_events",
+    "approximate_percentiles",
     "attach_releases",
     "build_summary",
     "component_snapshot",

@@ -79,6 +79,11 @@ def _heads(needles: DataFrame, needle: str, head: int) -> DataFrame:
     )
 
 
+def _cut(text: Column, start: Column, length: Column) -> Column:
+    """A substring the optimizer knows is never null; else it cuts twice, to test the key."""
+    return F.coalesce(F.substring(text, start, length), F.lit(""))
+
+
 def _find(texts, text, needles, needle, heads, head, last_start=None) -> DataFrame:
     body = F.col(text)
     last = F.length(body) - head + 1
@@ -87,11 +92,11 @@ def _find(texts, text, needles, needle, heads, head, last_start=None) -> DataFra
     cuts = (
         texts.where(F.length(body) >= head)
         .withColumn("start", F.explode(F.sequence(F.lit(1), last)))
-        .withColumn("_head", F.substring(body, F.col("start"), F.lit(head)))
+        .withColumn("_head", _cut(body, F.col("start"), F.lit(head)))
         .join(heads, "_head")
         .withColumn("_length", F.explode("_lengths"))
         .where(F.col("start") + F.col("_length") - 1 <= F.length(body))
-        .withColumn(needle, F.substring(body, F.col("start"), F.col("_length")))
+        .withColumn(needle, _cut(body, F.col("start"), F.col("_length")))
         .drop("_head", "_lengths", "_length")
     )
     return cuts.join(needles, needle)

@@ -52,7 +52,11 @@ def keep_asked(entries: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def pick_product(requests: DataFrame, index: DataFrame, fallback: str = "first") -> DataFrame:
-    dated = index.where(F.col("rule") == BY_DATE).select("key", "date", F.col("order").alias("same"))
+    dated = (
+        index.where(F.col("rule") == BY_DATE)
+        .select("key", "date", F.col("order").alias("same"))
+        .join(requests.select("key").distinct(), "key", "left_semi")
+    )
     newest = dated.groupBy("key").agg(F.min("same").alias("latest"))
     points = (
         dated.where(F.length("date") >= DATED_LENGTH)

@@ -71,3 +71,14 @@ def exact_percentiles(
     return picked.groupBy(*by).agg(
         *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in percents]
     )
+
+
+def approximate_percentiles(
+    df: DataFrame, value: str, percents: dict[str, int], groups: tuple[str, ...] = ()
+) -> DataFrame:
+    """The same columns from Spark's quantile sketch: one pass, bounded state, near ranks."""
+    return (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*groups)
+        .agg(*[F.percentile_approx(value, p / 100.0).alias(n) for n, p in percents.items()])
+    )

@@ -1,9 +1,8 @@
 """Size checks for broadcasts, and staged tables that cut lineage.
 
-Nothing is broadcast on trust. A dictionary is measured first; past the bound the same
-equi-join shuffles. Joins against staged tables carry no hint: the table's size on disk is
-known to the optimizer, which broadcasts below its own threshold, and adaptive execution
-splits a hot key otherwise.
+Nothing is broadcast on trust. The side of a join that might be small is measured first, as
+rows and bytes of text rather than as compressed files; past the bound the same equi-join
+shuffles, and adaptive execution splits the partition of a hot key.
 """
 
 from __future__ import annotations
@@ -14,10 +13,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 ROW_OVERHEAD = 64
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
 
 _local_folder: str | None = None
 
@@ -60,14 +61,24 @@ class Size:
 
 
 def measure(df: DataFrame, text: str | None = None) -> Size:
-    """Rows and text bytes of a dictionary against the bound, and its longest ``text``."""
-    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    """Rows and text bytes of a frame against the bound, and its longest ``text``."""
+    texts = {
+        f.name: F.octet_length(f.name if f.dataType == _TEXT else F.array_join(f.name, ""))
+        for f in df.schema.fields
+        if f.dataType in (_TEXT, _TEXTS)
+    }
     longest = F.max(F.length(text)) if text else F.lit(0)
     found = df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(longest, F.lit(0)).alias("longest"),
-        *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(f"{c}_bytes") for c in texts],
+        *[F.coalesce(F.sum(size), F.lit(0)).alias(f"{c}_bytes") for c, size in texts.items()],
     ).first()
     payload = sum(found[f"{c}_bytes"] for c in texts) + ROW_OVERHEAD * found["rows"]
     fits = found["rows"] <= BROADCAST_ROWS and payload <= BROADCAST_BYTES
     return Size(fits, found["longest"])
+
+
+def join_side(df: DataFrame) -> DataFrame:
+    """A staged frame, hinted for a join: broadcast when it fits, else sort-merge, so that a
+    well compressed file is not broadcast by its size on disk."""
+    return F.broadcast(df) if measure(df).fits else df.hint("merge")

@@ -2,9 +2,8 @@
 
 Each distinct text is parsed, resolved and routed once; each distinct request (what to look
 for, which key, which date) is looked up once; each answer text is built once per request.
-Question rows meet the results in two equi-joins. The routed texts and the evidence are
-staged, so their sizes are known and they are broadcast only when small; a hot text or
-request is otherwise split by adaptive execution.
+Question rows meet the results in two equi-joins against staged tables. Those are broadcast
+only when measured small; otherwise adaptive execution splits a hot text or request.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ from ..operators.questions import (
     with_texts,
 )
 from ..operators.releases import PATCH, search_releases
-from ..operators.staging import stage
+from ..operators.staging import join_side, stage
 from ..schemas import release_column
 
 LINUX, DEFAULT_PRODUCT = "linux", "android"
@@ -322,7 +321,7 @@ def answer_questions(
     evidence = stage(format_evidence(found, releases, work_folder), "evidence", work_folder)
     rows = (
         with_texts(questions, *keep)
-        .join(routed, "text_key", "left")
-        .join(evidence, REQUEST, "left")
+        .join(join_side(routed), "text_key", "left")
+        .join(join_side(evidence), REQUEST, "left")
     )
     return conclude(rows, index, options).select(*ANSWER_COLUMNS, *keep)

@@ -14,7 +14,7 @@ from ..functions.text import empty_to_null
 from ..operators.lookups import attach_releases, dated_patch, product_release
 from ..operators.questions import distinct_texts, parse, with_texts
 from ..operators.releases import vendor_feed
-from ..operators.staging import stage
+from ..operators.staging import join_side, stage
 from ..schemas import release_column
 
 # Branch labels, product keywords in order of preference.
@@ -98,8 +98,8 @@ def explain_matches(questions: DataFrame, releases: DataFrame) -> DataFrame:
     return (
         with_texts(questions)
         .select("question_id", "text_key")
-        .join(texts, "text_key", "left")
-        .join(stage(matched, "matched"), ["branch", "key", "date"], "left")
+        .join(join_side(texts), "text_key", "left")
+        .join(join_side(stage(matched, "matched")), ["branch", "key", "date"], "left")
         .withColumns(
             {
                 "items_count": F.when(linux, first.select("n").scalar()).when(

@@ -40,7 +40,7 @@ def test_library_never_pairs(spark, monkeypatch):
 
     for module in (index, answer, explain, dashboard, lookups):
         monkeypatch.setattr(module, "stage", watched)
-    for name in ("answer_all_questions", "explain_with_matches", "month_summary"):
+    for name in ("answer_questions", "explain_with_matches", "month_summary"):
         all_queries()[name](spark, SF)
     assert len(seen) >= 9
     for text in seen:

@@ -2,6 +2,9 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.answer import answer_questions
 from plumbline.streaming.answers import answer_stream
+from plumbline.operators.events import last_prompts
+from plumbline.operators.percentiles import approximate_percentiles
+from plumbline.streaming.prompts import current_prompts, prompts_stream
 from plumbline.streaming.rollup import append_stream, daily_rollup, rollup_by_day, write_rollup
 from workload import views
 
@@ -66,3 +69,24 @@ def test_append(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(inbox)
     append_stream(stream, path, str(tmp_path / "checkpoint"), ONCE).awaitTermination()
     assert spark.read.parquet(path).agg(F.countDistinct("day"), F.count("pos")).first() == (30, 1000)
+
+
+def test_last_prompts_across_batches_and_replay(spark, tmp_path):
+    rows = views.questions(spark, SF).where("question_id < 40")
+    inbox, path = str(tmp_path / "inbox"), str(tmp_path / "prompts")
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        prompts_stream(stream, path, str(tmp_path / checkpoint), trigger=ONCE).awaitTermination()
+        return [r["question_id"] for r in current_prompts(spark, path).orderBy("question_id").collect()]
+
+    rows.repartition(4).write.parquet(inbox)
+    want = sorted(r["question_id"] for r in last_prompts(rows).collect())
+    assert run("one") == want
+    assert run("two") == want  # every batch written again over the first run's folders
+
+
+def test_approximate_percentiles_are_near(spark):
+    df = spark.range(1, 1001).selectExpr("id % 2 as g", "id as v")
+    got = approximate_percentiles(df, "v", {"p50": 50}, ("g",)).collect()
+    assert all(abs(r["p50"] - 500) <= 2 for r in got)

@@ -580,7 +580,7 @@ def statements() -> dict[str, str]:
             """select pos, name, ts_ms from feed order by ts_ms desc, pos limit 25 offset 25""",
             "feed",
         ),
-        "component": sql(
+        "component_snapshot": sql(
             """select pos, coalesce(version_number, '') as main,
               string_split(coalesce(version_number, ''), '.')[-1] as last_value,
               coalesce(notes, '') as notes, coalesce(license, '') as license,
@@ -596,13 +596,13 @@ def statements() -> dict[str, str]:
             from feed""",
             "feed",
         ),
-        "format_os_release": sql(
+        "format_os": sql(
             f"""select pos, coalesce(version_number, '') as main,
               string_split(coalesce(version_number, ''), '.')[-1] as last_value,
               {OS_TEXT} as answer, {clip(OS_TEXT, 80)} as preview from docs""",
             "docs",
         ),
-        "answer_all_questions": sql(f"select {ANSWER_ROW} from answers_final", "answers_final"),
+        "answer_questions": sql(f"select {ANSWER_ROW} from answers_final", "answers_final"),
         "answer_questions_strict": sql(
             """select question_id, branch, status, reason, version, id as matched_id
             from answers_strict_final""",
@@ -628,7 +628,7 @@ def statements() -> dict[str, str]:
             "questions",
             "routed",
         ),
-        "explain": sql("select * from explained", "explained"),
+        "explain_questions": sql("select * from explained", "explained"),
         "explain_with_matches": sql(
             f"""select question_id, branch, product,
               case branch when 'os' then (select count(*) from docs)
@@ -713,7 +713,7 @@ def statements() -> dict[str, str]:
         ),
         "last_chat_entries": sql(
             """select * from (select user_id, row_number() over (partition by user_id
-                order by asked_at desc, question_id desc) as recency, question_id, question
+                order by asked_at desc, question_id desc)::int as recency, question_id, question
               from questions) where recency <= 3""",
             "questions",
         ),
@@ -725,7 +725,7 @@ def statements() -> dict[str, str]:
         "day_top_vendors": sql(TODAY.format(rows="select * from log", as_of=AS_OF), "log"),
         "month_summary": sql(summary("month", 30, "all", "all", "null::varchar"), "month"),
         "filtered_summary": sql(summary("narrow", 7, "os", "abstain", "'vendor_1'"), "narrow"),
-        "unwrap_components": sql(LANDED.format(kinds="0, 1, 2, 3"), "releases"),
+        "unwrap_envelopes": sql(LANDED.format(kinds="0, 1, 2, 3"), "releases"),
         "unwrap_patch_feed": sql(LANDED.format(kinds="0, 1, 2, 3, 6"), "releases"),
         "unwrap_vendor_names": """select (c_custkey // 32) * 4294967296
               + row_number() over (partition by c_custkey // 32 order by c_custkey) - 1 as pos,
@@ -756,6 +756,12 @@ def statements() -> dict[str, str]:
         "stream_event_log": sql(
             "select pos, epoch_us(ts) // 1000 as ts, status, flow, vendor from log", "log"
         ),
+        "stream_last_prompts": sql(
+            """select question_id, epoch_us(asked_at) // 1000 as asked_at, trim(question) as prompt
+            from questions where trim(question) <> ''
+            order by questions.asked_at desc, question_id desc limit 3""",
+            "questions",
+        ),
         "stream_answers": sql(
             """select question_id, status, reason, version,
               case when status = 'answer' then name when flow = 'patch' then key

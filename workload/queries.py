@@ -21,6 +21,7 @@ from plumbline.plans.explain import explain_matches, explain_questions
 from plumbline.plans.summary import build_summary
 from plumbline.sources import event_log, landed
 from plumbline.streaming.answers import answer_stream
+from plumbline.streaming.prompts import current_prompts, prompts_stream
 from plumbline.streaming.rollup import append_stream, daily_rollup, rollup_by_day, write_rollup
 
 from . import views
@@ -34,7 +35,9 @@ _queries: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    _queries[fn.__name__] = fn
+    """Register under the function's name without the underscore that keeps it apart from
+    the library function it calls."""
+    _queries[fn.__name__.removesuffix("_")] = fn
     return fn
 
 
@@ -203,7 +206,7 @@ def search_releases_page(spark, sf_dir):
 
 
 @query
-def component(spark, sf_dir):
+def component_snapshot_(spark, sf_dir):
     return component_snapshot(views.releases(spark, sf_dir)).withColumn(
         "tags", F.array_join("tags", "|")
     )
@@ -226,7 +229,7 @@ def format_patch(spark, sf_dir):
 
 
 @query
-def format_os_release(spark, sf_dir):
+def format_os_(spark, sf_dir):
     rows = format_os(views.releases(spark, sf_dir))
     answer = fmt.os_answer(F.col("main"), F.col("notes"), F.col("license"))
     return rows.select(
@@ -251,7 +254,7 @@ def flat_answers(df):
 
 
 @query
-def answer_all_questions(spark, sf_dir):
+def answer_questions_(spark, sf_dir):
     return flat_answers(answers(spark, sf_dir))
 
 
@@ -285,7 +288,7 @@ def answer_without_sources(spark, sf_dir):
 
 
 @query
-def explain(spark, sf_dir):
+def explain_questions_(spark, sf_dir):
     return explain_questions(views.questions(spark, sf_dir))
 
 
@@ -443,7 +446,7 @@ def _landed_columns(df):
 
 
 @query
-def unwrap_components(spark, sf_dir):
+def unwrap_envelopes(spark, sf_dir):
     return _landed_columns(landed.releases_from(views.landed_releases(spark, sf_dir)))
 
 
@@ -522,3 +525,17 @@ def stream_answers(spark, sf_dir):
     return spark.read.parquet(path).select(
         "question_id", "status", "reason", "version", "vendor", "matched_id", "is_vendor_found"
     )
+
+
+@query
+def stream_last_prompts(spark, sf_dir):
+    """The last prompts kept up to date batch by batch."""
+    path = new_folder(spark, "last-prompts")
+    prompts_stream(
+        views.questions_from(_event_stream(spark, sf_dir)),
+        path,
+        new_folder(spark, "prompts-checkpoint"),
+        trigger=ONCE,
+    ).awaitTermination()
+    rows = current_prompts(spark, path)
+    return rows.withColumn("asked_at", F.unix_millis("asked_at"))
