@@ -39,7 +39,7 @@ def add_vendors(df: DataFrame, vendor_names: DataFrame, boundary: bool = False)
 
     ``df`` holds each text once, so nothing here is skewed by repeated questions.
     """
-    named = resolve_vendor(df, vendor_names, boundary)
+    named = resolve_vendor(df, vendor_names, boundary, text="normalized")
     listed = vendors_in_names(df, "parsed_vendor", vendor_names).withColumn(
         "vendor_in_names", F.lit(True)
     )
@@ -75,8 +75,11 @@ def route(df: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def text_key(text: Column) -> Column:
-    """Key of a text in joins and groupings: the text, or a digest of a long one."""
-    return F.when(F.length(text) <= SHORT_TEXT, text).otherwise(F.sha2(text, 256))
+    """Key of a text in joins and groupings: the text, or a digest of a long one. Never null,
+    and known to be: a null test pushed into one branch of a plan would keep the branches
+    from sharing their shuffle."""
+    digest = F.coalesce(F.sha2(text, 256), F.lit(""))
+    return F.when(F.length(text) <= SHORT_TEXT, text).otherwise(digest)
 
 
 def with_texts(questions: DataFrame, *keep: str) -> DataFrame:

@@ -12,8 +12,11 @@ WORD_EDGE = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]
 EDGE_MARK = "\x01"
 
 
-def distinct_names(vendor_names: DataFrame) -> DataFrame:
-    """One row per folded name; the first position in the list decides its spelling."""
+def name_dictionary(vendor_names: DataFrame) -> DataFrame:
+    """One row per folded name; the first position in the list decides its spelling. A
+    dictionary is returned as it is."""
+    if "folded" in vendor_names.columns:
+        return vendor_names
     return (
         vendor_names.select(
             fold("name").alias("folded"), strip("name").alias("name"), F.col("pos").alias("pos")
@@ -37,7 +40,7 @@ def resolve_vendor(
     ``texts`` holds each ``key`` once. Returns ``(key, vendor_name)`` for texts with a
     match. Names of one letter are ignored. ``boundary`` asks for whole words.
     """
-    names = distinct_names(vendor_names).where(F.length("folded") >= 2)
+    names = name_dictionary(vendor_names).where(F.length("folded") >= 2)
     body = F.lower(F.col(text))
     if boundary:
         hits = _whole_words(texts.select(key, body.alias("_body")), names)
@@ -60,7 +63,7 @@ def _whole_words(texts: DataFrame, names: DataFrame) -> DataFrame:
 def vendors_in_names(vendors: DataFrame, vendor: str, vendor_names: DataFrame) -> DataFrame:
     """The vendors that contain a listed name or lie inside one, each once."""
     asked = vendors.select(fold(vendor).alias(vendor)).where(F.col(vendor) != "").distinct()
-    names = distinct_names(vendor_names).select("folded")
+    names = name_dictionary(vendor_names).select("folded")
     holding = find_needles(asked, vendor, names, "folded").select(vendor)
     held = find_needles(names, "folded", asked, vendor).select(vendor)
     return holding.unionByName(held).distinct()

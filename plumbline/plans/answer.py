@@ -36,6 +36,7 @@ from ..operators.questions import (
 )
 from ..operators.releases import PATCH, search_releases
 from ..operators.staging import join_side, stage
+from ..operators.vendors import name_dictionary
 from ..schemas import release_column
 
 LINUX, DEFAULT_PRODUCT = "linux", "android"
@@ -77,10 +78,18 @@ class Options:
     linux_source: str = "releases?q=linux&channel=patch"
 
 
-def route_texts(texts: DataFrame, vendor_names: DataFrame, options: Options) -> DataFrame:
-    """Distinct texts with their branch and the request they make, if any."""
-    parsed = parse(texts, day_first=options.day_first)
-    routed = route(add_vendors(parsed, vendor_names, options.boundary), options.strict)
+def route_texts(
+    questions: DataFrame,
+    vendor_names: DataFrame,
+    options: Options = Options(),
+    work_folder: str | None = None,
+) -> DataFrame:
+    """Distinct texts with their branch and the request they make, if any. The parsed texts
+    and the names are staged: each is read several times, and parsed once."""
+    texts = parse(distinct_texts(questions), day_first=options.day_first).drop("text")
+    texts = stage(texts, "texts", work_folder)
+    names = stage(name_dictionary(vendor_names), "names", work_folder)
+    routed = route(add_vendors(texts, names, options.boundary), options.strict)
     branch = F.col("branch")
     lookup = F.when((branch == PATCH_FOR) & ~F.col("vendor_in_names"), None).when(
         branch != UNKNOWN, branch
@@ -192,9 +201,6 @@ def format_evidence(
         .when(lookup == LINUX_TEXT, F.coalesce(c["name"], F.lit("Linux")))
         .otherwise(F.coalesce(c["name"], F.lit("Unknown")))
     )
-    tags = F.when(
-        lookup == PATCH_FOR, F.coalesce(c["tags"], F.array().cast("array<string>"))
-    ).otherwise(c["tags"])
     return df.select(
         *REQUEST,
         has_doc.alias("has_release"),
@@ -205,7 +211,6 @@ def format_evidence(
         F.when(has_doc, license_).alias("license"),
         F.when(has_doc, url).alias("url"),
         F.when(has_doc, vendor).alias("doc_vendor"),
-        F.when(has_doc, tags).alias("tags"),
         c["id"].alias("matched_id"),
         c["version_id"].alias("matched_version_id"),
         c["release_date"].alias("matched_release_date"),
@@ -276,14 +281,17 @@ def conclude(rows: DataFrame, index: DataFrame, options: Options) -> DataFrame:
         .when(branch == OS_VERSION, F.coalesce(F.col("vendor_name"), F.lit(DEFAULT_PRODUCT)))
         .otherwise(UNKNOWN)
     )
-    shown_tags = answered | (F.col("reason") == WRONG_VENDOR)
+    none = F.array().cast("array<string>")
+    shown_tags = F.when(
+        answered & (branch == PATCH_FOR), F.coalesce(F.col("matched_tags"), none)
+    ).when(answered | (F.col("reason") == WRONG_VENDOR), F.col("matched_tags"))
     return rows.withColumn("answer", answer).select(
         "*",
         version.alias("version"),
         vendor.alias("vendor"),
         F.when(~failed, options.source).alias("source"),
         source_url.alias("source_url"),
-        F.when(shown_tags, F.col("tags")).alias("search_tags"),
+        shown_tags.alias("search_tags"),
         F.when(branch.isin(PATCH_FOR, LINUX_TEXT), F.col("key")).alias("asked_vendor"),
         F.when(branch == OS_VERSION, F.col("key")).alias("product"),
         fmt.preview(F.col("answer")).alias("answer_preview"),
@@ -312,8 +320,8 @@ def answer_questions(
     """One answer row per question. ``keep`` names question columns to carry along; ``index``
     is one built beforehand with the same releases and options; ``work_folder`` is where
     staged tables are overwritten instead of written anew."""
-    texts = route_texts(distinct_texts(questions), vendor_names, options)
-    routed = stage(texts.drop("text", "normalized"), "routed", work_folder)
+    routed = route_texts(questions, vendor_names, options, work_folder)
+    routed = stage(routed.drop("normalized"), "routed", work_folder)
     requests = routed.where(F.col("lookup").isNotNull()).select(*REQUEST).distinct()
     if index is None:
         index = build_index(releases, options, requests, work_folder)

@@ -76,3 +76,14 @@ def test_last_entries_limits_before_the_shuffle(spark):
 def test_top_lists_need_no_global_sort(spark):
     text = plan(summary.top_vendors(views.answer_events(spark, SF)))
     assert "TakeOrderedAndProject" in text
+
+
+def test_questions_are_read_once_to_be_parsed(spark):
+    from plumbline.operators.questions import add_vendors, parse
+
+    texts = parse(distinct_texts(views.questions(spark, SF)))
+    routed = add_vendors(texts.withColumnRenamed("text", "raw"), views.vendor_names(spark, SF))
+    routed.collect()
+    final = plan(routed).split("Initial Plan")[0]
+    assert len(re.findall(r"FileScan parquet \[event_id", final)) == 1
+    assert "ReusedExchange" in final
