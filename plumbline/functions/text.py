@@ -14,7 +14,7 @@ BLANK = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x
 
 # Question patterns. The vendor ends before " on ", a full stop,
 # a question mark or the end of the text, and never spans a comma.
-PATCH_VENDOR = rf"(?i)patch{BLANK}+for{BLANK}+([^,.?]+?)(?={BLANK}+on{BLANK}+|{BLANK}*[.?]|{BLANK}*\z)"
+PATCH_VENDOR = rf"patch{BLANK}+for{BLANK}+([^,.?]+?)(?={BLANK}+on{BLANK}+|{BLANK}*[.?]|{BLANK}*\z)"
 VERSION_WORDS = r"version|release|build|firmware|update|license|note"
 OS_WORDS = (
     r"operating system|(?<![A-Za-z0-9_])os(?![A-Za-z0-9_])"
@@ -38,8 +38,10 @@ def empty_to_null(col: Column) -> Column:
 
 
 def patch_vendor(question: Column) -> Column:
-    """X in "patch for X", or null."""
-    return empty_to_null(strip(F.regexp_extract(question, PATCH_VENDOR, 1)))
+    """X in "patch for X", or null, for a lower-case question. The plain test spares most
+    questions the pattern."""
+    named = empty_to_null(strip(F.regexp_extract(question, PATCH_VENDOR, 1)))
+    return F.when(F.contains(question, F.lit("patch")), named)
 
 
 def asks_for_release(question: Column, vendor: Column, date: Column) -> Column:

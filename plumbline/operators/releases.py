@@ -39,12 +39,9 @@ def patch_feed(releases: DataFrame) -> DataFrame:
     return releases.where(F.col("channel") == PATCH)
 
 
-def vendor_feed(releases: DataFrame, vendor: str) -> DataFrame:
+def vendor_feed(releases: DataFrame, vendor: str = "linux") -> DataFrame:
     """Patch releases whose tags, name or brand contain the vendor."""
-    wanted = mentions_vendor(
-        strip(F.lit(vendor)), F.col("tags"), F.col("name"), release_column(releases, "brand")
-    )
-    return patch_feed(releases).where(wanted)
+    return search_releases(releases, vendor, PATCH)
 
 
 def search_releases(

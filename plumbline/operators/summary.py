@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,7 @@ STATUSES = ("all", "answer", "abstain", "error")
 @dataclass(frozen=True)
 class SummaryFilter:
     """Which events to summarise. ``as_of`` is the last day; values outside the known
-    flows and statuses mean ``all``, and the range is held between 1 and 90 days."""
+    flows and statuses mean ``all``; the range, also as text, is held between 1 and 90 days."""
 
     as_of: dt.date
     range_days: int = 1
@@ -30,7 +31,8 @@ class SummaryFilter:
     vendor: str = ""
 
     def __post_init__(self):
-        days = min(MAX_RANGE_DAYS, max(1, int(self.range_days or 1)))
+        leading = re.match(r"\s*[+-]?\d+", str(self.range_days))
+        days = min(MAX_RANGE_DAYS, max(1, int(leading.group()) if leading else 1))
         object.__setattr__(self, "range_days", days)
         for name, known in (("flow", FLOWS), ("status", STATUSES)):
             value = str(getattr(self, name) or "all").lower()

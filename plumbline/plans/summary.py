@@ -119,7 +119,7 @@ def build_summary(events: DataFrame, wanted: SummaryFilter) -> DataFrame:
         return F.coalesce(F.col(f"t.{name}"), F.lit(0))
 
     def most(items):
-        return F.greatest(F.coalesce(F.array_max(F.transform(items, lambda x: x["count"])), F.lit(1)), F.lit(1))
+        return F.greatest(F.array_max(F.transform(items, lambda x: x["count"])), F.lit(1))
 
     whole = whole.withColumns(
         {

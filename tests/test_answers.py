@@ -145,6 +145,24 @@ def test_version_precedence_and_missing_tags(ask, releases, names):
     assert got["linux news"]["version"] == "2" and got["linux news"]["search_tags"] is None
 
 
+def test_without_any_broadcast(spark, monkeypatch):
+    """Past the bounds every join shuffles; the answers stay the same."""
+    from plumbline.operators import staging
+    from workload import views
+
+    sf = "/root/testdata/sf0.001"
+    asked, docs, listed = (f(spark, sf) for f in (views.questions, views.releases, views.vendor_names))
+    usual = answer_questions(asked, docs, listed).collect()
+    monkeypatch.setattr(staging, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = answer_questions(asked, docs, listed)
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(rows.collect()) == sorted(usual)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_events_of_answers(ask, corpus, names):
     rows = answer_questions(ask("android version", "hello"), corpus, names("Linux"))
     events = answers_to_events(rows.withColumn("at", F.timestamp_millis(F.lit(5))), "at")

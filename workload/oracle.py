@@ -268,7 +268,12 @@ def by_date(name: str, requests: str, feed: str, *needs: str) -> None:
         *needs,
         feed,
     )
-    cte(name, f"select r.key, r.date, d.pos from {requests} r join {name}_dates d using (date)", f"{name}_dates", *needs)
+    cte(
+        name,
+        f"select r.key, r.date, d.pos from {requests} r join {name}_dates d using (date)",
+        f"{name}_dates",
+        *needs,
+    )
 
 
 def vendor_hit(v: str) -> str:
@@ -630,22 +635,22 @@ def statements() -> dict[str, str]:
         ),
         "explain_questions": sql("select * from explained", "explained"),
         "explain_with_matches": sql(
-            f"""select question_id, branch, product,
-              case branch when 'os' then (select count(*) from docs)
+            f"""select question_id, e.branch, product,
+              case e.branch when 'os' then (select count(*) from docs)
                 when 'patch_linux' then (select count(*) from linux_feed) end as items_count,
-              case when branch = 'patch_linux'
+              case when e.branch = 'patch_linux'
                 then (select arg_min(name, pos) from linux_feed) end as first_item_name,
-              case when branch = 'patch_linux' then (select array_to_string(tags, '|')
+              case when e.branch = 'patch_linux' then (select array_to_string(tags, '|')
                 from linux_feed order by pos limit 1) end as first_item_tags,
-              case when branch = 'patch_linux' and d.pos is not null
+              case when e.branch = 'patch_linux' and d.pos is not null
                 then coalesce({vendor_hit("linux")}, false) end as matched_has_vendor,
               d.name as matched_name, d.release_date as matched_release_date,
               array_to_string(d.tags, '|') as matched_tags
             from explained e left join (select 'os' as branch, * from explain_os
                 union all select 'patch_linux', * from explain_linux) f
-              on f.branch = e.branch and f.key = case when e.branch = 'os' then e.product else 'linux' end
-              and f.date = coalesce(e.parsed_date, '')
-            left join docs d on d.pos = f.pos""".replace("select question_id, branch,", "select question_id, e.branch,").replace("case branch when", "case e.branch when").replace("case when branch =", "case when e.branch ="),
+              on f.branch = e.branch and f.date = coalesce(e.parsed_date, '')
+              and f.key = case when e.branch = 'os' then e.product else 'linux' end
+            left join docs d on d.pos = f.pos""",
             "explained",
             "explain_os",
             "explain_linux",

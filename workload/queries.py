@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,15 @@ _queries: dict[str, Query] = {}
 
 def query(fn: Query) -> Query:
     """Register under the function's name without the underscore that keeps it apart from
-    the library function it calls."""
-    _queries[fn.__name__.removesuffix("_")] = fn
-    return fn
+    the library function it calls. The tables hold UTC times."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+
+    _queries[fn.__name__.removesuffix("_")] = run
+    return run
 
 
 def all_queries() -> dict[str, Query]:

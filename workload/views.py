@@ -166,7 +166,8 @@ def landed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "customer")
         .groupBy(F.expr("cast(c_custkey div 32 as bigint)").alias("page"))
-        .agg(F.expr("to_json(transform(array_sort(collect_list(struct(c_custkey, c_name))), x -> x.c_name))").alias("names"))
+        .agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("listed"))
+        .select("page", F.to_json(F.transform("listed", lambda c: c["c_name"])).alias("names"))
         .selectExpr(
             "page",
             """case page % 4 when 0 then names
