@@ -7,6 +7,8 @@ replayed: answers and events appear once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,24 +19,37 @@ from ..plans.answer import Options, answer_questions, build_index
 
 def answer_stream(
     questions: DataFrame,
-    releases: DataFrame,
+    releases: DataFrame | Callable[[], DataFrame],
     vendor_names: DataFrame,
     answers_path: str,
     checkpoint: str,
     events_path: str | None = None,
     options: Options = Options(),
     trigger: dict | None = None,
+    refresh_every: int | None = None,
 ) -> StreamingQuery:
     """Start answering a stream of ``(question_id, asked_at, question, …)``. The latency of
-    an event is the time from asking to the run of its batch. The releases are indexed once,
-    when the stream starts."""
-    index = build_index(releases, options)
+    an event is the time from asking to the run of its batch.
+
+    The releases are indexed when the stream starts and, with ``refresh_every``, again after
+    that many batches; give a function that reads them to see what was added meanwhile."""
+    load = releases if callable(releases) else lambda: releases
+    state = {"batches": 0}
+
+    def evidence():
+        due = refresh_every and state["batches"] % refresh_every == 0
+        if due or not state["batches"]:
+            state["releases"] = load()
+            state["index"] = build_index(state["releases"], options)
+        state["batches"] += 1
+        return state["releases"], state["index"]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         folder = f"{answers_path}/batch={batch_id}"
+        known, index = evidence()
         answered = answer_questions(
             batch,
-            releases,
+            known,
             vendor_names,
             options,
             keep=("asked_at",),

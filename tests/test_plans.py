@@ -76,3 +76,31 @@ def test_questions_are_read_once_to_be_parsed(spark):
     final = plan(routed).split("Initial Plan")[0]
     assert len(re.findall(r"FileScan parquet \[event_id", final)) == 1
     assert "ReusedExchange" in final
+
+
+def test_a_hot_text_and_a_hot_request_are_split(spark, monkeypatch):
+    """A third of all rows ask the same. With every join shuffled and partitions counted as
+    large from a few kilobytes on, adaptive execution splits the hot ones."""
+    from plumbline import answer_questions
+    from plumbline.operators import staging
+
+    hot = "case when id % 3 = 0 then 'latest linux patch' else concat('patch for linux ', id) end"
+    asked = spark.range(0, 60_000, 1, 8).selectExpr("id as question_id", f"{hot} as question")
+    monkeypatch.setattr(staging, "BROADCAST_ROWS", 0)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = answer_questions(asked, views.releases(spark, SF), views.vendor_names(spark, SF))
+        assert len(rows.collect()) == 60_000
+        assert plan(rows).count("SortMergeJoin(skew=true)") == 2
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

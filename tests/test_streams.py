@@ -90,3 +90,27 @@ def test_approximate_percentiles_are_near(spark):
     df = spark.range(1, 1001).selectExpr("id % 2 as g", "id as v")
     got = approximate_percentiles(df, "v", {"p50": 50}, ("g",)).collect()
     assert all(abs(r["p50"] - 500) <= 2 for r in got)
+
+
+def test_refreshed_releases(spark, tmp_path, releases, names):
+    """New releases are seen from the batch after they appear."""
+    inbox, path = str(tmp_path / "inbox"), str(tmp_path / "answers")
+    rows = spark.createDataFrame([(1, "patch for Linux")], "question_id long, question string")
+    rows = rows.withColumn("asked_at", F.current_timestamp())
+    for _ in range(2):
+        rows.coalesce(1).write.mode("append").parquet(inbox)
+    corpora = iter(
+        releases(*[{"name": "Linux", "tags": ["linux", "patch", str(v)]} for v in range(n)])
+        for n in (1, 2)
+    )
+    answer_stream(
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox),
+        lambda: next(corpora),
+        names("Linux"),
+        path,
+        str(tmp_path / "checkpoint"),
+        trigger=ONCE,
+        refresh_every=1,
+    ).awaitTermination()
+    seen = spark.read.parquet(path).groupBy("batch").agg(F.max("items_count"))
+    assert sorted(tuple(r) for r in seen.collect()) == [(0, 1), (1, 2)]
