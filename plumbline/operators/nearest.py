@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 YEAR = 10_000
 
@@ -23,11 +24,10 @@ def nearest_points(probes: DataFrame, points: DataFrame) -> DataFrame:
     points, the one with the smaller ``best``.
     """
     point = F.struct(F.col("at"), F.col("best"))
-    rows = points.select("key", "at", point.alias("point"), F.lit(False).alias("asked")).unionByName(
-        probes.select(
-            "key", "at", F.lit(None).cast(_point_type(points)).alias("point"), F.lit(True).alias("asked")
-        )
-    )
+    none = F.lit(None).cast(T.StructType([points.schema["at"], points.schema["best"]]))
+    rows = points.select(
+        "key", "at", point.alias("point"), F.lit(False).alias("asked")
+    ).unionByName(probes.select("key", "at", none.alias("point"), F.lit(True).alias("asked")))
     rows = rows.withColumn("year", F.floor(F.col("at") / YEAR))
 
     earlier = Window.partitionBy("key", "year").orderBy("at", "asked")
@@ -45,8 +45,9 @@ def nearest_points(probes: DataFrame, points: DataFrame) -> DataFrame:
         F.min_by("point", F.when(F.col("point").isNotNull(), F.col("at"))).alias("lowest"),
         F.max_by("point", F.when(F.col("point").isNotNull(), F.col("at"))).alias("highest"),
     )
-    before = Window.partitionBy("key").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("key").orderBy(F.desc("year")).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = (Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key").orderBy("year").rowsBetween(*so_far)
+    after = Window.partitionBy("key").orderBy(F.desc("year")).rowsBetween(*so_far)
     around = years.select(
         "key",
         "year",
@@ -63,9 +64,3 @@ def nearest_points(probes: DataFrame, points: DataFrame) -> DataFrame:
         .select("key", "at", F.array_min(ranked)["best"].alias("best"))
         .where(F.col("best").isNotNull())
     )
-
-
-def _point_type(points: DataFrame):
-    from pyspark.sql import types as T
-
-    return T.StructType([points.schema["at"], points.schema["best"]])

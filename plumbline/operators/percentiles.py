@@ -38,7 +38,7 @@ def exact_percentiles(
         F.col("_in_bucket"),
         F.sum("_in_bucket").over(whole).alias("_total"),
     )
-    # Nearest rank, in doubles as the reference has it.
+    # Nearest rank, computed in doubles.
     ranks = F.array(
         *[
             F.struct(

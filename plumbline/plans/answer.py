@@ -56,13 +56,15 @@ SERVER_ERROR = "server_error"
 
 @dataclass(frozen=True)
 class Options:
-    """How to answer. The defaults are the reference behaviour.
+    """How to answer. The defaults are what the README lists under Choices.
 
     ``fallback='none'`` abstains on an unknown product instead of taking the first release.
     ``boundary`` resolves vendors by whole words. ``strict`` abstains on one repeated
     character. ``day_first`` reads D-M-YYYY. ``evidence_limit`` keeps only the newest
-    patches of each feed. ``match`` is the rule of :func:`vendor_patch`. ``unavailable``
-    names the sources that could not be read: ``"patch"``, ``"os"``.
+    patches of each feed. ``match`` is the rule of :func:`vendor_patch`. ``component_type``
+    limits version questions to releases of that product type, where one table holds the
+    operating systems and the patches. ``unavailable`` names the sources that could not be
+    read: ``"patch"``, ``"os"``.
     """
 
     fallback: str = "first"
@@ -71,6 +73,7 @@ class Options:
     day_first: bool = False
     evidence_limit: int | None = None
     match: str = "first_tag"
+    component_type: str | None = None
     unavailable: frozenset = frozenset()
     source: str = "release table"
     names_source: str = "vendor_names"
@@ -109,12 +112,16 @@ def feeds(releases: DataFrame, options: Options) -> dict[str, DataFrame]:
     """The candidate releases of each lookup; an unreadable source has none."""
     none = releases.where(F.lit(False))
     patches = none if "patch" in options.unavailable else releases
+    components = none if "os" in options.unavailable else releases
+    if options.component_type is not None:
+        kind = F.lower(release_column(releases, "product_type"))
+        components = components.where(kind == options.component_type.lower())
 
     def patch_feed(vendor=None):
         return search_releases(patches, vendor, PATCH, options.evidence_limit)
 
     return {
-        OS_VERSION: none if "os" in options.unavailable else releases,
+        OS_VERSION: components,
         PATCH_FOR: patch_feed(),
         LINUX_TEXT: patch_feed(LINUX),
     }

@@ -1,7 +1,8 @@
 """Landed JSON: response bodies, one per row, unwrapped into release and vendor tables.
 
 A landed table has ``page`` (the order of the bodies) and ``body`` (the JSON text). The
-position of an item is its page and index, so ties resolve as they did in the list.
+position of an item is its page and index, so ties resolve as they did in the list. One task
+parses one body: land pages, not one body with everything.
 """
 
 from __future__ import annotations

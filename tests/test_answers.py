@@ -129,6 +129,15 @@ def test_unreadable_sources(ask, corpus, names):
     assert failed["answer"] == "" and (failed["flow"], failed["logged_vendor"]) == ("os", "unknown")
 
 
+def test_component_type(ask, releases, names):
+    docs = releases({"name": "Android", "ts_ms": 9}, {"name": "Android", "ts_ms": 1})
+    docs = docs.withColumn("product_type", F.when(F.col("pos") == 1, "OS").otherwise(""))
+    asked, listed = ask("Android version"), names("Android")
+    assert answers(asked, docs, listed)["Android version"]["matched_id"] == "d0"
+    row = answers(asked, docs, listed, component_type="os")["Android version"]
+    assert (row["matched_id"], row["items_count"]) == ("d1", 1)
+
+
 def test_no_vendor_list(ask, corpus, names):
     got = answers(ask("patch for linux", "android version"), corpus, names("x").where("false"))
     assert got["patch for linux"]["reason"] == "patch_vendor_not_in_names"
