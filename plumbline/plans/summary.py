@@ -98,7 +98,7 @@ def build_summary(events: DataFrame, wanted: SummaryFilter) -> DataFrame:
         latency.withColumn("tag", F.lit("latency")), allowMissingColumns=True
     ).unionByName(recent.withColumn("tag", F.lit("recent")), allowMissingColumns=True)
 
-    by_size = F.struct(-F.col("count"), F.col("first_pos"), F.col("label"))
+    by_size = F.struct((-F.col("count")).alias("less"), F.col("first_pos"), F.col("label"))
     event = F.col("event")
     whole = rows.agg(
         F.max_by("totals", F.when(F.col("tag") == "totals", 1)).alias("t"),
@@ -112,7 +112,7 @@ def build_summary(events: DataFrame, wanted: SummaryFilter) -> DataFrame:
 
     def top(name, as_name):
         return F.transform(
-            name, lambda x: F.struct(x["label"].alias(as_name), (-x["col1"]).alias("count"))
+            name, lambda x: F.struct(x["label"].alias(as_name), (-x["less"]).alias("count"))
         )
 
     def n(name):

@@ -47,17 +47,12 @@ RAW_RELEASE = T.StructType(
     + [T.StructField("version_search_tags", _TEXTS)]
 )
 
-# One line of the event log. Latency is read as a double so that a fraction or a
-# non-finite value does not void the whole line.
+# One line of the event log. Values are read as text and cast one by one, so that an odd
+# latency does not void the whole line.
 EVENT_LINE = T.StructType(
     [
-        T.StructField("ts", T.LongType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("flow", T.StringType()),
-        T.StructField("vendor", T.StringType()),
-        T.StructField("latencyMs", T.DoubleType()),
-        T.StructField("reason", T.StringType()),
-        T.StructField("isVendorFound", T.IntegerType()),
+        T.StructField(name, T.StringType())
+        for name in ("ts", "status", "flow", "vendor", "latencyMs", "reason", "isVendorFound")
     ]
 )
 

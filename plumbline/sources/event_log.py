@@ -27,13 +27,13 @@ def decode_events(lines: DataFrame, keep_last: int | None = None) -> DataFrame:
         .where(F.col("e").isNotNull() & F.col(f"e.{_CORRUPT}").isNull())
         .select(
             "pos",
-            F.timestamp_millis("e.ts").alias("ts"),
+            F.timestamp_millis(F.col("e.ts").try_cast("bigint")).alias("ts"),
             "e.status",
             "e.flow",
             "e.vendor",
-            F.col("e.latencyMs").alias("latency_ms"),
+            F.col("e.latencyMs").try_cast("double").alias("latency_ms"),
             "e.reason",
-            F.col("e.isVendorFound").alias("is_vendor_found"),
+            F.col("e.isVendorFound").try_cast("int").alias("is_vendor_found"),
         )
     )
     events = normalize_events(decoded)

@@ -70,10 +70,13 @@ def test_event_lines(spark):
         "[1]",
         ' {"ts":1000,"status":"","latencyMs":null,"isVendorFound":5}',
         "",
+        '{"ts":3000,"status":"error","vendor":"W","latencyMs":"soon","isVendorFound":{"a":1}}',
     ]
     table = spark.createDataFrame(list(enumerate(lines)), "stored_index long, line string")
     rows = event_log.decode_events(table).orderBy("pos").collect()
-    assert [(r["pos"], r["status"], r["flow"], r["latency_ms"], r["is_vendor_found"]) for r in rows] == [
+    fields = ("pos", "status", "flow", "latency_ms", "is_vendor_found")
+    assert [tuple(r[f] for f in fields) for r in rows] == [
+        (-6, "error", "unknown", None, None),
         (-4, "unknown", "unknown", None, None),
         (0, "answer", "os", 3, 1),
     ]
