@@ -14,13 +14,14 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from .batches import map_rows
-from .token_counts import PIECES, byte_characters
+from .pieces import Splitter
+from .token_counts import byte_characters
 
 #: Pieces remembered in one generation of a worker's memo; two generations are kept.
 REMEMBERED = 150_000
@@ -49,6 +50,12 @@ def build_tokenizer(ranks: dict[bytes, int]) -> Tokenizer:
     return tokenizer
 
 
+def rank_file_members(ranks: dict[bytes, int], pattern: str, text: str) -> str:
+    """The characters of ``text`` that match for the library rank files are made for."""
+    own = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return own.decode(own.encode_ordinary(text))
+
+
 @dataclass(frozen=True)
 class Encoded:
     """Ids of a text and, for each, where its first character starts and its last one ends.
@@ -69,7 +76,7 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.length_of = np.array([len(t) for t in self.bytes_of], dtype=np.int64)
-        self.pieces = regex.compile(PIECES).findall
+        self.pieces = Splitter(lambda pattern, text: rank_file_members(ranks, pattern, text)).split
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 

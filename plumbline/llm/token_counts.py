@@ -9,16 +9,15 @@ cost of a piece is n log n, whatever its length.
 from __future__ import annotations
 
 import json
+import re
 from heapq import heapify, heappop, heappush
 
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, pre_tokenizers
 
 from .batches import map_rows
-
-# The pattern that cuts a text into pieces before merging.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from .pieces import Splitter
 
 #: Pieces remembered in one generation of a worker's memo; two generations are kept.
 REMEMBERED = 200_000
@@ -88,6 +87,17 @@ class MergeTable:
         return last + 1 - merged
 
 
+def library_members(pattern: str, text: str) -> str:
+    """The characters of ``text`` that the tokenizers library finds to match."""
+    split = pre_tokenizers.Split(Regex(pattern), behavior="removed").pre_tokenize_str
+    found = []
+    for at in range(0, len(text), 1024):
+        block = text[at : at + 1024]
+        others = set("".join(piece for piece, _ in split(block)))
+        found.extend(c for c in block if c not in others)
+    return "".join(found)
+
+
 class Counter:
     """Counts the tokens of texts as the tokenizer file says; remembers the pieces it met."""
 
@@ -97,8 +107,8 @@ class Counter:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in told["model"]["merges"]]
         self.table = MergeTable(merges, told["model"]["vocab"])
         added = sorted((t["content"] for t in told.get("added_tokens", [])), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.pieces = regex.compile(PIECES).findall
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.pieces = Splitter(library_members).split
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
