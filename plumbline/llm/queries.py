@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import plumbline
 
-from . import byte_bpe, exact_dedup, token_counts
+from . import byte_bpe, exact_dedup, fingerprints, simhash_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+@query
+def op1_fingerprints(spark, sf_dir):
+    """Beside the contract's columns: for every id divisible by 100, how many documents lie
+    within three bits, itself included; null for the others."""
+    marks = fingerprints.with_next(documents(spark, sf_dir))
+    asked = F.col("doc_id") % 100 == 0
+    found = fingerprints.within_radius(marks, marks.where(asked), radius=3)
+    sizes = marks.groupBy(F.col("fingerprint").alias("match")).agg(F.count(F.lit(1)).alias("n"))
+    near = found.join(sizes, "match").groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
+    return marks.join(near, "fingerprint", "left").withColumn("n_near", F.when(asked, F.col("n_near")))
+
+
 @query
 def op2_token_counts(spark, sf_dir):
     path = public_tokenizers.path(COUNTED)
@@ -81,6 +93,11 @@ def op5_byte_bpe(spark, sf_dir):
     )
 
 
+@query
+def op9_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.near_duplicates(documents(spark, sf_dir), shingle=3, radius=3)
+
+
 SQL = {
     "op3_exact_dedup": f"""
 with digests as (
