@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import plumbline
 
-from . import byte_bpe, exact_dedup, fingerprints, simhash_dedup, token_counts
+from . import byte_bpe, exact_dedup, fingerprints, language_id, simhash_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +93,38 @@ def op5_byte_bpe(spark, sf_dir):
     )
 
 
+# Verdict, host and path of the rules.
+RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query
+def op6_url_filters(spark, sf_dir):
+    """The URLs that a rule decides are the labelled ones."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+def held_out():
+    """Whether a document is kept from learning: crc32 of the id as text, modulo 4, is 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def language_model(docs):
+    return language_id.learn(docs.where(~held_out()))
+
+
+@query
+def op8_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    told = language_id.predict(docs, language_model(docs))
+    return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 @query
 def op9_simhash_dedup(spark, sf_dir):
     return simhash_dedup.near_duplicates(documents(spark, sf_dir), shingle=3, radius=3)
