@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 import plumbline
 
-from . import byte_bpe, exact_dedup, fingerprints, language_id, simhash_dedup, token_counts, url_filter
+from . import byte_bpe, exact_dedup, fingerprints, language_id, mixing, simhash_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 COUNTED = "byte_bpe_50k.json"
 ENCODED = "byte_bpe_multi_50k.tiktoken"
+BLOCK = 64
 
 _queries: dict[str, Query] = {}
 
@@ -130,6 +131,11 @@ def op9_simhash_dedup(spark, sf_dir):
     return simhash_dedup.near_duplicates(documents(spark, sf_dir), shingle=3, radius=3)
 
 
+@query
+def op10_mixing(spark, sf_dir):
+    return mixing.mix_documents(documents(spark, sf_dir), block=BLOCK)
+
+
 SQL = {
     "op3_exact_dedup": f"""
 with digests as (
@@ -142,5 +148,61 @@ with digests as (
     from digests
 )
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from grouped
+""",
+    "op10_mixing": f"""
+with sizes as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size
+    from documents
+), sources as (
+    select source, cast(sum(size) as bigint) as source_size, count(*) as n_rows,
+        row_number() over (order by source nulls last) - 1 as rank
+    from sizes group by source
+), capped as (
+    select *, case rank % 3 when 0 then 3 when 1 then 1 else 2 end as weight,
+        source_size * 2.0::double as cap
+    from sources
+), levels as (
+    select *, (1.5::double * sum(source_size) over () - (sum(cap) over filling - cap))
+        / (sum(weight) over () - (sum(weight) over filling - weight)) as level
+    from capped
+    window filling as (order by cap / weight, rank rows unbounded preceding)
+), targets as (
+    select *, least(cap, max(level) over () * weight) as target from levels
+), counted as (
+    select *, cast(ceil(source_size / {BLOCK}.0) as bigint) as n_blocks,
+        case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as passes
+    from targets
+), quotas as (
+    select *, cast(least(round((target - passes * source_size) / {BLOCK}), n_blocks) as bigint) as rest
+    from counted
+), placed as (
+    select doc_id, size, q.rank, q.source_size, q.target, q.n_blocks, q.passes, q.rest,
+        sum(size) over (partition by q.rank order by
+            ((coalesce(doc_id, 0) % 2147483647 + 2147483647) % 2147483647 * 48271) % greatest(1, n_rows // {mixing.BUCKET}),
+            doc_id, size rows unbounded preceding) - size as first
+    from sizes s join quotas q on s.source is not distinct from q.source
+), factors as (
+    select rank, turn, n_blocks,
+        list_filter([{", ".join(f"{p}::bigint" for p in mixing.PRIMES)}], lambda p: n_blocks % p <> 0) as usable
+    from quotas, (select unnest([0, 1, 2]) as turn) where n_blocks > 0
+), slots as (
+    select f.rank, cast((
+        cast(usable[cast((f.rank * 7 + turn * 3) % len(usable) + 1 as bigint)] as hugeint) * j
+        + ((f.rank + 1) * 40503 + turn * 9973) % f.n_blocks
+    ) % f.n_blocks as bigint) as block
+    from factors f join quotas q on f.rank = q.rank,
+        unnest(range(case when turn < passes then q.n_blocks when turn = passes then q.rest else 0 end)) t(j)
+), times as (
+    select rank, block, count(*) as times from slots group by all
+), pieces as (
+    select rank, doc_id, first, unnest(range(cast(first // {BLOCK} as bigint), cast((first + size - 1) // {BLOCK} as bigint) + 1)) as block, size
+    from placed where size > 0
+), taken as (
+    select p.rank, p.doc_id, p.first,
+        cast(sum((least(p.first + size, (p.block + 1) * {BLOCK}) - greatest(p.first, p.block * {BLOCK})) * times) as bigint) as taken
+    from pieces p join times t on p.rank = t.rank and p.block = t.block group by all
+)
+select p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0) as taken
+from placed p left join taken t on p.size > 0 and p.rank = t.rank and p.first = t.first
 """,
 }
