@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import plumbline
 
-from . import byte_bpe, exact_dedup, fingerprints, language_id, mixing, simhash_dedup, token_counts, url_filter
+from . import byte_bpe, exact_dedup, fingerprints, language_id, mixing, simhash_dedup, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +86,19 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
+@query
+def op4_warc(spark, sf_dir):
+    """Size and digest of a response are those of the payload read back."""
+    records = warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")))
+    return records.select(
+        "page_id",
+        F.coalesce(F.octet_length("payload").cast("bigint"), "payload_bytes").alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), "digest").alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 @query
 def op5_byte_bpe(spark, sf_dir):
     coded = byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(ENCODED))
@@ -148,6 +161,19 @@ with digests as (
     from digests
 )
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from grouped
+""",
+    "op4_warc": f"""
+with payloads as (
+    select page_id, coalesce(html, '') as payload, sha256(coalesce(html, '')) as payload_digest from pages
+), grouped as (
+    select page_id, payload_digest, strlen(payload) as payload_bytes,
+        min(page_id) over (partition by payload_digest) as first
+    from payloads
+)
+select page_id, payload_bytes, payload_digest,
+    case when payload_bytes >= {warc.WORTH_IT} and first <> page_id then 'revisit' else 'response' end as record_type,
+    case when payload_bytes >= {warc.WORTH_IT} and first <> page_id then first end as refers_to
+from grouped
 """,
     "op10_mixing": f"""
 with sizes as (
