@@ -14,7 +14,18 @@ from pyspark.sql import functions as F
 
 import plumbline
 
-from . import byte_bpe, exact_dedup, fingerprints, language_id, mixing, simhash_dedup, token_counts, url_filter, warc
+from . import (
+    byte_bpe,
+    exact_dedup,
+    fingerprints,
+    language_id,
+    line_dedup,
+    mixing,
+    simhash_dedup,
+    token_counts,
+    url_filter,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +118,12 @@ def op5_byte_bpe(spark, sf_dir):
     )
 
 
+@query
+def op7_line_dedup(spark, sf_dir):
+    cleaned = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 # Verdict, host and path of the rules.
 RULES = [
     ("allow", "org", "/"),
