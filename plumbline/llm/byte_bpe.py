@@ -132,15 +132,14 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _rows(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    return rows, rows.schema["doc_id"].dataType.simpleString()
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, ids, starts, ends)``: token ids with their character spans, one row per input
     row. A null text is empty and has no tokens."""
-    rows, kind = _rows(docs, doc_id, text)
+    rows = _rows(docs, doc_id, text)
 
     def make():
         own = codec(path)
@@ -148,7 +147,6 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         def work(rows):
             coded = [own.with_offsets(t, p) for t, p in zip(rows["text"], own.encode(rows["text"]))]
             return {
-                "doc_id": rows["doc_id"],
                 "ids": [c.ids.astype(np.int32) for c in coded],
                 "starts": [c.starts.astype(np.int32) for c in coded],
                 "ends": [c.ends.astype(np.int32) for c in coded],
@@ -156,31 +154,30 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
         return work
 
-    return map_rows(rows, f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>", make)
+    return map_rows(rows, ["doc_id"], ["text"], "ids array<int>, starts array<int>, ends array<int>", make)
 
 
 def decode(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``(doc_id, bytes, text)`` of rows with token ids; null ids are none. Bytes that are no
     UTF-8 show as U+FFFD in ``text`` only."""
     rows = coded.select(F.col(doc_id).alias("doc_id"), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def make():
         own = codec(path)
 
         def work(rows):
             raw = [own.decode_bytes(np.array(i, dtype="<u4").tobytes()) for i in rows["ids"]]
-            return {"doc_id": rows["doc_id"], "bytes": raw, "text": [r.decode("utf-8", errors="replace") for r in raw]}
+            return {"bytes": raw, "text": [r.decode("utf-8", errors="replace") for r in raw]}
 
         return work
 
-    return map_rows(rows, f"doc_id {kind}, bytes binary, text string", make)
+    return map_rows(rows, ["doc_id"], ["ids"], "bytes binary, text string", make)
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, ids, ids_sha256, decoded_sha256)``: encoded, decoded again from the ids, in one
     pass over each batch. ``ids`` are packed, little-endian unsigned 32-bit."""
-    rows, kind = _rows(docs, doc_id, text)
+    rows = _rows(docs, doc_id, text)
 
     def make():
         own = codec(path)
@@ -188,7 +185,6 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
         def work(rows):
             packed = own.encode(rows["text"])
             return {
-                "doc_id": rows["doc_id"],
                 "ids": packed,
                 "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed],
                 "decoded_sha256": [hashlib.sha256(own.decode_bytes(p)).hexdigest() for p in packed],
@@ -196,5 +192,5 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
         return work
 
-    schema = f"doc_id {kind}, ids binary, ids_sha256 string, decoded_sha256 string"
-    return map_rows(rows, schema, make)
+    added = "ids binary, ids_sha256 string, decoded_sha256 string"
+    return map_rows(rows, ["doc_id"], ["text"], added, make)

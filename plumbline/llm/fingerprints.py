@@ -72,15 +72,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``(doc_id, fingerprint)``, 16 lower-case hex digits, one row per input row. A null text
     counts as empty; a text without a word has fingerprint zero."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def make():
-        return lambda rows: {
-            "doc_id": rows["doc_id"],
-            "fingerprint": [as_hex(fingerprint(t)) for t in rows["text"]],
-        }
+        return lambda rows: {"fingerprint": [as_hex(fingerprint(t)) for t in rows["text"]]}
 
-    return map_rows(rows, f"doc_id {kind}, fingerprint string", make)
+    return map_rows(rows, ["doc_id"], ["text"], "fingerprint string", make)
 
 
 def edited(text: str, following: str) -> str:
@@ -169,11 +165,11 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             made = [
                 _judge(t, fingerprint(t), h, fingerprint(h)) for t, h in zip(rows["text"], rows["head_text"])
             ]
-            return {"doc_id": rows["doc_id"], **{n: [m[n] for m in made] for n in names}}
+            return {n: [m[n] for m in made] for n in names}
 
         return work
 
-    closed = map_rows(ends, f"doc_id {kind}, {_JUDGED}", make)
+    closed = map_rows(ends, ["doc_id"], ["text", "head_text"], _JUDGED, make)
     return staged.where(F.col("edge").isNull()).select("doc_id", *names).unionByName(closed)
 
 

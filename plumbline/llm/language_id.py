@@ -249,44 +249,40 @@ class Reader:
         ]
 
 
-def _reading(docs: DataFrame, model: Model, penalty: float, doc_id: str, text: str, schema: str, work) -> DataFrame:
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def _reading(docs: DataFrame, model: Model, penalty: float, text: str, added: str, work) -> DataFrame:
+    keep = [c for c in docs.columns if c not in T.StructType.fromDDL(added).names]
+    rows = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def make():
         reader = Reader(shared.value, penalty)
         return lambda rows: work(reader, rows)
 
-    return map_rows(rows, f"doc_id {kind}, {schema}", make)
+    return map_rows(rows, keep, ["_text"], added, make)
 
 
-def predict(
-    docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = 8.0
-) -> DataFrame:
-    """``(doc_id, lang_pred, score, n_spans)``, one row per input row. A null text, one without a
+def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float = 8.0) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``n_spans`` added (columns of these names are
+    replaced), one row per input row. A null text, one without a
     letter, or a model without languages gives ``und`` with score 0. Ties go to the language
     that sorts first."""
 
     def work(reader, rows):
-        told = [reader.judge(t) for t in rows["text"]]
+        told = [reader.judge(t) for t in rows["_text"]]
         return {
-            "doc_id": rows["doc_id"],
             "lang_pred": [t[0] for t in told],
             "score": [t[1] for t in told],
             "n_spans": [t[2] for t in told],
         }
 
-    return _reading(docs, model, penalty, doc_id, text, "lang_pred string, score double, n_spans int", work)
+    return _reading(docs, model, penalty, text, "lang_pred string, score double, n_spans int", work)
 
 
-def label_spans(
-    docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", penalty: float = 8.0
-) -> DataFrame:
-    """``(doc_id, spans)`` with the spans of each text; none for a text without letters."""
+def label_spans(docs: DataFrame, model: Model, text: str = "text", penalty: float = 8.0) -> DataFrame:
+    """``docs`` with ``spans`` added: the spans of each text, none for a text without letters."""
 
     def work(reader, rows):
-        return {"doc_id": rows["doc_id"], "spans": [reader.spans(t) for t in rows["text"]]}
+        return {"spans": [reader.spans(t) for t in rows["_text"]]}
 
     kind = "spans array<struct<lang:string,start:int,end:int>>"
-    return _reading(docs, model, penalty, doc_id, text, kind, work)
+    return _reading(docs, model, penalty, text, kind, work)

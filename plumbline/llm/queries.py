@@ -152,7 +152,7 @@ def language_model(docs):
 @query
 def op8_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    told = language_id.predict(docs, language_model(docs))
+    told = language_id.predict(docs.select("doc_id", "text"), language_model(docs))
     return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_spans")
 
 

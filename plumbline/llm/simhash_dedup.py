@@ -56,16 +56,15 @@ def simhash(text: str, shingle: int = 3) -> int:
 def simhashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """``(doc_id, mark)``, the fingerprint as a signed long. Null texts count as empty."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def make():
         def work(rows):
             marks = np.array([simhash(t, shingle) for t in rows["text"]], dtype=np.uint64)
-            return {"doc_id": rows["doc_id"], "mark": marks.view(np.int64)}
+            return {"mark": marks.view(np.int64)}
 
         return work
 
-    return map_rows(rows, f"doc_id {kind}, mark bigint", make)
+    return map_rows(rows, ["doc_id"], ["text"], "mark bigint", make)
 
 
 # -- candidates ----------------------------------------------------------------------------

@@ -160,17 +160,14 @@ def token_counts(
     as empty: no bytes, no tokens. Repeated rows are counted each.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
     def make():
         count = counter(path).count
         return lambda rows: {
-            "doc_id": rows["doc_id"],
             "n_bytes": [len(t.encode()) for t in rows["text"]],
             "n_tokens": [count(t) for t in rows["text"]],
         }
 
-    counted = map_rows(rows, f"doc_id {kind}, n_bytes bigint, n_tokens bigint", make)
+    counted = map_rows(rows, ["doc_id"], ["text"], "n_bytes bigint, n_tokens bigint", make)
     return counted.withColumn("over_limit", over(F.col("n_tokens"), limit))
 
 
