@@ -65,3 +65,15 @@ def clip(text: Column, length: int) -> Column:
         F.substring(text, 1, length),
         F.when(F.length(text) > length, F.lit("…")).otherwise(F.lit("")),
     )
+
+
+SHORT_TEXT = 128
+
+
+def text_key(text: Column) -> Column:
+    """Key of a text in joins and groupings: the text, or a digest of a long one. A digest is
+    longer than any text that is its own key, so no text has the key of another one's digest.
+    Never null, and known to be: a null test pushed into one branch of a plan would keep the
+    branches from sharing their shuffle."""
+    digest = F.concat(F.lit("#"), F.coalesce(F.sha2(text, 512), F.lit("")))
+    return F.when(F.length(text) <= SHORT_TEXT, text).otherwise(digest)

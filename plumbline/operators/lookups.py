@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_digits
-from .containment import find_needles
+from ..functions.text import text_key
+from .containment import find_in_texts, find_needles
 from .index import (
     BY_DATE,
     BY_TAG,
@@ -103,39 +104,50 @@ def vendor_patch(
 
 
 def pick_vendor(requests: DataFrame, index: DataFrame, match: str = "first_tag") -> DataFrame:
+    """Vendors are free text and travel as their key. The two directions of containment scale
+    apart. A tag inside a vendor: vendors are many, their tags few, so each vendor's own
+    dates meet the index by tag and date. A vendor inside a tag: a tag has few such vendors, so
+    the index, cut to asked dates, is folded per vendor."""
     by_tag = match == "first_tag"
     index = index.where(F.col("rule") != CORPUS).select("key", "rule", F.col("date").alias("on"), "order")
-
-    vendors = requests.select(F.col("key").alias("vendor")).distinct()
+    asked = requests.select(
+        F.col("key").alias("vendor"),
+        text_key(F.col("key")).alias("vendor_key"),
+        date_digits(F.col("date")).alias("digits"),
+        "date",
+    )
+    vendors = asked.select("vendor_key", "vendor").distinct()
     keys = index.select("key").distinct()
-    pairs = find_needles(keys, "key", vendors, "vendor").select("vendor", "key")
-    if by_tag:
-        inside = find_needles(vendors, "vendor", keys.where(F.col("key") != ""), "key")
-        anyone = vendors.select("vendor", F.lit("").alias("key"))
-        pairs = pairs.unionByName(inside.select("vendor", "key")).unionByName(anyone)
 
     def probe(rule: int, on: Column) -> Column:
         return F.struct(F.lit(rule).alias("rule"), on.alias("on"))
 
-    newest, exact = probe(NEWEST, F.lit("")), probe(BY_DATE, F.col("date"))
+    newest, exact = probe(NEWEST, F.lit("")), probe(BY_DATE, F.col("digits"))
     dated = [probe(BY_TAG, F.col("date"))] if by_tag else []
     rules = F.when(F.col("date") == "", F.array(newest)).otherwise(F.array(*dated, exact, newest))
-    probes = requests.select(
-        F.col("key").alias("vendor"), "date", F.inline(rules)
-    )
-    by_vendor = (
-        index.join(probes.select("rule", "on").distinct(), ["rule", "on"], "left_semi")
-        .join(pairs.distinct(), "key")
-        .groupBy("vendor", "rule", "on")
-        .agg(F.min("order").alias("order"))
-    )
+    probes = asked.select("vendor_key", "date", F.inline(rules))
+    own = probes.select("vendor_key", "rule", "on").distinct()
+
+    def folded(met: DataFrame) -> DataFrame:
+        return met.groupBy("vendor_key", "rule", "on").agg(F.min("order").alias("order"))
+
+    holding = find_needles(keys, "key", vendors, "vendor").select("vendor_key", "key").distinct()
+    cut = index.join(own.select("rule", "on").distinct(), ["rule", "on"], "left_semi")
+    best = folded(cut.join(holding, "key"))
+    if by_tag:
+        inside = find_in_texts(vendors, "vendor", keys.where(F.col("key") != ""), "key")
+        inside = inside.select("vendor_key", "key").distinct()
+        anyone = vendors.select("vendor_key", F.lit("").alias("key"))
+        tried = own.join(inside.unionByName(anyone), "vendor_key")
+        best = folded(best.unionByName(folded(tried.join(index, ["key", "rule", "on"]))))
     chosen = (
-        probes.join(by_vendor, ["vendor", "rule", "on"])
-        .groupBy(F.col("vendor").alias("key"), "date")
+        probes.join(best, ["vendor_key", "rule", "on"])
+        .groupBy("vendor_key", "date")
         .agg(F.min(F.struct("rule", "order")).alias("best"))
-        .select("key", "date", F.col("best.order.pos").alias("pos"))
+        .select("vendor_key", "date", F.col("best.order.pos").alias("pos"))
     )
-    return requests.select("key", "date").join(chosen, ["key", "date"], "left")
+    found = requests.withColumn("vendor_key", text_key(F.col("key")))
+    return found.select("key", "date", "vendor_key").join(chosen, ["vendor_key", "date"], "left").select("key", "date", "pos")
 
 
 def dated_patch(requests: DataFrame, candidates: DataFrame) -> DataFrame:

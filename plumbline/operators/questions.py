@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import question_date
-from ..functions.text import asks_for_release, one_repeated_character, patch_vendor, strip
+from ..functions.text import (
+    asks_for_release,
+    one_repeated_character,
+    patch_vendor,
+    strip,
+    text_key,
+)
 from .vendors import resolve_vendor, vendors_in_names
 
-SHORT_TEXT = 128
-
 # Branches and the flow each is logged under.
 PATCH_FOR, LINUX_TEXT, OS_VERSION, UNKNOWN = "patch_for", "linux_text", "os", "unknown"
 
@@ -74,14 +78,6 @@ def route(df: DataFrame, strict: bool = False) -> DataFrame:
     return df.withColumn("branch", branch).withColumn("flow", flow)
 
 
-def text_key(text: Column) -> Column:
-    """Key of a text in joins and groupings: the text, or a digest of a long one. Never null,
-    and known to be: a null test pushed into one branch of a plan would keep the branches
-    from sharing their shuffle."""
-    digest = F.coalesce(F.sha2(text, 256), F.lit(""))
-    return F.when(F.length(text) <= SHORT_TEXT, text).otherwise(digest)
-
-
 def with_texts(questions: DataFrame, *keep: str) -> DataFrame:
     """``(question_id, text, text_key, *keep)`` of every question."""
     return questions.select("question_id", question_text(questions).alias("text"), *keep).withColumn(
@@ -90,5 +86,11 @@ def with_texts(questions: DataFrame, *keep: str) -> DataFrame:
 
 
 def distinct_texts(questions: DataFrame) -> DataFrame:
-    """``(text_key, text)``, each text once. Copies are folded before the shuffle."""
+    """``(text_key, text)``, each text once. Copies are folded before the shuffle. Grouped by
+    the key alone, so that a filter on texts stays above it and branches of a plan share it."""
     return with_texts(questions).groupBy("text_key").agg(F.first("text").alias("text"))
+
+
+def folded_texts(questions: DataFrame) -> DataFrame:
+    """The same for a frame that is staged at once: folded by hashing, without a sort."""
+    return with_texts(questions).select("text_key", "text").distinct()

@@ -7,8 +7,10 @@ shuffles, and adaptive execution splits the partition of a hot key.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,21 +22,37 @@ BROADCAST_BYTES = 128 * 1024 * 1024
 ROW_OVERHEAD = 64
 _TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
 
-_local_folder: str | None = None
+
+_run: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local session may go
-    without one; it gets a temporary folder, which no executor elsewhere could read."""
-    global _local_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    """The folder for intermediate tables: the one ``spark.checkpoint.dir`` names, else the one
+    set with ``setCheckpointDir``. It must be one that every executor can reach; the library
+    never chooses one itself."""
+    named = _run.get() or spark.conf.get("spark.checkpoint.dir", None)
+    named = named or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="plumbline-")
-    return _local_folder
+    return named.rstrip("/")
+
+
+@contextmanager
+def run_folder(spark: SparkSession, label: str = "run") -> Iterator[str]:
+    """Everything staged inside goes to one new folder, which is yielded. Frames made inside
+    read from it: write what they hold before :func:`drop_folder` is called on it."""
+    folder = new_folder(spark, label)
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a run's staged tables, wherever they lie."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

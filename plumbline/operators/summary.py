@@ -22,7 +22,8 @@ STATUSES = ("all", "answer", "abstain", "error")
 @dataclass(frozen=True)
 class SummaryFilter:
     """Which events to summarise. ``as_of`` is the last day; values outside the known
-    flows and statuses mean ``all``; the range, also as text, is held between 1 and 90 days."""
+    flows and statuses mean ``all``. ``range_days``, also as text, is held between 1 and 90
+    days without a warning: a longer range is cut to its last 90 days."""
 
     as_of: dt.date
     range_days: int = 1
@@ -163,13 +164,9 @@ def daily_counts(events: DataFrame, wanted: SummaryFilter) -> DataFrame:
 
 
 def bar_widths(counted: DataFrame) -> DataFrame:
-    """Add the largest count (at least 1) and each row's share of it in percent. For the
-    short lists above, which are gathered into one row."""
-    gathered = counted.agg(
-        F.greatest(F.max("count"), F.lit(1)).alias("max_count"),
-        F.collect_list(F.struct(*counted.columns)).alias("rows"),
-    )
-    return gathered.select("max_count", F.inline("rows")).withColumn(
+    """Add the largest count (at least 1) and each row's share of it in percent."""
+    largest = counted.agg(F.greatest(F.max("count"), F.lit(1))).scalar()
+    return counted.withColumn("max_count", largest).withColumn(
         "width", F.col("count") / F.col("max_count") * 100.0
     )
 
@@ -180,9 +177,9 @@ def recent_events(events: DataFrame, n: int = RECENT) -> DataFrame:
 
 
 def today_top_vendors(
-    events: DataFrame, as_of: dt.date, k: int = TODAY_VENDORS, recent: int | None = RECENT
+    events: DataFrame, as_of: dt.date, k: int = TODAY_VENDORS, recent: int | None = None
 ) -> DataFrame:
-    """Vendors of one day among the most recent events, or among all with ``recent=None``.
+    """Vendors of one day, or of its events among the ``recent`` newest of the log.
     An event without a time counts as that day's; ties go to the one listed first."""
     rows = events if recent is None else recent_events(events, recent)
     age = F.struct(-F.unix_micros("ts"), F.col("pos"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, strip
+from ..functions.text import fold, strip, text_key
 from .containment import find_in_texts, find_needles
 
 WORD_EDGE = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
@@ -63,7 +63,9 @@ def _whole_words(texts: DataFrame, names: DataFrame) -> DataFrame:
 def vendors_in_names(vendors: DataFrame, vendor: str, vendor_names: DataFrame) -> DataFrame:
     """The vendors that contain a listed name or lie inside one, each once."""
     asked = vendors.select(fold(vendor).alias(vendor)).where(F.col(vendor) != "").distinct()
+    asked = asked.withColumn("_vendor_key", text_key(F.col(vendor)))
     names = name_dictionary(vendor_names).select("folded")
-    holding = find_needles(asked, vendor, names, "folded").select(vendor)
-    held = find_needles(names, "folded", asked, vendor).select(vendor)
-    return holding.unionByName(held).distinct()
+    holding = find_in_texts(asked, vendor, names, "folded").select("_vendor_key")
+    held = find_needles(names, "folded", asked, vendor).select("_vendor_key")
+    found = holding.unionByName(held).distinct()
+    return asked.join(found, "_vendor_key", "left_semi").select(vendor)

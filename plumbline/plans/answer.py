@@ -29,7 +29,7 @@ from ..operators.questions import (
     PATCH_FOR,
     UNKNOWN,
     add_vendors,
-    distinct_texts,
+    folded_texts,
     parse,
     route,
     with_texts,
@@ -89,7 +89,7 @@ def route_texts(
 ) -> DataFrame:
     """Distinct texts with their branch and the request they make, if any. The parsed texts
     and the names are staged: each is read several times, and parsed once."""
-    texts = parse(distinct_texts(questions), day_first=options.day_first).drop("text")
+    texts = parse(folded_texts(questions), day_first=options.day_first).drop("text")
     texts = stage(texts, "texts", work_folder)
     names = stage(name_dictionary(vendor_names), "names", work_folder)
     routed = route(add_vendors(texts, names, options.boundary), options.strict)

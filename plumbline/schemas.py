@@ -41,9 +41,13 @@ RELEASE_FIELDS = [
     ("classification", CLASSIFICATION, "classification"),
 ]
 
-# Landed document: the fields above plus the second spelling of the search tags.
+# Landed document: the fields above plus the second spelling of the search tags. The timestamp
+# is read as text, since it comes as a number or as a text.
 RAW_RELEASE = T.StructType(
-    [T.StructField(raw, kind) for _, kind, raw in RELEASE_FIELDS]
+    [
+        T.StructField(raw, T.StringType() if name == "ts_ms" else kind)
+        for name, kind, raw in RELEASE_FIELDS
+    ]
     + [T.StructField("version_search_tags", _TEXTS)]
 )
 

@@ -3,6 +3,10 @@
 A landed table has ``page`` (the order of the bodies) and ``body`` (the JSON text). The
 position of an item is its page and index, so ties resolve as they did in the list. One task
 parses one body: land pages, not one body with everything.
+
+Bodies up to ``LARGE`` bytes are parsed as variants, which take any JSON. A variant has a size limit, so larger
+bodies are read straight into the item type: complete, or with an error when they are
+malformed, never as nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ PATCH_FIELDS = ("data", "components")
 NAME_FIELDS = ("names", "data")
 
 PAGE_SPAN = 2**32
+LARGE = 16 * 1024 * 1024  # an eighth of the limit, since a parsed body may be longer than its text
 
 
 def _is_array(value: Column) -> Column:
@@ -29,6 +34,28 @@ def _is_array(value: Column) -> Column:
 def unwrap(landed: DataFrame, item: T.DataType, fields: tuple[str, ...]) -> DataFrame:
     """``(page, pos, item)``: the items of every body. A body that is no JSON, or whose list
     is missing or something else, has none."""
+    size = F.octet_length("body")
+    small = _unwrap_small(landed.where(size <= LARGE), item, fields)
+    return small.unionByName(_unwrap_large(landed.where(size > LARGE), item, fields))
+
+
+def _unwrap_large(landed: DataFrame, item: T.DataType, fields: tuple[str, ...]) -> DataFrame:
+    """The same for bodies past the limit of variants. What begins with a bracket is a list,
+    what begins with a brace an envelope; the first field that is there decides."""
+    begins = F.regexp_extract("body", r"\A\s*(.)", 1)
+    strict = {"mode": "FAILFAST"}
+    listed = F.from_json("body", T.ArrayType(item), strict)
+    envelope = T.StructType([T.StructField(f, T.ArrayType(item)) for f in fields])
+    enclosed = F.from_json("body", envelope, strict)
+    chosen = F.when(begins == "[", listed).when(
+        begins == "{", F.coalesce(*[enclosed[f] for f in fields])
+    )
+    return landed.select("page", F.posexplode(chosen).alias("index", "item")).select(
+        "page", (F.col("page") * PAGE_SPAN + F.col("index")).alias("pos"), "item"
+    )
+
+
+def _unwrap_small(landed: DataFrame, item: T.DataType, fields: tuple[str, ...]) -> DataFrame:
     body = F.try_parse_json("body")
     inner = [F.try_variant_get("parsed", f"$.{f}", "variant") for f in fields]
     chosen = F.coalesce(
@@ -52,6 +79,8 @@ def releases_from(landed: DataFrame, fields: tuple[str, ...] = COMPONENT_FIELDS)
     columns = []
     for name, _, raw in RELEASE_FIELDS:
         value = F.col(f"item.{raw}")
+        if name == "ts_ms":  # a number, or a text that holds one
+            value = F.expr(f"try_cast(try_cast(item.{raw} as double) as bigint)")
         if name == "tags":
             value = F.coalesce(value, F.col("item.version_search_tags"))
         columns.append(value.alias(name))

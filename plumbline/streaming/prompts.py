@@ -22,7 +22,7 @@ def prompts_stream(
     def merge(batch: DataFrame, batch_id: int) -> None:
         newest = last_prompts(batch, n)
         if batch_id > 0:
-            before = _read(batch.sparkSession, path).where(F.col("batch") == batch_id - 1)
+            before = batch.sparkSession.read.schema(_COLUMNS).parquet(f"{path}/batch={batch_id - 1}")
             kept = before.select("question_id", "asked_at", F.col("prompt").alias("question"))
             newest = last_prompts(
                 newest.withColumnRenamed("prompt", "question").unionByName(kept), n

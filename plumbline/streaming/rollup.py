@@ -1,8 +1,10 @@
 """Daily rollup of a stream of events.
 
 State holds one row per day, flow and status of counts that add up, so it stays small
-whatever the traffic. Days are emitted once they are closed by the watermark; later rows
-are dropped. Days are UTC.
+whatever the traffic. Days are those of the session's time zone, as in the batch summary and the
+log. A stream emits rows once the watermark has closed their 24 hours of UTC, so a local day may
+come in two rows that add up; later rows are dropped. What is still open is in the log: the
+same functions over the appended log give every day, today included.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ def daily_rollup(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Counts per day, flow and status; works on streams and on tables."""
     return (
         events.withWatermark("ts", watermark)
-        .groupBy(F.window("ts", "1 day").alias("w"), "flow", "status")
+        .groupBy(F.window("ts", "1 day").alias("w"), day_key(F.col("ts")).alias("day"), "flow", "status")
         .agg(
             F.count(F.lit(1)).alias("total"),
             F.count_if(F.col("is_vendor_found") == 0).alias("vendor_not_found"),
             F.count("latency_ms").alias("latency_n"),
             F.sum("latency_ms").alias("latency_sum"),
         )
-        .select(day_key(F.col("w.start")).alias("day"), "flow", "status", *COUNTS)
+        .select("day", "flow", "status", *COUNTS)
     )
 
 

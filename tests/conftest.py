@@ -14,8 +14,9 @@ RELEASE_SCHEMA = (
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session(8, partitions=4)
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("staged")))
     yield session
     session.stop()
 

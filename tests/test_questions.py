@@ -1,8 +1,11 @@
+import hashlib
+
 import pytest
 
 from plumbline.operators.questions import (
     add_vendors,
     distinct_texts,
+    folded_texts,
     parse,
     question_text,
     route,
@@ -98,4 +101,13 @@ def test_copies_are_folded_and_long_texts_keep_a_short_key(ask):
     long = "linux " * 4000
     texts = distinct_texts(ask(long, long + " ", "short", "short"))
     rows = texts.select("text_key", F.length("text").alias("n")).collect()
-    assert sorted((len(r["text_key"]), r["n"]) for r in rows) == [(5, 5), (64, 23999)]
+    assert sorted((len(r["text_key"]), r["n"]) for r in rows) == [(5, 5), (129, 23999)]
+
+
+def test_a_text_never_has_the_key_of_a_digest(ask):
+    long = "android version " * 20
+    asked = ask(long, hashlib.sha512(long.strip().encode()).hexdigest())
+    digest = "#" + hashlib.sha512(long.strip().encode()).hexdigest()
+    for texts in (distinct_texts(asked), folded_texts(asked), folded_texts(ask(long, digest))):
+        assert texts.select("text_key").distinct().count() == 2
+        assert texts.count() == 2

@@ -50,6 +50,35 @@ def test_release_columns(bodies):
     assert rows[1]["tags"] == ["x"] and rows[1]["name"] is None
 
 
+def test_large_bodies_are_complete_or_an_error(bodies, monkeypatch):
+    good = bodies(
+        '  [{"_id":"a"},{"_id":"b"}]',
+        '{"components":[{"_id":"c"}],"data":[{"_id":"no"}]}',
+        '{"components":null,"data":[{"_id":"e"}]}',
+        '{"total":3}',
+    )
+    small = landed.releases_from(good).orderBy("pos").collect()
+    monkeypatch.setattr(landed, "LARGE", 3)
+    assert landed.releases_from(good).orderBy("pos").collect() == small and len(small) == 4
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        landed.releases_from(bodies('[{"_id":"a"},')).collect()
+
+
+def test_timestamps_are_numbers_or_texts(bodies):
+    body = '[{"versionTimestamp":"170"},{"versionTimestamp":1.5},{"versionTimestamp":"x"},{}]'
+    rows = landed.releases_from(bodies(body)).orderBy("pos").collect()
+    assert [r["ts_ms"] for r in rows] == [170, 1, None, None]
+
+
+def test_a_run_folder_holds_all_and_can_be_dropped(spark):
+    with staging.run_folder(spark) as folder:
+        staged = staging.stage(spark.range(3), "numbers")
+    path = folder.removeprefix("file:")
+    assert staged.count() == 3 and os.listdir(path)
+    staging.drop_folder(spark, folder)
+    assert not os.path.exists(path)
+
+
 def test_vendor_names(bodies, spark):
     names = landed.vendor_names_from(bodies('["a"]', '{"names":["b","c"]}', '{"data":["d"]}', "no"))
     assert [r["name"] for r in landed.list_vendors(names).collect()] == ["a", "b", "c", "d"]
@@ -113,12 +142,17 @@ stage(spark.range(3), "numbers")
     assert len(list((tmp_path / "shared").glob("numbers-*"))) == 1
 
 
-def test_only_a_local_session_may_lack_the_folder():
+def test_the_library_chooses_no_folder_itself():
     class Session:
+        class sparkContext:
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
         class conf:
             @staticmethod
             def get(name, default=None):
-                return {"spark.master": "yarn"}.get(name, default)
+                return {"spark.master": "local[1]"}.get(name, default)
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging.shared_folder(Session())

@@ -114,3 +114,35 @@ def test_refreshed_releases(spark, tmp_path, releases, names):
     ).awaitTermination()
     seen = spark.read.parquet(path).groupBy("batch").agg(F.max("items_count"))
     assert sorted(tuple(r) for r in seen.collect()) == [(0, 1), (1, 2)]
+
+
+def test_days_of_the_stream_the_log_and_the_summary_agree(spark, tmp_path):
+    """In a zone behind UTC, evening events belong to the local day everywhere."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    times = ["2024-01-15T02:00:00Z", "2024-01-15T20:00:00Z", "2024-01-16T03:00:00Z", "2024-01-20T12:00:00Z"]
+    rows = spark.createDataFrame(list(enumerate(times)), "pos long, at string")
+    rows = rows.selectExpr(
+        "pos", "to_timestamp(at) as ts", "'answer' as status", "'os' as flow", "'v' as vendor",
+        "5L as latency_ms", "string(null) as reason", "1 as is_vendor_found",
+    )
+    try:
+        for name, want in (
+            ("America/New_York", {"2024-01-14": 1, "2024-01-15": 2, "2024-01-20": 1}),
+            ("UTC", {"2024-01-15": 2, "2024-01-16": 1, "2024-01-20": 1}),
+        ):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            inbox, log = str(tmp_path / f"in-{name}"), str(tmp_path / f"log-{name}")
+            rows.write.parquet(inbox)
+            stream = spark.readStream.schema(rows.schema).parquet(inbox)
+            append_stream(stream, log, str(tmp_path / f"check-{name}"), ONCE).awaitTermination()
+            live = rollup_by_day(daily_rollup(spark.read.parquet(log)))
+            assert {str(r["day"]): r["total"] for r in live.collect()} == want
+            days = spark.read.parquet(log).groupBy(F.col("day").cast("string").alias("day")).count()
+            assert {r["day"]: r["count"] for r in days.collect()} == want
+            path = str(tmp_path / f"rollup-{name}")
+            stream = spark.readStream.schema(rows.schema).parquet(inbox)
+            write_rollup(daily_rollup(stream), path, str(tmp_path / f"c-{name}"), ONCE).awaitTermination()
+            closed = rollup_by_day(spark.read.parquet(path)).collect()
+            assert {str(r["day"]): r["total"] for r in closed} == {d: n for d, n in want.items() if d < "2024-01-20"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -513,6 +513,20 @@ CLEAN = r"""array_to_string(list_filter(
   ), chr(10))"""
 
 
+def days(kept: str) -> str:
+    """Totals, rates and mean latency of the log's days."""
+    return f"""select *, {percent("abstained", "total")} as abstain_rate,
+          {percent("answered", "total")} as answer_rate
+        from (select strftime(ts, '%Y-%m-%d') as day, count(*) as total,
+            count(*) filter (where status = 'answer') as answered,
+            count(*) filter (where status = 'abstain') as abstained,
+            count(*) filter (where status = 'error') as errors,
+            count(*) filter (where is_vendor_found = 0) as vendor_not_found,
+            {MEAN} as latency_mean
+          from log {kept}
+          group by 1)"""
+
+
 def statements() -> dict[str, str]:
     answered = "case when status = 'answer' then {} end"
     return {
@@ -746,18 +760,9 @@ def statements() -> dict[str, str]:
             "log",
         ),
         "stream_daily_rollup": sql(
-            f"""select *, {percent("abstained", "total")} as abstain_rate,
-              {percent("answered", "total")} as answer_rate
-            from (select strftime(ts, '%Y-%m-%d') as day, count(*) as total,
-                count(*) filter (where status = 'answer') as answered,
-                count(*) filter (where status = 'abstain') as abstained,
-                count(*) filter (where status = 'error') as errors,
-                count(*) filter (where is_vendor_found = 0) as vendor_not_found,
-                {MEAN} as latency_mean
-              from log where ts::date + 1 <= (select max(ts) - interval 1 hour from log)
-              group by 1)""",
-            "log",
+            days("where ts::date + 1 <= (select max(ts) - interval 1 hour from log)"), "log"
         ),
+        "stream_daily_live": sql(days(""), "log"),
         "stream_event_log": sql(
             "select pos, epoch_us(ts) // 1000 as ts, status, flow, vendor from log", "log"
         ),

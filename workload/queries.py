@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,12 +43,20 @@ def query(fn: Query) -> Query:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ensure_folder(spark)
         return fn(spark, sf_dir)
 
     _queries[fn.__name__.removesuffix("_")] = run
     return run
 
 
+def ensure_folder(spark: SparkSession) -> None:
+    """A folder for intermediate tables, for local sessions that name none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+
+
 def all_queries() -> dict[str, Query]:
     return dict(_queries)
 
@@ -399,13 +408,14 @@ def retain_last(spark, sf_dir):
 
 @query
 def today_top_vendors(spark, sf_dir):
-    return summary.today_top_vendors(views.answer_events(spark, sf_dir), AS_OF)
+    """Among the twelve newest events, as a dashboard lists them."""
+    return summary.today_top_vendors(views.answer_events(spark, sf_dir), AS_OF, recent=summary.RECENT)
 
 
 @query
 def day_top_vendors(spark, sf_dir):
     """The same over the day's whole log."""
-    return summary.today_top_vendors(views.answer_events(spark, sf_dir), AS_OF, recent=None)
+    return summary.today_top_vendors(views.answer_events(spark, sf_dir), AS_OF)
 
 
 def _pairs(name, label):
@@ -508,6 +518,18 @@ def stream_daily_rollup(spark, sf_dir):
     )
 
 
+@query
+def stream_daily_live(spark, sf_dir):
+    """Every day, the open one included: the stream appended to the log, the log rolled up."""
+    path = new_folder(spark, "live-log")
+    events = views.answer_events_from(_event_stream(spark, sf_dir))
+    append_stream(events, path, new_folder(spark, "live-checkpoint"), ONCE).awaitTermination()
+    return rollup_by_day(daily_rollup(event_log.read_events(spark, path))).select(
+        "day", "total", "answered", "abstained", "errors", "vendor_not_found",
+        "abstain_rate", "answer_rate", "latency_mean",
+    )
+
+
 @query
 def stream_event_log(spark, sf_dir):
     """The event stream appended to a log, read back whole."""
