@@ -39,12 +39,14 @@ _queries: dict[str, Query] = {}
 def prepare(spark: SparkSession) -> None:
     """What a session of a test lacks and a cluster has: a folder for intermediate tables, and
     this package on the workers' path. Batches stay small, since texts may be long."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plumbline-"))
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
     home = os.path.dirname(os.path.dirname(os.path.abspath(plumbline.__file__)))
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    known = context.environment.get("PYTHONPATH", "")
     if home not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, home]))
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, home]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
 
