@@ -9,11 +9,14 @@ before its first batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import undashed
-from .releases import match_columns, tagged_patches
+from ..functions.tags import first_tag, has_tag
+from .releases import PATCH, match_columns, order_by, position, tagged_patches
 from .staging import stage
 
 ENTRY = ["key", "rule", "date"]
@@ -22,7 +25,7 @@ BY_TAG, BY_DATE, NEWEST, CORPUS = 0, 1, 2, 3
 
 def _first() -> Column:
     """Order by position alone."""
-    return F.struct(F.lit(0).cast("long").alias("age"), F.col("pos").alias("pos"))
+    return order_by(F.lit(0), F.col("pos"))
 
 
 def _entry(key: Column, rule: int, date: Column, order: Column) -> Column:
@@ -61,6 +64,7 @@ def vendor_entries(releases: DataFrame, match: str = "first_tag") -> DataFrame:
     docs = match_columns(releases)
     patches = tagged_patches(docs)
     if match == "first_tag":
+        # Request dates have eight digits at most, so no other tag can be one.
         dates = F.filter(F.col("tags"), lambda t: t.rlike(r"\A[0-9]{1,8}\z"))
         tagged = F.transform(dates, lambda t: _entry(F.col("key"), BY_TAG, t, _first()))
     else:
@@ -88,9 +92,50 @@ def date_entries(releases: DataFrame) -> DataFrame:
     return _explode(match_columns(releases), entries)
 
 
+def _named(lookup: str) -> Callable[[Column], Column]:
+    return lambda entry: entry.withField("lookup", F.lit(lookup))
+
+
+def all_entries(releases: DataFrame, wanted: dict[str, Column], match: str = "first_tag") -> DataFrame:
+    """The entries of the three lookups, by ``lookup``, from one pass over the releases.
+    ``wanted`` holds, in the order product, vendor, date, the name of each lookup and the
+    condition on releases that it may choose."""
+    flags = {f"in_{n}": F.coalesce(c, F.lit(False)) for n, c in enumerate(wanted.values())}
+    docs = match_columns(releases, **flags)
+    names = F.array_compact(F.array_distinct(F.concat(F.array("name_lower"), F.col("tags_lower"))))
+    products = F.transform(names, lambda k: _entry(k, BY_DATE, F.col("date_norm"), F.col("newest")))
+
+    def of_patch(key: Column) -> Column:
+        return F.array(
+            _entry(key, BY_DATE, F.col("date_norm"), _first()),
+            _entry(key, NEWEST, F.lit(""), F.col("newest")),
+        )
+
+    if match == "first_tag":
+        first = first_tag(F.col("tags_lower"))
+        dates = F.filter(F.col("tags"), lambda t: t.rlike(r"\A[0-9]{1,8}\z"))
+        tagged = F.transform(dates, lambda t: _entry(first, BY_TAG, t, _first()))
+        patches = F.concat(of_patch(first), F.coalesce(tagged, F.filter(of_patch(first), lambda e: F.lit(False))))
+    else:
+        fields = F.array_distinct(F.concat("tags_lower", F.array("name_lower", "brand_lower")))
+        patches = F.flatten(F.transform(F.array_compact(fields), of_patch))
+    is_patch = has_tag(F.col("tags_lower"), PATCH)
+    stem = F.substring(undashed(F.col("release_date")), 1, 8)
+    dated = F.array(
+        _entry(F.lit(""), BY_DATE, stem, _first()), _entry(F.lit(""), NEWEST, F.lit(""), F.col("newest"))
+    )
+    parts = []
+    for (lookup, flag), own in zip(zip(wanted, flags), (products, F.when(is_patch, patches), dated)):
+        counted = F.concat(F.array(_corpus()), F.coalesce(own, F.filter(F.array(_corpus()), lambda e: F.lit(False))))
+        chosen = F.when(F.col(flag), counted).otherwise(F.filter(counted, lambda e: F.lit(False)))
+        parts.append(F.transform(chosen, _named(lookup)))
+    return docs.select(F.explode(F.concat(*parts)).alias("e")).select("e.*")
+
+
 def build(entries: DataFrame, *also_by: str, work_folder: str | None = None) -> DataFrame:
     """The best entry and the number of releases per key, rule and date, staged: lookups read
-    it several times and the releases once."""
+    it several times, and the releases as often as ``entries`` does. Folded by hashing, map-side
+    first."""
     folded = entries.groupBy(*also_by, *ENTRY).agg(
         F.min("order").alias("order"), F.count(F.lit(1)).alias("n")
     )
@@ -104,4 +149,4 @@ def corpus_size(index: DataFrame) -> Column:
 
 def first_position(index: DataFrame) -> Column:
     """Position of the first release, as a scalar subquery; null for none."""
-    return index.where(F.col("rule") == CORPUS).select("order.pos").scalar()
+    return index.where(F.col("rule") == CORPUS).select(position(F.col("order"))).scalar()

@@ -27,7 +27,7 @@ from .index import (
     vendor_entries,
 )
 from .nearest import nearest_points
-from .releases import match_columns
+from .releases import match_columns, position
 from .staging import measure, stage
 
 DATED_LENGTH = 6
@@ -73,7 +73,7 @@ def pick_product(requests: DataFrame, index: DataFrame, fallback: str = "first")
         .join(nearest, ["key", "at"], "left")
         .join(newest, "key", "left")
     )
-    pos = F.coalesce(F.col("same.pos"), F.col("near.pos"), F.col("latest.pos"))
+    pos = F.coalesce(*[position(F.col(c)) for c in ("same", "near", "latest")])
     if fallback == "first":
         pos = F.coalesce(pos, first_position(index))
     return found.select("key", "date", pos.alias("pos"))
@@ -85,7 +85,7 @@ def latest_per_product(releases: DataFrame) -> DataFrame:
         match_columns(releases)
         .groupBy(F.col("name_lower").alias("key"))
         .agg(F.min("newest").alias("best"))
-        .select("key", F.col("best.pos").alias("pos"))
+        .select("key", position(F.col("best")).alias("pos"))
     )
 
 
@@ -144,7 +144,7 @@ def pick_vendor(requests: DataFrame, index: DataFrame, match: str = "first_tag")
         probes.join(best, ["vendor_key", "rule", "on"])
         .groupBy("vendor_key", "date")
         .agg(F.min(F.struct("rule", "order")).alias("best"))
-        .select("vendor_key", "date", F.col("best.order.pos").alias("pos"))
+        .select("vendor_key", "date", position(F.col("best.order")).alias("pos"))
     )
     found = requests.withColumn("vendor_key", text_key(F.col("key")))
     return found.select("key", "date", "vendor_key").join(chosen, ["vendor_key", "date"], "left").select("key", "date", "pos")
@@ -163,7 +163,7 @@ def dated_patch(requests: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def pick_dated(requests: DataFrame, index: DataFrame) -> DataFrame:
     stems = index.where(F.col("rule") == BY_DATE).select(
-        F.col("date").alias("stem"), F.col("order.pos").alias("first")
+        F.col("date").alias("stem"), position(F.col("order")).alias("first")
     )
     asked = requests.select("date").where(F.col("date") != "").distinct()
     asked = asked.withColumn("digits", date_digits(F.col("date")))
@@ -186,7 +186,7 @@ def pick_dated(requests: DataFrame, index: DataFrame) -> DataFrame:
         .groupBy("date")
         .agg(F.min("first").alias("fit"))
     )
-    newest = index.where(F.col("rule") == NEWEST).select("order.pos").scalar()
+    newest = index.where(F.col("rule") == NEWEST).select(position(F.col("order"))).scalar()
     has_digits = date_digits(F.col("date")) != ""
     pos = F.when(F.col("date") == "", newest).otherwise(
         F.coalesce(F.when(has_digits, F.col("fit")), first_position(index))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +15,29 @@ from ..schemas import release_column
 PATCH = "patch"
 
 
+def order_by(age: Column, pos: Column) -> Column:
+    """Two whole numbers as one that sorts by both, so that the smallest folds by hashing. The
+    position is the lower part and not negative; what does not fit is an error."""
+    high = age.cast("decimal(19,0)") * F.lit(Decimal(2**63)).cast("decimal(19,0)")
+    return (high + pos.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def position(order: Column) -> Column:
+    """The position an order was made of."""
+    return F.pmod(order, F.lit(Decimal(2**63))).cast("bigint")
+
+
 def newest_first() -> Column:
-    """Sort key of a release by age: newest first, then the earlier position. A missing
+    """Order of a release by age: newest first, then the earlier position. A missing
     timestamp counts as 0."""
-    return F.struct(
-        (-F.coalesce(F.col("ts_ms"), F.lit(0))).alias("age"), F.col("pos").alias("pos")
-    )
+    return order_by(-F.coalesce(F.col("ts_ms"), F.lit(0)), F.col("pos"))
 
 
-def match_columns(releases: DataFrame) -> DataFrame:
-    """What the lookups read of a release. Texts such as the notes stay in the scan."""
+def match_columns(releases: DataFrame, **flags: Column) -> DataFrame:
+    """What the lookups read of a release, with conditions on it as further columns. Texts
+    such as the notes stay in the scan."""
     return releases.select(
+        *[flag.alias(name) for name, flag in flags.items()],
         "pos",
         newest_first().alias("newest"),
         date_digits(F.col("release_date")).alias("date_norm"),

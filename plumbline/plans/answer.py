@@ -15,10 +15,17 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting as fmt
 from ..functions.tags import mentions_vendor
-from ..operators.index import build, corpus_size, date_entries, product_entries, vendor_entries
+from ..operators.index import (
+    CORPUS,
+    all_entries,
+    build,
+    corpus_size,
+    date_entries,
+    product_entries,
+    vendor_entries,
+)
 from ..operators.lookups import (
     attach_releases,
-    keep_asked,
     pick_dated,
     pick_product,
     pick_vendor,
@@ -35,7 +42,7 @@ from ..operators.questions import (
     with_texts,
 )
 from ..operators.releases import PATCH, search_releases
-from ..operators.staging import join_side, stage
+from ..operators.staging import join_side, measure, stage
 from ..operators.vendors import name_dictionary
 from ..schemas import release_column
 
@@ -135,18 +142,42 @@ def build_index(
 ) -> DataFrame:
     """The staged index of all lookups, folded together. With ``requests``, products nobody
     asks for are left out; without, the index serves any questions on these releases."""
-    corpus = feeds(releases, options)
-    products = product_entries(corpus[OS_VERSION])
+    asked = None
     if requests is not None:
-        products = keep_asked(products, requests.where(F.col("lookup") == OS_VERSION))
+        asked = requests.where(F.col("lookup") == OS_VERSION).select(F.col("key").alias("_asked")).distinct()
+        asked = asked if measure(asked).fits else None
+    if options.evidence_limit is None:
+        entries = all_entries(releases, _conditions(releases, options), options.match)
+    else:  # the newest of each feed have to be found first
+        entries = _limited_entries(releases, options)
+    if asked is not None:
+        side = entries.join(F.broadcast(asked), F.col("key") == F.col("_asked"), "left")
+        needless = (F.col("lookup") == OS_VERSION) & (F.col("rule") != CORPUS) & F.col("_asked").isNull()
+        entries = side.where(~needless).drop("_asked")
+    return build(entries, "lookup", work_folder=work_folder)
+
+
+def _conditions(releases: DataFrame, options: Options) -> dict[str, Column]:
+    """Which releases each lookup may choose; an unreadable source has none."""
+    patches = (F.col("channel") == PATCH) & F.lit("patch" not in options.unavailable)
+    components = F.lit("os" not in options.unavailable)
+    if options.component_type is not None:
+        kind = F.lower(release_column(releases, "product_type"))
+        components = components & (kind == options.component_type.lower())
+    brand = release_column(releases, "brand")
+    linux = patches & mentions_vendor(F.lit(LINUX), F.col("tags"), F.col("name"), brand)
+    return {OS_VERSION: components, PATCH_FOR: patches, LINUX_TEXT: linux}
+
+
+def _limited_entries(releases: DataFrame, options: Options) -> DataFrame:
+    corpus = feeds(releases, options)
     parts = {
-        OS_VERSION: products,
+        OS_VERSION: product_entries(corpus[OS_VERSION]),
         PATCH_FOR: vendor_entries(corpus[PATCH_FOR], options.match),
         LINUX_TEXT: date_entries(corpus[LINUX_TEXT]),
     }
     entries = [df.withColumn("lookup", F.lit(lookup)) for lookup, df in parts.items()]
-    whole = entries[0].unionByName(entries[1]).unionByName(entries[2])
-    return build(whole, "lookup", work_folder=work_folder)
+    return entries[0].unionByName(entries[1]).unionByName(entries[2])
 
 
 def find_evidence(requests: DataFrame, index: DataFrame, options: Options) -> DataFrame:

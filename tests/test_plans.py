@@ -104,3 +104,31 @@ def test_a_hot_text_and_a_hot_request_are_split(spark, monkeypatch):
         for name in settings:
             spark.conf.unset(name)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_the_index_reads_the_releases_once_and_folds_by_hashing(spark, monkeypatch):
+    from plumbline.operators import index
+    from plumbline.plans.answer import build_index
+
+    seen, write = [], index.stage
+
+    def watched(df, *args):
+        seen.append(plan(df))
+        return write(df, *args)
+
+    monkeypatch.setattr(index, "stage", watched)
+    build_index(views.releases(spark, SF))
+    assert seen[0].count("FileScan parquet [o_orderkey") == 1
+    assert "HashAggregate" in seen[0] and "SortAggregate" not in seen[0]
+
+
+def test_tags_inside_vendors_meet_the_index_by_tag_and_date(spark):
+    text = plan(all_queries()["patch_by_free_text_vendor"](spark, SF))
+    assert re.search(r"Join \[key#\d+, rule#\d+, on#\d+\]", text)
+
+
+def test_texts_to_be_staged_are_folded_by_hashing(spark):
+    from plumbline.operators.questions import folded_texts
+
+    text = plan(folded_texts(views.questions(spark, SF)))
+    assert "HashAggregate" in text and "SortAggregate" not in text

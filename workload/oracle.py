@@ -289,6 +289,14 @@ for _feed in ("feed", "linux_feed"):
 by_product("product_pick", "requests", True, "requests")
 by_product("known_pick", "requests", False, "requests")
 by_vendor("vendor_pick", "requests", "feed", False, "requests")
+cte(
+    "free_requests",
+    """select distinct concat('linux k', event_id % 997) as key,
+         concat(1991 + event_id % 9, lpad((1 + event_id % 12)::varchar, 2, '0'),
+           lpad((1 + event_id % 28)::varchar, 2, '0')) as date
+       from events""",
+)
+by_vendor("free_pick", "free_requests", "feed", False, "free_requests")
 by_vendor("field_pick", "requests", "docs", True, "requests")
 by_date("date_pick", "requests", "linux_feed", "requests")
 
@@ -583,6 +591,7 @@ def statements() -> dict[str, str]:
             "releases",
         ),
         "patch_by_vendor_date": sql("select key, date, pos from vendor_pick", "vendor_pick"),
+        "patch_by_free_text_vendor": sql("select key, date, pos from free_pick", "free_pick"),
         "patch_by_vendor_date_any_field": sql("select key, date, pos from field_pick", "field_pick"),
         "linux_style_patch_by_date": sql(
             "select p.key, p.date, p.pos, d.release_date from date_pick p join docs d using (pos)",

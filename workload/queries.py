@@ -186,6 +186,13 @@ def patch_by_vendor_date(spark, sf_dir):
     return lookups.vendor_patch(views.requests(spark, sf_dir), feed)
 
 
+@query
+def patch_by_free_text_vendor(spark, sf_dir):
+    """Hundreds of vendors that hold one tag, each asking for dates of its own."""
+    feed = releases.patch_feed(views.releases(spark, sf_dir))
+    return lookups.vendor_patch(views.free_requests(spark, sf_dir), feed)
+
+
 @query
 def patch_by_vendor_date_any_field(spark, sf_dir):
     return lookups.vendor_patch(

@@ -139,6 +139,16 @@ DOCUMENT = """to_json(array_sort(collect_list(struct(
     tags as {tags}, is_cve as isCve))))"""
 
 
+FREE_KEY = "concat('linux k', event_id % 997)"
+FREE_DATE = """concat(1991 + event_id % 9, lpad(1 + event_id % 12, 2, '0'), lpad(1 + event_id % 28, 2, '0'))"""
+
+
+def free_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of vendors as users write them: a known tag and something else."""
+    events = table(spark, sf_dir, "events")
+    return events.selectExpr(f"{FREE_KEY} as key", f"{FREE_DATE} as date").distinct()
+
+
 def landed_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = (
         releases(spark, sf_dir)
