@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_digits
 from ..functions.tags import first_tag, has_tag, lower_tags, mentions_vendor
-from ..functions.text import strip
+from ..functions.text import empty_to_null, strip
 from ..schemas import release_column
 
 PATCH = "patch"
@@ -87,3 +87,18 @@ def tagged_patches(matchable: DataFrame) -> DataFrame:
     return matchable.where(has_tag(F.col("tags_lower"), PATCH)).withColumn(
         "key", first_tag(F.col("tags_lower"))
     )
+
+
+def patch_and_cve_counts(releases: DataFrame) -> DataFrame:
+    """``(vendor, n_releases, n_patches, n_cves)`` by product name; a blank one is ``unknown``."""
+    vendor = F.coalesce(empty_to_null(strip(F.col("name"))), F.lit("unknown"))
+    return releases.groupBy(vendor.alias("vendor")).agg(
+        F.count(F.lit(1)).alias("n_releases"),
+        F.count_if(F.col("channel") == PATCH).alias("n_patches"),
+        F.count_if(F.coalesce("is_cve", F.lit(False))).alias("n_cves"),
+    )
+
+
+def cve_feed(releases: DataFrame) -> DataFrame:
+    """Patches that mend a known vulnerability; the lookups take it as any other feed."""
+    return patch_feed(releases).where("is_cve")

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.events import answers_to_events
+from ..operators.staging import stage
 from ..plans.answer import Options, answer_questions, build_index
 
 
 def answer_stream(
     questions: DataFrame,
     releases: DataFrame | Callable[[], DataFrame],
-    vendor_names: DataFrame,
+    vendor_names: DataFrame | Callable[[], DataFrame],
     answers_path: str,
     checkpoint: str,
     events_path: str | None = None,
@@ -32,29 +33,32 @@ def answer_stream(
     an event is the time from asking to the run of its batch.
 
     The releases are indexed when the stream starts and, with ``refresh_every``, again after
-    that many batches; give a function that reads them to see what was added meanwhile."""
+    that many batches; give functions that read them and the vendor names to see what was added
+    meanwhile. Two index folders are written in turns."""
     load = releases if callable(releases) else lambda: releases
+    load_names = vendor_names if callable(vendor_names) else lambda: vendor_names
     state = {"batches": 0}
 
-    def evidence():
+    def evidence(work: str):
         due = refresh_every and state["batches"] % refresh_every == 0
         if due or not state["batches"]:
-            state["releases"] = load()
-            state["index"] = build_index(state["releases"], options)
+            state["releases"], state["names"] = load(), load_names()
+            turn = state["built"] = 1 - state.get("built", 1)  # the other one is still in use
+            state["index"] = build_index(state["releases"], options, work_folder=f"{work}/index-{turn}")
         state["batches"] += 1
-        return state["releases"], state["index"]
+        return state["releases"], state["index"], state["names"]
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{answers_path}/batch={batch_id}"
-        known, index = evidence()
+        folder, work = f"{answers_path}/batch={batch_id}", f"{answers_path}/_work"
+        known, index, names = evidence(work)
         answered = answer_questions(
-            batch,
+            stage(batch, "batch", work),  # read from the source once
             known,
-            vendor_names,
+            names,
             options,
             keep=("asked_at",),
             index=index,
-            work_folder=f"{answers_path}/_work",
+            work_folder=work,
         )
         answered.withColumn("answered_at", F.current_timestamp()).write.mode("overwrite").parquet(
             folder

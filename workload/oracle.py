@@ -296,6 +296,8 @@ cte(
            lpad((1 + event_id % 28)::varchar, 2, '0')) as date
        from events""",
 )
+cte("cve_feed", "select * from feed where is_cve", "feed")
+by_vendor("cve_pick", "requests", "cve_feed", False, "requests")
 by_vendor("free_pick", "free_requests", "feed", False, "free_requests")
 by_vendor("field_pick", "requests", "docs", True, "requests")
 by_date("date_pick", "requests", "linux_feed", "requests")
@@ -591,6 +593,13 @@ def statements() -> dict[str, str]:
             "releases",
         ),
         "patch_by_vendor_date": sql("select key, date, pos from vendor_pick", "vendor_pick"),
+        "cve_by_vendor": sql("select key, date, pos from cve_pick", "cve_pick"),
+        "vendor_patch_cve_counts": sql(
+            """select name as vendor, count(*) as n_releases,
+              count(*) filter (where channel = 'patch') as n_patches,
+              count(*) filter (where is_cve) as n_cves from releases group by 1""",
+            "releases",
+        ),
         "patch_by_free_text_vendor": sql("select key, date, pos from free_pick", "free_pick"),
         "patch_by_vendor_date_any_field": sql("select key, date, pos from field_pick", "field_pick"),
         "linux_style_patch_by_date": sql(
@@ -689,6 +698,11 @@ def statements() -> dict[str, str]:
               from answers_final)""",
             "answers_final",
         ),
+        "stream_answers_logged": sql(
+            """select question_id as pos, status, flow, logged_vendor as vendor, reason,
+              true as waited from answers_final""",
+            "answers_final",
+        ),
         "answers_to_events": sql(
             """select question_id as pos, epoch_us(asked_at) // 1000 as ts, status, flow,
               logged_vendor as vendor, user_id as latency_ms, reason, is_vendor_found

@@ -200,6 +200,17 @@ def patch_by_vendor_date_any_field(spark, sf_dir):
     )
 
 
+@query
+def vendor_patch_cve_counts(spark, sf_dir):
+    return releases.patch_and_cve_counts(views.releases(spark, sf_dir))
+
+
+@query
+def cve_by_vendor(spark, sf_dir):
+    feed = releases.cve_feed(views.releases(spark, sf_dir))
+    return lookups.vendor_patch(views.requests(spark, sf_dir), feed)
+
+
 @query
 def linux_style_patch_by_date(spark, sf_dir):
     feed = releases.vendor_feed(views.releases(spark, sf_dir), "Linux")
@@ -563,6 +574,28 @@ def stream_answers(spark, sf_dir):
     )
 
 
+@query
+def stream_answers_logged(spark, sf_dir):
+    """The questions arrive in four files, a micro-batch each; what their events tell."""
+    inbox, path = new_folder(spark, "inbox"), new_folder(spark, "logged-answers")
+    asked_ = views.questions(spark, sf_dir)
+    asked_.repartition(4, "question_id").write.parquet(inbox)
+    stream = spark.readStream.schema(asked_.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    log = new_folder(spark, "logged-events")
+    answer_stream(
+        stream,
+        views.releases(spark, sf_dir),
+        views.vendor_names(spark, sf_dir),
+        path,
+        new_folder(spark, "logged-checkpoint"),
+        events_path=log,
+        trigger=ONCE,
+        refresh_every=3,
+    ).awaitTermination()
+    waited = F.col("latency_ms").isNotNull().alias("waited")
+    return spark.read.parquet(log).select("pos", "status", "flow", "vendor", "reason", waited)
+
+
 @query
 def stream_last_prompts(spark, sf_dir):
     """The last prompts kept up to date batch by batch."""
