@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import mentions_vendor
 from ..functions.text import empty_to_null
-from ..operators.lookups import attach_releases, dated_patch, product_release
-from ..operators.questions import distinct_texts, parse, with_texts
+from ..operators.index import build, corpus_size, date_entries, first_position, product_entries
+from ..operators.lookups import attach_releases, keep_asked, pick_dated, pick_product
+from ..operators.questions import folded_texts, parse, with_texts
 from ..operators.releases import vendor_feed
 from ..operators.staging import join_side, stage
 from ..schemas import release_column
@@ -21,6 +22,7 @@ from ..schemas import release_column
 NOT_LINUX, LINUX_PATCH, OS = "patch_non_linux → idk", "patch_linux", "os"
 PRODUCTS = ("android", "ios", "windows")
 LINUX, DEFAULT_PRODUCT = "linux", "android"
+FIRST = "first item of the feed"  # no branch of a question
 
 
 def explain_questions(questions: DataFrame) -> DataFrame:
@@ -53,10 +55,11 @@ def _explained(rows: DataFrame) -> DataFrame:
 
 def explain_matches(questions: DataFrame, releases: DataFrame) -> DataFrame:
     """:func:`explain_questions` plus the size of the searched feed and the matched release.
-    Texts are explained once and staged, and so is the match of each request."""
+    Texts are explained once and staged, and so is the match of each request. The releases are
+    read three times: for the index of each branch, and for the columns of what was chosen."""
     linux, os = F.col("branch") == LINUX_PATCH, F.col("branch") == OS
     texts = stage(
-        _explained(distinct_texts(questions)).withColumns(
+        _explained(folded_texts(questions)).withColumns(
             {
                 "key": F.when(linux, LINUX).otherwise(F.col("product")),
                 "date": F.coalesce("parsed_date", F.lit("")),
@@ -70,10 +73,19 @@ def explain_matches(questions: DataFrame, releases: DataFrame) -> DataFrame:
     def of(branch):
         return requests.where(branch).select("key", "date")
 
+    feed_index = build(date_entries(feed))
+    product_index = build(keep_asked(product_entries(releases), of(os)))
+    first = releases.sparkSession.range(1).select(
+        F.lit(FIRST).alias("branch"),
+        F.lit("").alias("key"),
+        F.lit("").alias("date"),
+        first_position(feed_index).alias("pos"),
+    )
     found = (
-        dated_patch(of(linux), feed)
+        pick_dated(of(linux), feed_index)
         .withColumn("branch", F.lit(LINUX_PATCH))
-        .unionByName(product_release(of(os), releases).withColumn("branch", F.lit(OS)))
+        .unionByName(pick_product(of(os), product_index).withColumn("branch", F.lit(OS)))
+        .unionByName(first)
     )
     docs = releases.select(
         "pos", "name", release_column(releases, "brand"), "release_date", "tags"
@@ -88,25 +100,20 @@ def explain_matches(questions: DataFrame, releases: DataFrame) -> DataFrame:
         F.col("release_date").alias("matched_release_date"),
         F.col("tags").alias("matched_tags"),
     )
-    first = stage(
-        feed.agg(
-            F.min(F.struct("pos", "tags", "name")).alias("first"),
-            F.count(F.lit(1)).alias("n"),
-        ),
-        "feed",
-    )
+    matched = stage(matched, "matched")
+    first = matched.where(F.col("branch") == FIRST)
     return (
         with_texts(questions)
         .select("question_id", "text_key")
         .join(join_side(texts), "text_key", "left")
-        .join(join_side(stage(matched, "matched")), ["branch", "key", "date"], "left")
+        .join(join_side(matched), ["branch", "key", "date"], "left")
         .withColumns(
             {
-                "items_count": F.when(linux, first.select("n").scalar()).when(
-                    os, releases.agg(F.count(F.lit(1))).scalar()
+                "items_count": F.when(linux, F.coalesce(corpus_size(feed_index), F.lit(0))).when(
+                    os, F.coalesce(corpus_size(product_index), F.lit(0))
                 ),
-                "first_item_tags": F.when(linux, first.select("first.tags").scalar()),
-                "first_item_name": F.when(linux, first.select("first.name").scalar()),
+                "first_item_tags": F.when(linux, first.select("matched_tags").scalar()),
+                "first_item_name": F.when(linux, first.select("matched_name").scalar()),
             }
         )
         .drop("text_key", "key", "date")
