@@ -199,14 +199,16 @@ routing(
 # -- lookups ------------------------------------------------------------------------------
 
 
-def by_product(name: str, requests: str, fallback: bool = True, *needs: str) -> None:
+def by_product(
+    name: str, requests: str, fallback: bool = True, *needs: str, corpus: str = "docs"
+) -> None:
     cte(
         f"{name}_keyed",
-        """select unnest(list_distinct(list_append(tags_lower, name_lower))) as key,
-             pos, ts_ms, date_norm from docs""",
-        "docs",
+        f"""select unnest(list_distinct(list_append(tags_lower, name_lower))) as key,
+             pos, ts_ms, date_norm from {corpus}""",
+        corpus,
     )
-    first = "(select min(pos) from docs)" if fallback else "null"
+    first = f"(select min(pos) from {corpus})" if fallback else "null"
     cte(
         name,
         f"""select r.key, r.date, coalesce(b.pos, {first}) as pos from {requests} r left join (
@@ -322,7 +324,10 @@ ASKED_VERSION = "coalesce(version_number, tags[-1], 'N/A')"
 FEED_VERSION = "coalesce(tags[-1], version_number, '')"
 
 
-def answering(name: str, routed: str, feed: str, linux_feed: str, any_field=False, fallback=True):
+def answering(
+    name: str, routed: str, feed: str, linux_feed: str,
+    any_field=False, fallback=True, corpus="docs",
+):
     for lookup, branch in (("os", "os"), ("asked", "patch_for"), ("linux", "linux_text")):
         listed = "and in_names" if lookup == "asked" else ""
         cte(
@@ -330,7 +335,7 @@ def answering(name: str, routed: str, feed: str, linux_feed: str, any_field=Fals
             f"select distinct key, date from {routed} where branch = '{branch}' {listed}",
             routed,
         )
-    by_product(f"{name}_os", f"{name}_os_req", fallback, f"{name}_os_req")
+    by_product(f"{name}_os", f"{name}_os_req", fallback, f"{name}_os_req", corpus=corpus)
     by_vendor(f"{name}_asked", f"{name}_asked_req", feed, any_field, f"{name}_asked_req")
     by_date(f"{name}_linux", f"{name}_linux_req", linux_feed, f"{name}_linux_req")
     cte(
@@ -344,14 +349,14 @@ def answering(name: str, routed: str, feed: str, linux_feed: str, any_field=Fals
         name,
         f"""select q.question_id, q.asked_at, q.user_id, r.*, d.* exclude (pos),
           d.pos as doc, r.branch <> 'linux_text' or coalesce({vendor_hit("linux")}, false) as verified,
-          case r.branch when 'os' then (select count(*) from docs)
+          case r.branch when 'os' then (select count(*) from {corpus})
             when 'patch_for' then case when in_names then (select count(*) from {feed}) end
             when 'linux_text' then (select count(*) from {linux_feed}) end as items_count
         from questions q join {routed} r on trim(q.question) = r.text
         left join {name}_found f on f.branch = r.branch and f.key = r.key and f.date = r.date
           and (r.branch <> 'patch_for' or r.in_names)
         left join docs d on d.pos = f.pos""",
-        "questions", routed, f"{name}_found", "docs", feed, linux_feed,
+        "questions", routed, f"{name}_found", "docs", feed, linux_feed, corpus,
     )
     cte(
         f"{name}_final",
@@ -381,6 +386,8 @@ def answering(name: str, routed: str, feed: str, linux_feed: str, any_field=Fals
 
 
 answering("answers", "routed", "feed", "linux_feed")
+cte("os_docs", "select * from docs where channel <> 'patch'", "docs")
+answering("answers_typed", "routed", "feed", "linux_feed", corpus="os_docs")
 answering("answers_page", "routed", "feed_25", "linux_feed_25")
 answering("answers_strict", "routed_strict", "feed", "linux_feed", any_field=True, fallback=False)
 
@@ -639,6 +646,11 @@ def statements() -> dict[str, str]:
               {OS_TEXT} as answer, {clip(OS_TEXT, 80)} as preview from docs""",
             "docs",
         ),
+        "answer_questions_by_type": sql(
+            """select question_id, branch, status, reason, version, items_count, id as matched_id
+            from answers_typed_final""",
+            "answers_typed_final",
+        ),
         "answer_questions": sql(f"select {ANSWER_ROW} from answers_final", "answers_final"),
         "answer_questions_strict": sql(
             """select question_id, branch, status, reason, version, id as matched_id

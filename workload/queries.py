@@ -304,6 +304,19 @@ def answer_questions_strict(spark, sf_dir):
     )
 
 
+@query
+def answer_questions_by_type(spark, sf_dir):
+    """Version questions are answered from operating systems alone, though patches share their
+    table."""
+    kind = F.when(F.col("channel") == "patch", "patch").otherwise("OS")
+    return answer_questions(
+        views.questions(spark, sf_dir),
+        views.releases(spark, sf_dir).withColumn("product_type", kind),
+        views.vendor_names(spark, sf_dir),
+        Options(component_type="os"),
+    ).select("question_id", "branch", "status", "reason", "version", "items_count", "matched_id")
+
+
 @query
 def answer_questions_first_page(spark, sf_dir):
     """Evidence limited to the newest 25 patches of each feed."""
