@@ -70,12 +70,12 @@ def grams(word: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """``weights`` has a row of log-probabilities for each n-gram and language; ``unseen`` is the
-    row of n-grams that were not met; ``scripts`` holds the languages of a script."""
+    """``weights`` has a row of log-probabilities, one for each language, and ``rows`` tells which
+    one an n-gram has; ``scripts`` holds the languages of a script."""
 
     languages: list[str]
-    weights: dict[str, np.ndarray]
-    unseen: np.ndarray
+    rows: dict[str, int]
+    weights: np.ndarray
     scripts: dict[str, np.ndarray]
 
 
@@ -142,9 +142,10 @@ def learn(
         (letters if row["script"] else total)[at] += row["times"]
     size = max(len(counts), 1)
     base = np.log(total + 0.5 * size)
-    weights = {g: (np.log(c + 0.5) - base).astype(np.float32) for g, c in counts.items()}
+    rows = {gram: at for at, gram in enumerate(sorted(counts))}
+    met = np.array([counts[gram] for gram in rows]).reshape(len(rows), width)
     uses = {s: c >= 0.01 * np.maximum(letters, 1) for s, c in scripts.items()}
-    return Model(languages, weights, (np.log(0.5) - base).astype(np.float32), uses)
+    return Model(languages, rows, (np.log(met + 0.5) - base).astype(np.float32), uses)
 
 
 # -- reading -------------------------------------------------------------------------------
@@ -158,17 +159,28 @@ class Reader:
         self.places: dict[str, int] = {}
         self.scores = np.zeros((REMEMBERED, max(len(model.languages), 1)), dtype=np.float32)
 
-    def word(self, word: str) -> np.ndarray:
-        """Scores relative to the best candidate, never below ``-FLOOR``. A word in a script that no
-        language uses says nothing."""
-        model = self.model
-        candidates = model.scripts.get(script(word))
-        if candidates is None or not candidates.any():
-            return np.zeros(len(model.languages), dtype=np.float32)
-        known = [w for w in map(model.weights.get, grams(word)) if w is not None]
-        raw = np.sum(known, axis=0) if known else np.zeros(len(model.languages), dtype=np.float32)
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word, relative to the best candidate and never below
+        ``-FLOOR``. N-grams that were not met say nothing, and neither does a word in a script
+        that no language uses."""
+        model, width = self.model, len(self.model.languages)
+        row, none = model.rows.get, np.zeros(width, dtype=bool)
+        found, counts = [], np.empty(len(words), dtype=np.int64)
+        candidates = np.empty((len(words), width), dtype=bool)
+        for at, word in enumerate(words):
+            own = [n for n in map(row, grams(word)) if n is not None]
+            found += own
+            counts[at] = len(own)
+            candidates[at] = model.scripts.get(script(word), none)
+        raw = np.zeros((len(words), width), dtype=np.float32)
+        some = np.nonzero(counts)[0]
+        if len(some):
+            raw[some] = np.add.reduceat(model.weights[found], (np.cumsum(counts) - counts)[some])
         raw = np.where(candidates, raw, -np.inf)
-        return np.maximum(raw - raw.max(), -FLOOR)
+        best = raw.max(axis=1, keepdims=True, initial=-np.inf)
+        mute = ~candidates.any(axis=1)
+        raw[mute], best[mute] = 0.0, 0.0
+        return np.maximum(raw - best, -FLOOR)
 
     def matrix(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word."""
@@ -179,41 +191,42 @@ class Reader:
             if len(self.places) + len(new) > REMEMBERED:
                 self.places.clear()
                 new = set(part)
-            for w in new:
-                self.places[w] = at = len(self.places)
-                self.scores[at] = self.word(w)
+            if new:
+                begin_new, listed = len(self.places), list(new)
+                self.scores[begin_new : begin_new + len(listed)] = self.score(listed)
+                self.places.update(zip(listed, range(begin_new, begin_new + len(listed))))
             out[begin : begin + len(part)] = self.scores[[self.places[w] for w in part]]
         return out
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The language of each word on the best path.
 
-        Staying with one language throughout is best when no stretch gains more than one change
-        costs even with the best other language for each word; most texts are settled by that. The
-        rest take the full recursion."""
+        Leaving one language for a stretch costs a change at each of its ends inside the text.
+        When no stretch gains that much even with the best other language for each word, staying
+        throughout is best; most texts are settled by that. The rest take the full recursion."""
         count, width = scores.shape
         best = int(scores.sum(axis=0, dtype=np.float64).argmax())
         if width == 1:
             return np.zeros(count, dtype=np.int64)
         gain = np.delete(scores, best, axis=1).max(axis=1) - scores[:, best]
         sums = np.concatenate(([0.0], np.cumsum(gain, dtype=np.float64)))
-        if (sums - np.minimum.accumulate(sums)).max() <= self.penalty:
+        inside = (sums - np.minimum.accumulate(sums)).max()
+        if inside <= 2 * self.penalty and sums.max() <= self.penalty and sums[-1] - sums.min() <= self.penalty:
             return np.full(count, best, dtype=np.int64)
-        came = np.empty((count, width), dtype=np.int64)
-        value = scores[0].astype(np.float64)
-        stay = np.arange(width)
-        came[0] = stay
-        for at in range(1, count):
-            top = int(value.argmax())
-            change = value[top] - self.penalty
-            keeps = value >= change
-            came[at] = np.where(keeps, stay, top)
-            value = np.where(keeps, value, change) + scores[at]
+        rows = scores.tolist()
+        value, tops, changed = rows[0], [0], [()]
+        for row in rows[1:]:
+            top = max(value)
+            change = top - self.penalty
+            tops.append(value.index(top))
+            changed.append([state for state, v in enumerate(value) if v < change])
+            value = [(v if v >= change else change) + s for v, s in zip(value, row)]
         path = np.empty(count, dtype=np.int64)
-        state = int(value.argmax())
+        state = value.index(max(value))
         for at in range(count - 1, -1, -1):
             path[at] = state
-            state = int(came[at, state])
+            if state in changed[at]:
+                state = tops[at]
         return path
 
     def judge(self, text: str) -> tuple[str, float, int]:
