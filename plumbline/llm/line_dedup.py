@@ -12,7 +12,8 @@ suffice (positional filter). What passes is verified on the whole sets.
 
 Rarity has to tell crowded tokens from others. Counters of bounded number (Misra-Gries) hold every
 token with more than one in ``COUNTERS`` of all occurrences; they come last, in order of their
-counts. Others come first, by hash.
+counts. Others come first, by hash. A token is known by 45 bits of its hash: candidates may meet by
+chance, but within a candidate pair the sets are told apart.
 
 A crowd of matching lines does not make all its pairs. Each class is compared with the earliest
 class at each token of its prefix; one that matches is settled, and only classes that are not look
@@ -21,9 +22,8 @@ at the others.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from math import ceil
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,28 +41,114 @@ SHINGLE = 5
 LEAST = 0.8
 COUNTERS = 65_536
 
-_hash = xxhash.xxh64_intdigest
-
-
-def needed(size: int, least: float) -> int:
-    """Tokens that a match has to share with a set of this size, at least."""
-    return ceil(least * size - 1e-9)
-
-
-def line_tokens(line: str, shingle: int = SHINGLE) -> list[int]:
-    """Hashes of the distinct tokens of a line, as signed longs; none for a line without a word."""
-    words = line.lower().encode().split()
-    if not words:
-        return []
-    if len(words) <= shingle:
-        tokens = [_hash(b" ".join(words))]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        span = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-        tokens = {_hash(joined[a:b]) for a, b in span}
-    return np.array(sorted(tokens), dtype=np.uint64).view(np.int64).tolist()
+#: Bits of a token's hash, and of a token's place in the order, which has room for crowded ones.
+TOKEN_BITS, CODE_BITS = 45, 46
+#: Lines handled at a time; their numbers share a 64-bit word with codes.
+LINES = 1 << (64 - CODE_BITS - 1)
+
+_MIX, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass(frozen=True)
+class Crowd:
+    """Tokens known to be frequent, sorted, and the rank of each by its count, rarest first."""
+
+    tokens: np.ndarray
+    ranks: np.ndarray
+
+
+NO_CROWD = Crowd(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64))
+
+
+#: Bytes hashed at a time, unless a word is longer.
+WINDOW = 1 << 21
+#: Words are hashed as polynomials of their bytes in this odd number, modulo 2**64.
+_BASE = 0x100000001B3
+_POWERS = np.cumprod(np.r_[np.uint64(1), np.full(WINDOW - 1, _BASE, dtype=np.uint64)])
+_BACK = np.cumprod(np.r_[np.uint64(1), np.full(WINDOW - 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64)])
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+
+
+def body_lines(text: str) -> list[bytes]:
+    return text.lower().encode().split(b"\n")
+
+
+def _long_word(word: np.ndarray) -> int:
+    """The hash of a word of any length, in windows."""
+    total = 0
+    for at in range(0, len(word), WINDOW):
+        part = word[at : at + WINDOW].astype(np.uint64) + np.uint64(1)
+        total += int((part * _POWERS[: len(part)]).sum()) * pow(_BASE, at, 1 << 64)
+    return total % (1 << 64)
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a buffer from running sums, window by window."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        begin = starts[at]
+        until = max(int(np.searchsorted(ends, begin + WINDOW, side="right")), at + 1)
+        if ends[at] - begin > WINDOW:
+            out[at] = _long_word(raw[begin : ends[at]])
+        else:
+            part = raw[begin : ends[until - 1]].astype(np.uint64) + np.uint64(1)
+            sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(part * _POWERS[: len(part)])))
+            first = starts[at:until] - begin
+            out[at:until] = (sums[ends[at:until] - begin] - sums[first]) * _BACK[first]
+        at = until
+    return out
+
+
+def line_tokens(lines: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of lines, repeats included, and the number of each one's line. The
+    lines are hashed as one buffer: words from running sums over its bytes, shingles by rolling
+    over its words."""
+    raw = np.frombuffer(b"\n".join(lines), dtype=np.uint8)
+    space = np.concatenate(([True], _SPACE[raw], [True]))
+    starts = np.nonzero(space[:-1] & ~space[1:])[0]
+    ends = np.nonzero(~space[:-1] & space[1:])[0]
+    hashed = _word_hashes(raw, starts, ends)
+    line_of = np.searchsorted(np.nonzero(raw == 10)[0], starts)
+    counts = np.bincount(line_of, minlength=len(lines))
+    begins_of = np.cumsum(counts) - counts
+    tokens, of_line, rolled = [], [], hashed
+    for size in range(1, shingle + 1):
+        if len(hashed) < size:
+            break
+        if size > 1:
+            rolled = rolled[: len(hashed) - size + 1] * _STEP + hashed[size - 1 :]
+        if size < shingle:
+            begins = begins_of[counts == size]
+        else:
+            begins = np.nonzero(line_of[: len(rolled)] == line_of[size - 1 :])[0]
+        mixed = rolled[begins] + np.uint64(size)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+        tokens.append((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(64 - TOKEN_BITS))
+        of_line.append(line_of[begins])
+    if not tokens:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    return np.concatenate(tokens), np.concatenate(of_line)
+
+
+def token_sets(lines: list[bytes], crowd: Crowd, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The token sets of lines as codes, one set after another, and where each begins and the
+    last ends. A code names a token and is its place in the order, so sets are sorted rarest
+    first."""
+    if len(lines) > LINES:
+        parts = [token_sets(lines[at : at + LINES], crowd, shingle) for at in range(0, len(lines), LINES)]
+        sizes = np.concatenate([np.diff(offsets) for _, offsets in parts])
+        return np.concatenate([codes for codes, _ in parts]), np.concatenate(([0], np.cumsum(sizes)))
+    tokens, of_line = line_tokens(lines, shingle)
+    if len(crowd.tokens):
+        at = np.minimum(np.searchsorted(crowd.tokens, tokens), len(crowd.tokens) - 1)
+        late = crowd.ranks[at] | np.uint64(1 << TOKEN_BITS)
+        tokens = np.where(crowd.tokens[at] == tokens, late, tokens)
+    keys = np.sort((of_line.astype(np.uint64) << np.uint64(CODE_BITS)) | tokens)
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+    offsets = np.searchsorted(keys >> np.uint64(CODE_BITS), np.arange(len(lines) + 1, dtype=np.uint64))
+    return (keys & np.uint64((1 << CODE_BITS) - 1)).astype(np.int64), offsets
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -78,73 +164,116 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 # -- rarity --------------------------------------------------------------------------------
 
 
-def _shrunk(counts: Counter, counters: int) -> Counter:
-    """Misra-Gries: subtract what the first counter too many holds, and drop what is used up."""
-    if len(counts) <= counters:
-        return counts
-    off = sorted(counts.values(), reverse=True)[counters]
-    return Counter({token: n - off for token, n in counts.items() if n > off})
-
-
-def crowded_tokens(keyed: DataFrame, counters: int = COUNTERS, shingle: int = SHINGLE) -> dict[int, int]:
-    """Counts of the tokens that may hold more than one in ``counters`` of all occurrences. Each
-    task and the driver hold a bounded number; sums of such counters keep the bound."""
+class Counters:
+    """Misra-Gries: counts of the tokens met, never more than ``most`` kept for long. When there
+    are too many, what the first one too many holds is subtracted from all."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.tokens, self.times = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.waiting: list[np.ndarray] = []
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.waiting.append(tokens)
+        if sum(map(len, self.waiting)) > 16 * self.most:
+            self.merge()
+
+    def merge(self) -> None:
+        met, times = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.waiting = []
+        every = np.concatenate((self.tokens, met))
+        order = np.argsort(every, kind="stable")
+        every, times = every[order], np.concatenate((self.times, times))[order]
+        first = np.nonzero(np.concatenate(([True], every[1:] != every[:-1])))[0] if len(every) else order
+        self.tokens = every[first]
+        self.times = np.add.reduceat(times, first) if len(first) else times
+        if len(self.tokens) > 4 * self.most:
+            self.shrink()
+
+    def shrink(self) -> None:
+        if self.waiting:
+            self.merge()
+        if len(self.tokens) > self.most:
+            self.times = self.times - np.partition(self.times, -self.most - 1)[-self.most - 1]
+            kept = self.times > 0
+            self.tokens, self.times = self.tokens[kept], self.times[kept]
+
+
+def crowded_tokens(keyed: DataFrame, counters: int = COUNTERS, shingle: int = SHINGLE) -> Crowd:
+    """The tokens that may hold more than one in ``counters`` of all occurrences. Each task and
+    the driver hold a bounded number; sums of such counters keep the bound."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen = Counters(counters)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                for body in batch.slice(at, SLICE)["text"].to_pylist():
-                    for line in body.split("\n"):
-                        seen.update(line_tokens(line, shingle))
-                    if len(seen) > 4 * counters:
-                        seen = _shrunk(seen, counters)
-        seen = _shrunk(seen, counters)
-        if seen:
-            yield pa.RecordBatch.from_pydict({"token": list(seen), "times": list(seen.values())}, schema=schema)
+                bodies = batch.slice(at, SLICE)["text"].to_pylist()
+                seen.add(line_tokens([line for body in bodies for line in body_lines(body)], shingle)[0])
+        seen.shrink()
+        if len(seen.tokens):
+            columns = [pa.array(seen.tokens.astype(np.int64)), pa.array(seen.times)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     kind = "token bigint, times bigint"
     schema = to_arrow_schema(T.StructType.fromDDL(kind))
     found = keyed.select("text").mapInArrow(count, kind).groupBy("token").agg(F.sum("times").alias("times"))
     top = found.where(F.col("times") > 1).orderBy(F.col("times").desc(), "token").limit(counters)
-    return {row["token"]: row["times"] for row in top.collect()}
+    ranked = sorted((row["times"], row["token"]) for row in top.collect())
+    tokens = np.array([token for _, token in ranked], dtype=np.uint64)
+    order = np.argsort(tokens)
+    return Crowd(tokens[order], order.astype(np.uint64))
 
 
 # -- lines, classes, postings --------------------------------------------------------------
 
-_LINE = "doc_key bigint, doc_id bigint, line int, class binary, size int, prefix array<bigint>"
+_LINE = "doc_key bigint, doc_id bigint, line int, class bigint, check bigint, size int, prefix array<bigint>"
+
+
+def needed(sizes: np.ndarray, least: float) -> np.ndarray:
+    """Tokens that a match has to share with sets of these sizes, at least."""
+    return np.ceil(least * sizes - 1e-9).astype(np.int64)
 
 
-def _lines(keyed: DataFrame, crowded: dict[int, int], least: float, shingle: int) -> DataFrame:
-    """A row for every line with a word. ``prefix`` is left out where the task has already told
-    it for the same class."""
-    shared = keyed.sparkSession.sparkContext.broadcast(crowded)  # bounded by COUNTERS
+def _lines(keyed: DataFrame, crowd, least: float, shingle: int) -> DataFrame:
+    """A row for every line with a word. ``class`` and ``check`` are the halves of a 128-bit hash
+    of its set; ``prefix`` is left out where the task has already told it for the same class."""
     schema = to_arrow_schema(T.StructType.fromDDL(_LINE))
+    kinds = [field.type for field in schema]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, told = shared.value, set()
+        common, told = crowd.value, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE).to_pydict()
-                rows = []
-                for doc, key, body in zip(part["doc_id"], part["doc_key"], part["text"]):
-                    for number, line in enumerate(body.split("\n")):
-                        tokens = line_tokens(line, shingle)
-                        if not tokens:
-                            continue
-                        name = xxhash.xxh3_128_digest(np.array(tokens, dtype="<i8").tobytes())
-                        prefix = None
-                        if name not in told:
-                            told.add(name)
-                            tokens.sort(key=lambda t: common.get(t, 0))  # stable: rare ones by hash
-                            prefix = tokens[: len(tokens) - needed(len(tokens), least) + 1]
-                        rows.append((key, doc, number, name, len(tokens), prefix))
+            for begin in range(0, batch.num_rows, SLICE):
+                part = batch.slice(begin, SLICE)
+                bodies = [body_lines(body) for body in part["text"].to_pylist()]
+                counts = [len(lines) for lines in bodies]
+                codes, offsets = token_sets([line for lines in bodies for line in lines], common, shingle)
+                sizes = np.diff(offsets)
+                some = np.nonzero(sizes)[0]
+                if not len(some):
+                    continue
+                raw, bounds = codes.tobytes(), (offsets * 8).tolist()
+                names = [xxhash.xxh3_128_digest(raw[bounds[i] : bounds[i + 1]]) for i in some.tolist()]
+                new = np.empty(len(some), dtype=bool)
+                for i, name in enumerate(names):
+                    new[i] = name not in told
+                    told.add(name)
                 if len(told) > 500_000:
                     told.clear()
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema
-                    )
+                document = np.repeat(np.arange(len(bodies)), counts)[some]
+                number = (np.arange(len(sizes)) - np.repeat(np.cumsum(counts) - counts, counts))[some]
+                sizes, starts = sizes[some], offsets[:-1][some]
+                length = np.where(new, sizes - needed(sizes, least) + 1, 0)
+                ends = np.cumsum(length)
+                values = codes[np.arange(ends[-1]) + np.repeat(starts - ends + length, length)]
+                bounds = pa.array(np.concatenate((ends - length, ends[-1:])), type=pa.int32(), mask=np.append(~new, False))
+                halves = np.frombuffer(b"".join(names), dtype=np.int64).reshape(-1, 2)
+                columns = [
+                    part["doc_key"].take(pa.array(document)), part["doc_id"].take(pa.array(document)),
+                    number, halves[:, 0], halves[:, 1], sizes, pa.ListArray.from_arrays(bounds, pa.array(values)),
+                ]
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c).cast(k) for c, k in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays([a.cast(k) for a, k in zip(arrays, kinds)], schema=schema)
 
     return stage(keyed.select("doc_id", "doc_key", "text").mapInArrow(work, _LINE), "lines")
 
@@ -154,23 +283,29 @@ def _place() -> Column:
     return F.struct("doc_id", "doc_key", "line")
 
 
-def _postings(lines: DataFrame) -> DataFrame:
-    """``(token, first, size, at)`` for the prefix of each class; ``first`` is its first line."""
-    classes = lines.groupBy("class").agg(
-        F.min(_place()).alias("first"), F.first("size").alias("size"), F.max("prefix").alias("prefix")
+def _classes(lines: DataFrame) -> DataFrame:
+    """``(class, check, first, size, prefix, n)``; ``first`` is the first line of the class."""
+    classes = lines.groupBy("class", "check").agg(
+        F.min(_place()).alias("first"),
+        F.first("size").alias("size"),
+        F.max("prefix").alias("prefix"),
+        F.count(F.lit(1)).alias("n"),
     )
-    return classes.select("first", "size", F.posexplode("prefix").alias("at", "token"))
-
+    return stage(classes, "line-classes")
 
-_LIVE = "token bigint, doc_id bigint, doc_key bigint, line int, size int, at int"
 
+def _live(classes: DataFrame) -> DataFrame:
+    """``(token, first, size, at)``, ``at`` being the token's place in the set, for tokens that more
+    than one class has in its prefix.
 
-def _met(postings: DataFrame, crowded: dict[int, int]) -> DataFrame:
-    """Postings of tokens that more than one class has. A token's postings stream past sorted,
-    one of them held back; tokens that may be crowded are counted instead, map-side first."""
-    spark = postings.sparkSession
-    flat = postings.select("token", "first.doc_id", "first.doc_key", "first.line", "size", "at")
-    schema = to_arrow_schema(T.StructType.fromDDL(_LIVE))
+    Postings are shuffled with half the class hash only; two classes that share it both get its
+    postings, which may add a candidate. The postings of a token stream past sorted, one of them held
+    back. Tokens that may be crowded are dealt with by a join that can be split instead.
+    """
+    spark = classes.sparkSession
+    postings = classes.select("class", F.posexplode("prefix").alias("at", "token"))
+    kind = "class bigint, at int, token bigint"
+    schema = to_arrow_schema(T.StructType.fromDDL(kind))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, in_run = None, False  # the last row so far, and whether the row before shares its token
@@ -189,13 +324,13 @@ def _met(postings: DataFrame, crowded: dict[int, int]) -> DataFrame:
         if held is not None and in_run:
             yield from held.to_batches()
 
-    crowd = spark.createDataFrame([(t,) for t in crowded], "token bigint")
-    crowd = stage(crowd, "crowded-tokens")  # at most COUNTERS rows
-    calm = flat.join(F.broadcast(crowd), "token", "left_anti")
+    late = F.col("token") >= F.lit(1 << TOKEN_BITS)  # codes of crowded tokens
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    streamed = calm.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(work, _LIVE)
-    hot = flat.join(F.broadcast(crowd), "token")
-    return stage(streamed.unionByName(hot), "live-postings")
+    streamed = postings.where(~late).repartition(parts, "token").sortWithinPartitions("token").mapInArrow(work, kind)
+    met = stage(streamed.unionByName(postings.where(late).select("class", "at", "token")), "met-postings")
+    return stage(
+        met.join(classes.select("class", "first.*", "size"), "class").drop("class"), "live-postings"
+    )
 
 
 # -- matching ------------------------------------------------------------------------------
@@ -213,7 +348,7 @@ def _sides(postings: DataFrame, name: str) -> DataFrame:
     return postings.select("token", _place().alias(name), F.col("size").alias(f"{name}_size"), F.col("at").alias(f"{name}_at"))
 
 
-def _verified(keyed: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
+def _verified(keyed: DataFrame, pairs: DataFrame, crowd, least: float, shingle: int) -> DataFrame:
     """The pairs that match, verified on the whole token sets of their lines. The texts are read
     again for just the lines that occur; when their list is small enough to be sent to each task,
     texts are not shuffled."""
@@ -226,38 +361,38 @@ def _verified(keyed: DataFrame, pairs: DataFrame, least: float, shingle: int) ->
     schema = to_arrow_schema(T.StructType.fromDDL(kind))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = crowd.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 rows = []
                 for row in batch.slice(at, SLICE).to_pylist():
-                    lines = row["text"].split("\n")
-                    rows += [
-                        {"doc_id": row["doc_id"], "doc_key": row["doc_key"], "line": n, "tokens": line_tokens(lines[n], shingle)}
-                        for n in set(row["wanted"])
-                    ]
+                    lines, numbers = body_lines(row["text"]), sorted(set(row["wanted"]))
+                    codes, offsets = token_sets([lines[n] for n in numbers], common, shingle)
+                    for n, begin, end in zip(numbers, offsets, offsets[1:]):
+                        rows.append({"doc_id": row["doc_id"], "doc_key": row["doc_key"], "line": n, "tokens": codes[begin:end]})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    sets = texts.mapInArrow(work, kind).select(_place().alias("end"), "tokens").dropDuplicates(["end"])
-    sets = stage(sets, "line-sets")
+    # Repeated rows tell a set twice, and so a pair: what is made of pairs is made distinct.
+    sets = stage(texts.mapInArrow(work, kind).select(_place().alias("end"), "tokens"), "line-sets")
     both = pairs.join(sets.select(F.col("end").alias("x"), F.col("tokens").alias("a")), "x")
     both = both.join(sets.select(F.col("end").alias("y"), F.col("tokens").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared >= least * (F.size("a") + F.size("b") - shared) - 1e-9).select("x", "y")
 
 
-def _matched(keyed: DataFrame, live: DataFrame, least: float, shingle: int) -> DataFrame:
+def _matched(keyed: DataFrame, live: DataFrame, crowd, least: float, shingle: int) -> DataFrame:
     """``first`` of the classes that match an earlier class."""
     earliest = live.groupBy("token").agg(F.min(F.struct(_place().alias("x"), "size", "at")).alias("lead"), F.count(F.lit(1)).alias("n"))
     leads = earliest.where(F.col("n") > 1).select(
         "token", F.col("lead.x").alias("x"), F.col("lead.size").alias("x_size"), F.col("lead.at").alias("x_at")
     )
     led = _sides(live, "y").join(leads, "token").where((F.col("x") < F.col("y")) & _may_match(least))
-    settled = stage(_verified(keyed, led, least, shingle).select(F.col("y").alias("first")).distinct(), "settled")
+    settled = stage(_verified(keyed, led, crowd, least, shingle).select(F.col("y").alias("first")).distinct(), "settled")
     open_ = live.join(settled, _place() == F.col("first"), "left_anti")
     later = (F.col("x") < F.col("y")) & _may_match(least)
     pairs = _sides(live, "x").join(_sides(open_, "y"), "token").where(later)
-    others = _verified(keyed, pairs, least, shingle).select(F.col("y").alias("first"))
+    others = _verified(keyed, pairs, crowd, least, shingle).select(F.col("y").alias("first"))
     return stage(settled.union(others).distinct(), "matched")
 
 
@@ -267,17 +402,19 @@ def removed_lines(
     """``(doc_key, removed)``: numbers of the lines (from 0) that an earlier line matches, for the
     documents that have such lines."""
     keyed = _keyed(docs, doc_id, text)
-    crowded = crowded_tokens(keyed, shingle=shingle)
-    lines = _lines(keyed, crowded, least, shingle)
-    live = _met(_postings(lines), crowded)
-    matched = _matched(keyed, live, least, shingle)
-    classes = lines.groupBy("class").agg(F.min(_place()).alias("lead"), F.count(F.lit(1)).alias("n"))
-    classes = classes.join(matched, F.col("lead") == F.col("first"), "left")
-    repeated = classes.where((F.col("n") > 1) | F.col("first").isNotNull()).select(
-        "class", "lead", F.col("first").isNotNull().alias("goes")
+    known = crowded_tokens(keyed, COUNTERS, shingle)
+    crowd = docs.sparkSession.sparkContext.broadcast(known)  # bounded by COUNTERS
+    lines = _lines(keyed, crowd, least, shingle)
+    classes = _classes(lines)
+    matched = _matched(keyed, _live(classes), crowd, least, shingle)
+    decided = classes.select("class", "check", "first", "n").join(
+        matched.select(F.col("first").alias("_later")), F.col("first") == F.col("_later"), "left"
+    )
+    repeated = decided.where((F.col("n") > 1) | F.col("_later").isNotNull()).select(
+        "class", "check", F.col("first").alias("lead"), F.col("_later").isNotNull().alias("goes")
     )
     repeated = stage(repeated, "repeated-lines")
-    gone = lines.join(join_side(repeated), "class").where(F.col("goes") | (_place() != F.col("lead")))
+    gone = lines.join(join_side(repeated), ["class", "check"]).where(F.col("goes") | (_place() != F.col("lead")))
     return stage(gone.groupBy("doc_key").agg(F.collect_set("line").alias("removed")), "removed-lines")
 
 
@@ -294,14 +431,15 @@ def dedup_lines(
     gone = removed_lines(docs, doc_id, text, least, shingle).withColumnRenamed("doc_key", "_key")
     whole = F.coalesce(F.col(text), F.lit(""))
     own = F.xxhash64(F.col(doc_id).cast("string"), whole)
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed"))
+    breaks = F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n")))
+    parts = F.when(F.col("_removed").isNotNull(), F.split(F.col(text), "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_removed"))
     cleaned = F.array_join(F.transform(kept, lambda i: F.col("_parts")[i]), "\n")
     found = docs.withColumn("_own", own).join(join_side(gone.withColumnRenamed("removed", "_removed")), F.col("_own") == F.col("_key"), "left")
     found = found.withColumn("_parts", parts)
     changed = {
         text: F.when(F.col("_removed").isNull(), F.col(text)).otherwise(cleaned),
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("_parts")).cast("bigint"),
+        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(breaks + 1).cast("bigint"),
         "n_removed": F.coalesce(F.size("_removed"), F.lit(0)).cast("bigint"),
     }
     return found.withColumns(changed).drop("_own", "_key", "_removed", "_parts")

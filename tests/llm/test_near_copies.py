@@ -18,7 +18,6 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain_tokens(line):
-    words = line.lower().split()
     words = line.lower().encode().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
@@ -96,7 +95,7 @@ def made_up(seed, n):
 @pytest.mark.parametrize("counters", [65_536, 5])
 def test_lines_equal_brute_force(docs, monkeypatch, counters):
     """With few counters only the most frequent tokens are known as such."""
-    monkeypatch.setattr(line_dedup.crowded_tokens, "__defaults__", (counters, 5))
+    monkeypatch.setattr(line_dedup, "COUNTERS", counters)
     rows = list(made_up(counters, 150))
     check_lines(docs(*rows), rows)
 
@@ -135,14 +134,37 @@ def plain_lines_of(rows):
 
 
 def test_counters_keep_every_frequent_token():
-    from collections import Counter
-
-    seen = Counter()
-    for at in range(3000):
-        seen[at % 3 == 0 and "hot" or f"t{at}"] += 1
-        if len(seen) > 20:
-            seen = line_dedup._shrunk(seen, 5)
-    assert seen["hot"] > 0 and len(seen) <= 20
+    seen = line_dedup.Counters(5)
+    for at in range(300):
+        seen.add(np.array([7, 7, 7, *range(100 + at * 9, 109 + at * 9)], dtype=np.uint64))
+    seen.shrink()
+    assert 7 in seen.tokens.tolist() and len(seen.tokens) <= 5
+
+
+def test_word_hashes_do_not_depend_on_windows(monkeypatch):
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcé\u6f22 ", k=rng.randint(1, 9))) for _ in range(4000)] + ["x" * 9000]
+    rng.shuffle(words)
+    lines = " ".join(words).replace("aa", "\n").encode().split(b"\n")
+    whole = line_dedup.line_tokens(lines)
+    one_by_one = [line_dedup.line_tokens([line])[0].tolist() for line in lines]
+    monkeypatch.setattr(line_dedup, "WINDOW", 64)
+    again = line_dedup.line_tokens(lines)
+    assert np.array_equal(whole[0], again[0]) and np.array_equal(whole[1], again[1])
+    grouped = [[] for _ in lines]
+    for token, line in zip(whole[0].tolist(), whole[1].tolist()):
+        grouped[line].append(token)
+    assert [sorted(g) for g in grouped] == [sorted(o) for o in one_by_one]
+
+
+def test_codes_name_tokens_and_sort_crowded_ones_last():
+    lines = [b"a b c d e f", b"", b"x", b"a b c d e", b"a b c d e f a b c d e f", b"x " * 9]
+    plain, at = line_dedup.token_sets(lines, line_dedup.NO_CROWD)
+    assert np.diff(at).tolist() == [2, 0, 1, 1, 6, 1]
+    crowd = line_dedup.Crowd(np.sort(plain[:2].astype(np.uint64)), np.array([1, 0], dtype=np.uint64))
+    codes, again = line_dedup.token_sets(lines, crowd)
+    assert again.tolist() == at.tolist() and (codes[:2] >> line_dedup.TOKEN_BITS).tolist() == [1, 1]
+    assert set(codes[:2]) < set(codes[at[4] : at[5]])
 
 
 # -- fingerprints --------------------------------------------------------------------------
