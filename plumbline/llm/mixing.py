@@ -8,7 +8,8 @@ the source's block numbers, another one for each pass, and joined to blocks by t
 
 Everything is built-in functions. No window and no generated sequence grows with a source: the
 places of texts in the stream are running sums within buckets on top of running sums over
-buckets, and slots are generated in chunks that are dealt out first.
+buckets, and slots are generated in chunks that are dealt out first. Joins with slots ask for a merge,
+since the optimizer takes generated rows for as few as they come from and would broadcast them.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ class Mix:
         some = self.targets.where(F.col("n_slots") > 0)
         chunks = some.select(
             "rank", "n_blocks", "n_slots", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_slots - 1) div {CHUNK}"))).alias("chunk")
-        ).repartition("rank", "chunk")
+        ).repartition(int(some.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "chunk")
         begin = F.col("chunk") * CHUNK
         end = F.least(begin + CHUNK, F.col("n_slots")) - 1
         slots = chunks.select("rank", "n_blocks", F.explode(F.sequence(begin, end)).alias("slot"))
@@ -132,12 +133,12 @@ class Mix:
     def blocks(self) -> DataFrame:
         """``(shard, rank, slot, pass, block, row, doc_id, size, first, words)``: the mixed blocks,
         as the pieces of texts they are made of."""
-        return self.slots.join(self.pieces(), ["rank", "block"])
+        return self.slots.hint("merge").join(self.pieces(), ["rank", "block"])
 
     def taken(self) -> DataFrame:
         """``(row, taken)`` of texts that the mix takes words from."""
         times = self.slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
-        used = self.pieces().join(times, ["rank", "block"])
+        used = self.pieces().join(times.hint("merge"), ["rank", "block"])
         return used.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
 
 
