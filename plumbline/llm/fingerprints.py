@@ -13,7 +13,6 @@ holds ``64 (blocks - r) / blocks`` bits, and candidates are verified by their fu
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -225,6 +224,7 @@ def within_radius(
     ]
     found = (
         side(index, "_match")
+        .hint("merge")  # generated rows look fewer than they are
         .join(side(queries, "_query"), ["table", "key"])
         .withColumn("distance", F.bit_count(different))
         .where((F.col("distance") <= radius) & (F.col("table") == F.coalesce(*agreeing)))
@@ -234,11 +234,3 @@ def within_radius(
         F.lower(F.lpad(F.hex("_match"), 16, "0")).alias("match"),
         "distance",
     )
-
-
-def tables_for(rows: int, radius: int = 3) -> int:
-    """Blocks that keep the expected chance candidates of one fingerprint below one."""
-    for blocks in range(radius + 1, BITS + 1):
-        if BITS * (blocks - radius) / blocks >= math.log2(max(rows, 2)):
-            return blocks
-    return BITS

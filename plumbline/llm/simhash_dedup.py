@@ -122,6 +122,7 @@ def near_links(marks: DataFrame, radius: int = 3, segments: int = 4, crowd: int
     if BITS % segments or not radius < segments:
         raise ValueError("segments must divide 64 and be more than the radius")
     flips = _flips(BITS // segments, _budget(2, radius, segments))
+    # Generated rows look fewer than they are: without the hint a side could be broadcast.
     own = marks.select("mark", F.inline(_keys(F.col("mark"), segments, [0])))
     probes = marks.select(F.col("mark").alias("a"), F.inline(_keys(F.col("mark"), segments, flips)))
     crowded = stage(
@@ -130,7 +131,7 @@ def near_links(marks: DataFrame, radius: int = 3, segments: int = 4, crowd: int
     )
     by = ["chain", "key"]
     pairs = (
-        probes.join(own.withColumnRenamed("mark", "b"), by)
+        probes.join(own.withColumnRenamed("mark", "b").hint("merge"), by)
         .where((F.col("a") < F.col("b")) & _chain_holds(F.col("a"), F.col("b"), radius, segments))
         .select("a", "b")
     )
@@ -140,7 +141,7 @@ def near_links(marks: DataFrame, radius: int = 3, segments: int = 4, crowd: int
         raise NotImplementedError("crowded keys are linked for a radius of three bits only")
     calm = (
         probes.join(crowded, by, "left_anti")
-        .join(own.withColumnRenamed("mark", "b").join(crowded, by, "left_anti"), by)
+        .join(own.withColumnRenamed("mark", "b").join(crowded, by, "left_anti").hint("merge"), by)
         .where((F.col("a") < F.col("b")) & _chain_holds(F.col("a"), F.col("b"), radius, segments))
         .select("a", "b")
     )
@@ -172,7 +173,7 @@ def _crowd_links(touching: DataFrame) -> DataFrame:
     apart = stage(apart.select("mark").distinct(), "crowd-apart")
     wide = apart.select(F.col("mark").alias("b"), F.explode(_around(F.col("mark"), 2)).alias("at"))
     centres = near.groupBy("at").agg(F.min("mark").alias("a"))
-    far = wide.join(centres, "at").where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    far = wide.hint("merge").join(centres, "at").where(F.col("a") != F.col("b")).select("a", "b").distinct()
     return close.unionByName(far)
 
 
