@@ -91,7 +91,8 @@ def _sample(labelled: DataFrame, lang: str, text: str, doc_id: str, per_language
     )
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     share = F.lit(1_000_000 * per_language) / F.col("rows")
-    return rows.join(sizes, "lang").where(F.col("draw") < share).select("lang", "text")
+    # One row per language, fewer than the model itself holds: broadcast, so no text is shuffled.
+    return rows.join(F.broadcast(sizes), "lang").where(F.col("draw") < share).select("lang", "text")
 
 
 def learn(
