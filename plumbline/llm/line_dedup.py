@@ -15,9 +15,9 @@ token with more than one in ``COUNTERS`` of all occurrences; they come last, in
 counts. Others come first, by hash. A token is known by 45 bits of its hash: candidates may meet by
 chance, but within a candidate pair the sets are told apart.
 
-A crowd of matching lines does not make all its pairs. Each class is compared with the earliest
-class at each token of its prefix; one that matches is settled, and only classes that are not look
-at the others.
+A crowd of matching lines does not make all its pairs. Where more than ``FEW`` classes share a
+token, each is compared with the earliest of them; one that matches is settled, and only classes that are
+not look at the others.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ from .batches import SLICE
 SHINGLE = 5
 LEAST = 0.8
 COUNTERS = 65_536
+#: Classes at a token that are all paired at once.
+FEW = 64
 
 #: Bits of a token's hash, and of a token's place in the order, which has room for crowded ones.
 TOKEN_BITS, CODE_BITS = 45, 46
@@ -327,7 +329,7 @@ def _live(classes: DataFrame) -> DataFrame:
     late = F.col("token") >= F.lit(1 << TOKEN_BITS)  # codes of crowded tokens
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     streamed = postings.where(~late).repartition(parts, "token").sortWithinPartitions("token").mapInArrow(work, kind)
-    met = stage(streamed.unionByName(postings.where(late).select("class", "at", "token")), "met-postings")
+    met = streamed.unionByName(postings.where(late).select("class", "at", "token"))
     return stage(
         met.join(classes.select("class", "first.*", "size"), "class").drop("class"), "live-postings"
     )
@@ -344,8 +346,8 @@ def _may_match(least: float) -> Column:
     return (small >= least * large - 1e-9) & (rest >= shared - 1e-9)
 
 
-def _sides(postings: DataFrame, name: str) -> DataFrame:
-    return postings.select("token", _place().alias(name), F.col("size").alias(f"{name}_size"), F.col("at").alias(f"{name}_at"))
+def _sides(postings: DataFrame, name: str, *more: Column) -> DataFrame:
+    return postings.select("token", *more, _place().alias(name), F.col("size").alias(f"{name}_size"), F.col("at").alias(f"{name}_at"))
 
 
 def _verified(keyed: DataFrame, pairs: DataFrame, crowd, least: float, shingle: int) -> DataFrame:
@@ -366,8 +368,8 @@ def _verified(keyed: DataFrame, pairs: DataFrame, crowd, least: float, shingle:
             for at in range(0, batch.num_rows, SLICE):
                 rows = []
                 for row in batch.slice(at, SLICE).to_pylist():
-                    lines, numbers = body_lines(row["text"]), sorted(set(row["wanted"]))
-                    codes, offsets = token_sets([lines[n] for n in numbers], common, shingle)
+                    lines, numbers = row["text"].split("\n"), sorted(set(row["wanted"]))
+                    codes, offsets = token_sets([lines[n].lower().encode() for n in numbers], common, shingle)
                     for n, begin, end in zip(numbers, offsets, offsets[1:]):
                         rows.append({"doc_id": row["doc_id"], "doc_key": row["doc_key"], "line": n, "tokens": codes[begin:end]})
                 if rows:
@@ -382,16 +384,31 @@ def _verified(keyed: DataFrame, pairs: DataFrame, crowd, least: float, shingle:
 
 
 def _matched(keyed: DataFrame, live: DataFrame, crowd, least: float, shingle: int) -> DataFrame:
-    """``first`` of the classes that match an earlier class."""
-    earliest = live.groupBy("token").agg(F.min(F.struct(_place().alias("x"), "size", "at")).alias("lead"), F.count(F.lit(1)).alias("n"))
-    leads = earliest.where(F.col("n") > 1).select(
-        "token", F.col("lead.x").alias("x"), F.col("lead.size").alias("x_size"), F.col("lead.at").alias("x_at")
-    )
-    led = _sides(live, "y").join(leads, "token").where((F.col("x") < F.col("y")) & _may_match(least))
-    settled = stage(_verified(keyed, led, crowd, least, shingle).select(F.col("y").alias("first")).distinct(), "settled")
-    open_ = live.join(settled, _place() == F.col("first"), "left_anti")
+    """``first`` of the classes that match an earlier class. Tokens of few classes (``FEW``) pair them
+    all. Where there are more, each is compared with the earliest, and only then those that are not settled with
+    the others."""
+    lead = F.min(F.struct(_place().alias("x"), "size", "at"))
+    tokens = live.groupBy("token").agg(lead.alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    marked = stage(live.join(tokens, "token"), "marked-postings")
+    few, many = marked.where(F.col("n") <= FEW), marked.where(F.col("n") > FEW)
+
+    own = F.struct(_place().alias("place"), "size", "at")
+    groups = few.groupBy("token").agg(F.collect_list(own).alias("members"))
+    ends = groups.select(F.explode("members").alias("q"), "members")
+    ends = ends.select("q", F.explode(F.filter("members", lambda m: m["place"] < F.col("q.place"))).alias("p"))
+    paired = ends.select(
+        F.col("p.place").alias("x"), F.col("p.size").alias("x_size"), F.col("p.at").alias("x_at"),
+        F.col("q.place").alias("y"), F.col("q.size").alias("y_size"), F.col("q.at").alias("y_at"),
+    )
+    led = _sides(many, "y", F.col("lead.x").alias("x"), F.col("lead.size").alias("x_size"), F.col("lead.at").alias("x_at"))
+    led = led.where(F.col("x") < F.col("y")).select(*paired.columns)
+    pairs = paired.unionByName(led).where(_may_match(least))
+    settled = stage(_verified(keyed, pairs, crowd, least, shingle).select(F.col("y").alias("first")).distinct(), "settled")
+    if many.isEmpty():
+        return settled
+    open_ = many.join(settled, _place() == F.col("first"), "left_anti")
     later = (F.col("x") < F.col("y")) & _may_match(least)
-    pairs = _sides(live, "x").join(_sides(open_, "y"), "token").where(later)
+    pairs = _sides(many, "x").join(_sides(open_, "y"), "token").where(later)
     others = _verified(keyed, pairs, crowd, least, shingle).select(F.col("y").alias("first"))
     return stage(settled.union(others).distinct(), "matched")
 

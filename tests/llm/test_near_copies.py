@@ -96,6 +96,7 @@ def made_up(seed, n):
 def test_lines_equal_brute_force(docs, monkeypatch, counters):
     """With few counters only the most frequent tokens are known as such."""
     monkeypatch.setattr(line_dedup, "COUNTERS", counters)
+    monkeypatch.setattr(line_dedup, "FEW", min(counters, 64))
     rows = list(made_up(counters, 150))
     check_lines(docs(*rows), rows)
 
