@@ -24,7 +24,7 @@ from .pieces import Splitter
 from .token_counts import byte_characters
 
 #: Pieces remembered in one generation of a worker's memo; two generations are kept.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
