@@ -53,9 +53,10 @@ def simhash(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def simhashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, mark)``, the fingerprint as a signed long. Null texts count as empty."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+def simhashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, mark)``, the fingerprint as a signed long, with the columns ``also`` before it.
+    Null texts count as empty."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *also)
 
     def make():
         def work(rows):
@@ -64,7 +65,7 @@ def simhashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
 
         return work
 
-    return map_rows(rows, ["doc_id"], ["text"], "mark bigint", make)
+    return map_rows(rows, ["doc_id", *also], ["text"], "mark bigint", make)
 
 
 # -- candidates ----------------------------------------------------------------------------
@@ -180,6 +181,21 @@ def _crowd_links(touching: DataFrame) -> DataFrame:
 # -- groups --------------------------------------------------------------------------------
 
 
+def _groups(hashed: DataFrame, radius: int, segments: int, crowd: int) -> DataFrame:
+    """``(mark, root, component_id, n_links)`` for every fingerprint; ``root`` is one fingerprint
+    of its component."""
+    marks = stage(hashed.groupBy("mark").agg(F.min("doc_id").alias("least_id")), "marks")
+    links = stage(near_links(marks.select("mark"), radius, segments, crowd).distinct(), "links")
+    roots = components(links).withColumnRenamed("node", "mark")
+    ends = links.select(F.col("a").alias("mark")).union(links.select("b"))
+    degrees = ends.groupBy("mark").agg(F.count(F.lit(1)).alias("n_links"))
+    rooted = marks.join(roots, "mark", "left").join(degrees, "mark", "left").select(
+        "mark", "least_id", F.coalesce("root", "mark").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return stage(rooted.join(least, "root").select("mark", "root", "component_id", "n_links"), "mark-components")
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -198,16 +214,7 @@ def near_duplicates(
     with no other id has none. Repeated rows share a component. An empty table gives none.
     """
     hashed = stage(simhashes(docs, doc_id, text, shingle), "simhashes")
-    marks = stage(hashed.groupBy("mark").agg(F.min("doc_id").alias("least_id")), "marks")
-    links = stage(near_links(marks.select("mark"), radius, segments, crowd).distinct(), "links")
-    roots = components(links).withColumnRenamed("node", "mark")
-    ends = links.select(F.col("a").alias("mark")).union(links.select("b"))
-    degrees = ends.groupBy("mark").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = marks.join(roots, "mark", "left").join(degrees, "mark", "left").select(
-        "mark", "least_id", F.coalesce("root", "mark").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = stage(rooted.join(least, "root").select("mark", "component_id", "n_links"), "mark-components")
+    known = _groups(hashed, radius, segments, crowd).drop("root")
     return hashed.join(known, "mark").select(
         "doc_id",
         F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"),
@@ -216,17 +223,28 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns.
-    Rows that repeat that id are one document; any one of them stays. Rows without an id stay
-    only in components where no row has one, one of them."""
-    found = near_duplicates(docs, doc_id, text, **options)
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = found.where(~stays).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[doc_id].eqNullSafe(F.col("_gone")), "left_anti")
-    again = found.where(stays).groupBy("doc_id").count().where(F.col("count") > 1)
-    again = stage(again.select(F.col("doc_id").alias("_again")), "repeated-ids")
-    same = kept[doc_id].eqNullSafe(F.col("_again"))
-    return kept.join(again, same, "left_anti").unionByName(
-        kept.join(again, same, "left_semi").dropDuplicates([doc_id])
-    )
+def keep_one(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = 3,
+    radius: int = 3,
+    segments: int = 4,
+    crowd: int = CROWD,
+) -> DataFrame:
+    """One row of each component, with all its columns: one with the smallest id; of rows that
+    repeat that id in the component any one. A row without an id stays only where no row of its
+    component has one. Ids name no rows: what an id or a null does in one component says nothing
+    about the same id, or other nulls, in another.
+    """
+    # Numbered and written down at once, so that a row keeps its number.
+    rows = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    read = rows.select(F.col(f"doc.`{doc_id}`").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"), "row")
+    hashed = stage(simhashes(read, shingle=shingle, also=("row",)), "simhashes")
+    known = _groups(hashed, radius, segments, crowd).select("mark", "root")
+    # Folded by fingerprint first, map-side: a crowd of equal texts is one row in the join.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    leaders = hashed.groupBy("mark").agg(first.alias("first")).join(known, "mark")
+    stays = leaders.groupBy("root").agg(F.min("first")["row"].alias("row")).select("row")
+    kept = rows.join(stays.hint("merge"), "row", "left_semi")
+    return kept.select(*[F.col(f"doc.`{c}`") for c in docs.columns])

@@ -222,6 +222,25 @@ def test_one_of_repeated_rows_stays(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(docs):
+    """Null ids in a component with an id, alone and together; an id used by different texts."""
+    rows = [
+        (1, "p q r s"), (None, "p q r s"), (None, "alone with no id"), (None, "also alone but of other words"),
+        (None, "two rows that have no id"), (None, "two rows that have no id"), (2, "leads one text of its own"),
+        (2, "and leads quite another text too"), (2, "P q r s"), (3, "dropped for the smaller id"), (0, "dropped for the smaller id"),
+        (3, "yet the only one of these words"),
+    ]
+    marks = [plain_mark(t) for _, t in rows]
+    assert all((a ^ b).bit_count() > 3 for a in set(marks) for b in set(marks) if a != b)
+    want = {}
+    for (doc, _), mark in zip(rows, marks):
+        want[mark] = min(want.get(mark, (True, 0)), (doc is None, doc or 0))
+    kept = simhash_dedup.keep_one(docs(*rows))
+    assert kept.columns == docs("x").columns
+    got = sorted((plain_mark(r["text"]), (r["doc_id"] is None, r["doc_id"] or 0)) for r in kept.collect())
+    assert got == sorted(want.items())
+
+
 def test_near_dedup_query_equals_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark, SF).select("doc_id", "text").collect()]
     marks = [(i, plain_mark(t)) for i, t in rows]
