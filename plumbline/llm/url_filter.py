@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.staging import stage
+from plumbline.operators.staging import join_side, stage
 
 ALLOW, BLOCK = "allow", "block"
 #: ``(verdict, host, path)``
@@ -76,24 +76,36 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def _statistics(sample: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows and smoothed share of blocked ones for each key of the training sample."""
-    rows, blocked = F.count(F.lit(1)), F.sum("label")
-    return sample.groupBy(key).agg(
-        F.log1p(rows).alias(f"{name}_rows"), ((blocked + 1.0) / (rows + 2.0)).alias(f"{name}_rate")
-    )
+def _statistics(pages: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``pages`` and smoothed share of blocked ones in ``known`` (``url``, ``label``) for
+    each suffix and each domain of either. Every row counts. Rows are folded by domain
+    map-side, and suffixes are counted from domains."""
+    seen = pages.select("url", F.lit(1).alias("rows"), F.lit(0).alias("known"), F.lit(0.0).alias("blocked"))
+    told = known.select("url", F.lit(0).alias("rows"), F.lit(1).alias("known"), F.col("label").alias("blocked"))
+    host, _ = host_and_path(F.col("url"))
+    counts = [F.sum(c).alias(c) for c in ("rows", "known", "blocked")]
+    both = seen.unionByName(told).withColumn("_domain", F.substring_index(host, ".", -2))
+    by_domain = stage(both.groupBy("_domain").agg(*counts), "url-counts")
+
+    def features(counted: DataFrame, key: str, name: str) -> DataFrame:
+        rate = (F.col("blocked") + 1.0) / (F.col("known") + 2.0)
+        return counted.select(key, F.log1p("rows").alias(f"{name}_rows"), rate.alias(f"{name}_rate"))
+
+    by_suffix = by_domain.groupBy(F.substring_index("_domain", ".", -1).alias("_suffix")).agg(*counts)
+    suffixes = stage(features(by_suffix, "_suffix", "suffix"), "url-suffixes")
+    return suffixes, stage(features(by_domain, "_domain", "domain"), "url-domains")
 
 
 class UrlFilter:
-    """Trees and the suffix statistics of their training sample."""
+    """Trees, and the statistics of all suffixes and domains."""
 
     def __init__(self, model: GBTClassificationModel | None, fallback: str, suffixes: DataFrame, domains: DataFrame):
         self.model, self.fallback = model, fallback
-        self.suffixes, self.domains = suffixes, domains
+        self.suffixes, self.domains = join_side(suffixes), join_side(domains)
 
     def features(self, df: DataFrame) -> DataFrame:
-        """Both tables have at most a row for each training URL, so they are broadcast."""
-        joined = df.join(F.broadcast(self.suffixes), "_suffix", "left").join(F.broadcast(self.domains), "_domain", "left")
+        """Both tables have a row for each key met: broadcast up to a measured bound only."""
+        joined = df.join(self.suffixes, "_suffix", "left").join(self.domains, "_domain", "left")
         unseen = {"suffix_rows": 0.0, "suffix_rate": 0.5, "domain_rows": 0.0, "domain_rate": 0.5}
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(joined.fillna(unseen))
 
@@ -106,12 +118,20 @@ class UrlFilter:
 
 
 def train(
-    labelled: DataFrame, url: str = "url", verdict: str = "verdict", most: int = 20_000, rounds: int = 12, depth: int = 4
+    labelled: DataFrame,
+    url: str = "url",
+    verdict: str = "verdict",
+    most: int = 20_000,
+    rounds: int = 12,
+    depth: int = 4,
+    pages: DataFrame | None = None,
 ) -> UrlFilter:
     """Boosted trees from URLs with a verdict (others are passed over).
 
-    About ``most`` rows are taken, by a hash of the URL, all when there are fewer. Equal URLs
-    are taken together. The sample is written down in order, so that reruns agree.
+    About ``most`` rows are taken for the trees, by a hash of the URL, all when there are fewer.
+    Equal URLs are taken together. The sample is written down in order, so that reruns agree.
+    Suffixes and domains are not sampled: their rows are counted over all of ``pages`` (column
+    ``url``; the labelled rows when not given), their rates over all labelled rows.
     """
     known = labelled.where(F.col(verdict).isin(ALLOW, BLOCK)).select(
         F.col(url).alias("url"), (F.col(verdict) == BLOCK).cast("double").alias("label")
@@ -120,8 +140,7 @@ def train(
     draw = F.pmod(F.xxhash64(F.col("url")), F.lit(1_000_000))
     taken = known.where(draw < 1_000_000 * most / max(rows, 1)).repartition(1).sortWithinPartitions("url", "label")
     sample = stage(lexical(stage(taken, "labelled-urls")), "url-features")
-    suffixes = stage(_statistics(sample, "_suffix", "suffix"), "url-suffixes")
-    domains = stage(_statistics(sample, "_domain", "domain"), "url-domains")
+    suffixes, domains = _statistics(known if pages is None else pages, known)
     classes = {r["label"] for r in sample.select("label").distinct().collect()}  # two at most
     if len(classes) < 2:
         return UrlFilter(None, BLOCK if classes == {1.0} else ALLOW, suffixes, domains)
@@ -138,8 +157,9 @@ def judge_urls(
     """``(page_id, host, path, rule, verdict)``, one row per input row.
 
     A rule's verdict stands; URLs without one are judged by trees that were trained on
-    ``labelled`` (``url``, ``verdict``), or on the URLs that the rules decide. Null and empty
-    URLs are judged by their features, all zero. Equal URLs get equal verdicts.
+    ``labelled`` (``url``, ``verdict``), or on the URLs that the rules decide. Suffixes and
+    domains are counted over all rows. Null and empty URLs are judged by their features: those
+    of the empty host, all others zero. Equal URLs get equal verdicts.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
@@ -147,5 +167,5 @@ def judge_urls(
     rule, told = rule_of(F.col("host"), F.col("path"), rules)
     ruled = ruled.withColumn("rule", rule).withColumn("told", told)
     examples = ruled.select("url", F.col("told").alias("verdict")) if labelled is None else labelled
-    judged = train(examples, most=most).verdicts(lexical(ruled))
+    judged = train(examples, most=most, pages=rows).verdicts(lexical(ruled))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("told", "judged").alias("verdict"))

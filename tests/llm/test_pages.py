@@ -1,6 +1,7 @@
 """WARC archives and URL filters."""
 
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,26 @@ def test_trees_learn_what_labels_say(pages, spark):
     assert all(r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in got.collect())
 
 
+def test_suffixes_and_domains_are_counted_over_all_rows(pages):
+    """However few rows train the trees, and also where no row has a label."""
+    rows = [(i, f"http://h{i}.{'ab'[i % 2]}{i // 20}.{('org', 'com', 'net')[i % 3]}/p{i}", None) for i in range(300)]
+    table = pages(*rows)
+    verdict = F.when(F.col("url").contains(".net/"), None).when(F.col("page_id") % 4 == 0, "block").otherwise("allow")
+    model = url_filter.train(table.withColumn("verdict", verdict), most=20, pages=table)
+    told, counts = {"suffix": {}, "domain": {}}, {"suffix": model.suffixes, "domain": model.domains}
+    for at, url, _ in rows:
+        host = url.split("/")[2].split(".")
+        for kind, key in (("suffix", host[-1]), ("domain", ".".join(host[-2:]))):
+            n, known, blocked = told[kind].get(key, (0, 0, 0))
+            labelled = host[-1] != "net"
+            told[kind][key] = (n + 1, known + labelled, blocked + (labelled and at % 4 == 0))
+    for kind, frame in counts.items():
+        got = {r[f"_{kind}"]: (r[f"{kind}_rows"], r[f"{kind}_rate"]) for r in frame.collect()}
+        assert set(got) == set(told[kind])
+        for key, (n, known, blocked) in told[kind].items():
+            assert got[key] == pytest.approx((math.log1p(n), (blocked + 1) / (known + 2)))
+
+
 def test_native_plan(spark):
     text = all_queries()["op6_url_filters"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for word in ("Python", "Arrow", "Pandas", "NestedLoop", "Cartesian"):
