@@ -21,18 +21,19 @@ from plumbline.operators.staging import stage
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose language holds less than this (see ``language_id.Reader.judge``) is rejected.
+#: A document with a smaller share of its letters in words of known languages is rejected.
 SURE = 0.5
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts in no known language: null, without a letter, or with no language that is
-    surer than all others together. ``lang`` becomes the predicted language."""
+    """Rejects texts in no known language: null, without a letter, or with less than half of the
+    letters in words that fit their span's language (``language_id.Reader.fits``). Texts in
+    several known languages stay, whichever leads. ``lang`` becomes the predicted language."""
     prepare(spark)
     model = language_id.learn(docs.where(~held_out()))
-    told = language_id.predict(docs.select(*COLUMNS), model)
-    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= SURE)
-    return told.where(sure).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    told = language_id.predict(docs.select(*COLUMNS), model, also_known=True)
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("known") >= SURE)
+    return told.where(known).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,12 +71,14 @@ def grams(word: str) -> list[str]:
 @dataclass(frozen=True)
 class Model:
     """``weights`` has a row of log-probabilities, one for each language, and ``rows`` tells which
-    one an n-gram has; ``scripts`` holds the languages of a script."""
+    one an n-gram has; ``scripts`` holds the languages of a script, and ``unmet`` what an n-gram
+    weighs that a language never had."""
 
     languages: list[str]
     rows: dict[str, int]
     weights: np.ndarray
     scripts: dict[str, np.ndarray]
+    unmet: np.ndarray
 
 
 # -- learning ------------------------------------------------------------------------------
@@ -146,7 +148,7 @@ def learn(
     rows = {gram: at for at, gram in enumerate(sorted(counts))}
     met = np.array([counts[gram] for gram in rows]).reshape(len(rows), width)
     uses = {s: c >= 0.01 * np.maximum(letters, 1) for s, c in scripts.items()}
-    return Model(languages, rows, (np.log(met + 0.5) - base).astype(np.float32), uses)
+    return Model(languages, rows, (np.log(met + 0.5) - base).astype(np.float32), uses, np.log(0.5) - base)
 
 
 # -- reading -------------------------------------------------------------------------------
@@ -158,6 +160,7 @@ class Reader:
     def __init__(self, model: Model, penalty: float):
         self.model, self.penalty = model, penalty
         self.places: dict[str, int] = {}
+        self.fitting: dict[str, np.ndarray] = {}
         self.scores = np.zeros((REMEMBERED, max(len(model.languages), 1)), dtype=np.float32)
 
     def score(self, words: list[str]) -> np.ndarray:
@@ -230,13 +233,41 @@ class Reader:
                 state = tops[at]
         return path
 
+    def fits(self, word: str) -> np.ndarray:
+        """For each language, whether a word could be one of its words: its script is used there
+        and at least half of the n-grams of two letters and more were met. That looks at one
+        language at a time; how alike others are says nothing."""
+        known = self.fitting.get(word)
+        if known is None:
+            model = self.model
+            longer = [model.rows.get(g) for g in grams(word)[len(word) :]]
+            own = [n for n in longer if n is not None]
+            met = (model.weights[own] > model.unmet + 0.5).sum(axis=0)
+            known = (2 * met >= len(longer)) & model.scripts.get(script(word), False)
+            if len(self.fitting) >= REMEMBERED:
+                self.fitting.clear()
+            self.fitting[word] = known
+        return known
+
+    def _known(self, words: list[str], path: np.ndarray) -> float:
+        """The share of letters in words that fit the language of their span."""
+        return sum(len(w) for w, at in zip(words, path.tolist()) if self.fits(w)[at]) / sum(map(len, words))
+
     def judge(self, text: str) -> tuple[str, float, int]:
         """Language, confidence and number of spans. The confidence is the language's share of
         the letters, times its probability against the others over the words of its spans (ten
-        words' worth of evidence at most)."""
+        words' worth of evidence at most). It tells how far one language leads; a text in
+        several, or in one of several alike, has a low one, however well it is known."""
+        return self._judge(text, False)[:3]
+
+    def judge_known(self, text: str) -> tuple[str, float, int, float]:
+        """What ``judge`` tells, and the share of letters in words that fit their span's language."""
+        return self._judge(text, True)
+
+    def _judge(self, text: str, also_known: bool) -> tuple[str, float, int, float]:
         words = WORDS(text.lower())
         if not words or not self.model.languages:
-            return UNKNOWN, 0.0, 0
+            return UNKNOWN, 0.0, 0, 0.0
         scores = self.matrix(words)
         path = self.path(scores)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -246,7 +277,8 @@ class Reader:
         margin = (own - own[:, [winner]]).mean(axis=0, dtype=np.float64) * min(len(own), 10)
         probability = 1.0 / np.exp(np.minimum(margin, 50)).sum()
         spans = int((np.diff(path) != 0).sum()) + 1
-        return self.model.languages[winner], float(share[winner] / share.sum() * min(probability, 1.0)), spans
+        score = float(share[winner] / share.sum() * min(probability, 1.0))
+        return self.model.languages[winner], score, spans, self._known(words, path) if also_known else 0.0
 
     def spans(self, text: str) -> list[dict]:
         """``(lang, start, end)`` in characters. A span reaches from its first word to the next
@@ -275,21 +307,26 @@ def _reading(docs: DataFrame, model: Model, penalty: float, text: str, added: st
     return map_rows(rows, keep, ["_text"], added, make)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float = 8.0) -> DataFrame:
+def predict(
+    docs: DataFrame, model: Model, text: str = "text", penalty: float = 8.0, also_known: bool = False
+) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``n_spans`` added (columns of these names are
     replaced), one row per input row. A null text, one without a
     letter, or a model without languages gives ``und`` with score 0. Ties go to the language
-    that sorts first."""
+    that sorts first. ``also_known`` adds ``known``, the share of letters in words that fit the
+    language of their span, whichever it is."""
 
     def work(reader, rows):
-        told = [reader.judge(t) for t in rows["_text"]]
-        return {
+        told = [(reader.judge_known if also_known else reader.judge)(t) for t in rows["_text"]]
+        made = {
             "lang_pred": [t[0] for t in told],
             "score": [t[1] for t in told],
             "n_spans": [t[2] for t in told],
         }
+        return made | ({"known": [t[3] for t in told]} if also_known else {})
 
-    return _reading(docs, model, penalty, text, "lang_pred string, score double, n_spans int", work)
+    added = "lang_pred string, score double, n_spans int" + ", known double" * also_known
+    return _reading(docs, model, penalty, text, added, work)
 
 
 def label_spans(docs: DataFrame, model: Model, text: str = "text", penalty: float = 8.0) -> DataFrame:

@@ -71,6 +71,21 @@ def test_run_equals_plain_stages(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_texts_in_several_known_languages_stay(spark, docs):
+    """Also texts in one of several that are nearly alike; texts in no known language go."""
+    en, fr = "the house and this other thing with many words", "le chat est dans une maison avec les autres"
+    de, near = "der hund ist nicht auf dem weg nach haus", "mali stol dobar dan kuca velika noc"
+    labelled = [(f"{en} {i}", "en") for i in range(40)] + [(f"{fr} {i}", "fr") for i in range(40)] + [(de, "de")] * 40
+    labelled += [(near, "bs"), (near, "hr"), (f"{near} lepa", "sr")] * 40
+    frame = docs(
+        *((100 + i, *row) for i, row in enumerate(labelled)),
+        (1, f"{en} {en}\n{fr} {fr}\n{de} {de}"), (2, f"{near} " * 30), (3, "zqxv kjwq pzzf vvkq " * 20), (4, "漢字 仮名 " * 20),
+        (5, en + " zqxv kjwq" * 40), (6, en),
+    )
+    kept = {r["doc_id"] for r in WORK["language_id"](spark, frame, SF).collect()}
+    assert {1, 2, 6} <= kept and not kept & {3, 4, 5} and len(kept) == 3 + len(labelled)
+
+
 ODD = [
     (1, None, "en", "a"), (2, "", "en", "a"), (3, "12 % 34", "en", None), (4, "the and that was", "en", "a"),
     (4, "the and that was", "en", "a"), (None, "of the with erthat", None, "a"), (None, None, None, None),
