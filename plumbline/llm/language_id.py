@@ -85,11 +85,12 @@ class Model:
 
 
 def _sample(labelled: DataFrame, lang: str, text: str, doc_id: str, per_language: int) -> DataFrame:
-    """About ``per_language`` labelled texts of each language, chosen by a hash of the id: the
-    share that gives that many on average, all when there are fewer."""
+    """About ``per_language`` labelled texts of each language, chosen by a hash of id and text,
+    so that rows without an id are drawn like others: the share that gives that many on average,
+    all when there are fewer. Rows equal in both are drawn together."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"),
-        F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1_000_000)).alias("draw"),
+        F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)), F.lit(1_000_000)).alias("draw"),
     )
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     share = F.lit(1_000_000 * per_language) / F.col("rows")

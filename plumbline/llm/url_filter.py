@@ -117,6 +117,19 @@ class UrlFilter:
         return scored.withColumn("judged", F.when(F.col("prediction") > 0.5, BLOCK).otherwise(ALLOW))
 
 
+def _drawn(known: DataFrame, most: int) -> DataFrame:
+    """``(url, label, weight)`` for the trees, ``most`` rows on average at most. Equal rows are
+    folded first, map-side, so a hot URL is one row and weighs what it counts. A row is drawn with
+    a chance in proportion to its count, by a hash of the URL, and weighs what rows not drawn
+    leave to it; one that holds more than its share of the rows is always drawn."""
+    folded = stage(known.groupBy("url", "label").agg(F.count(F.lit(1)).alias("count")), "url-labels")
+    rows = folded.agg(F.sum("count")).first()[0] or 0
+    share = F.least(F.lit(1.0), F.col("count") * (most / max(rows, 1)))
+    draw = F.pmod(F.xxhash64("url"), F.lit(1_000_000)) / 1_000_000
+    taken = folded.where(draw < share).select("url", "label", (F.col("count") / share).alias("weight"))
+    return taken.repartition(1).sortWithinPartitions("url", "label")
+
+
 def train(
     labelled: DataFrame,
     url: str = "url",
@@ -128,25 +141,22 @@ def train(
 ) -> UrlFilter:
     """Boosted trees from URLs with a verdict (others are passed over).
 
-    About ``most`` rows are taken for the trees, by a hash of the URL, all when there are fewer.
-    Equal URLs are taken together. The sample is written down in order, so that reruns agree.
+    About ``most`` URLs at most are taken for the trees, by a hash, all when there are fewer rows;
+    see ``_drawn``. The sample is written down in order, so that reruns agree.
     Suffixes and domains are not sampled: their rows are counted over all of ``pages`` (column
     ``url``; the labelled rows when not given), their rates over all labelled rows.
     """
     known = labelled.where(F.col(verdict).isin(ALLOW, BLOCK)).select(
         F.col(url).alias("url"), (F.col(verdict) == BLOCK).cast("double").alias("label")
     )
-    rows = known.agg(F.count(F.lit(1))).first()[0]
-    draw = F.pmod(F.xxhash64(F.col("url")), F.lit(1_000_000))
-    taken = known.where(draw < 1_000_000 * most / max(rows, 1)).repartition(1).sortWithinPartitions("url", "label")
-    sample = stage(lexical(stage(taken, "labelled-urls")), "url-features")
+    sample = stage(lexical(stage(_drawn(known, most), "labelled-urls")), "url-features")
     suffixes, domains = _statistics(known if pages is None else pages, known)
     classes = {r["label"] for r in sample.select("label").distinct().collect()}  # two at most
     if len(classes) < 2:
         return UrlFilter(None, BLOCK if classes == {1.0} else ALLOW, suffixes, domains)
     untrained = UrlFilter(None, ALLOW, suffixes, domains)
     trees = GBTClassifier(
-        featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7
+        featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7
     )
     return UrlFilter(trees.fit(untrained.features(sample)), ALLOW, suffixes, domains)
 

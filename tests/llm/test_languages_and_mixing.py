@@ -54,6 +54,12 @@ def test_scripts_narrow_the_candidates(docs):
     assert [(s["lang"], s["start"], s["end"]) for s in spans] == [("en", 0, 19), ("ru", 19, 36)]
 
 
+def test_rows_without_an_id_are_sampled_like_others(docs):
+    frame = docs(*[(None if i % 3 else i, f"text number {i}", "en") for i in range(3000)])
+    taken = language_id._sample(frame, "lang", "text", "doc_id", 100)
+    assert 60 < taken.count() < 150
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_path_is_the_best_of_all(model, seed):
     """Against every labelling of up to six words."""

@@ -144,6 +144,17 @@ def test_suffixes_and_domains_are_counted_over_all_rows(pages):
             assert got[key] == pytest.approx((math.log1p(n), (blocked + 1) / (known + 2)))
 
 
+def test_a_hot_url_is_one_row_of_the_sample(pages):
+    """Drawn whatever its hash, with the weight of its rows; the others as a bounded share."""
+    for hot in ("http://hot.org/", "http://warm.org/", None):
+        rows = pages(*[(i, hot if i % 3 == 0 else f"http://a{i}.org/", None) for i in range(3000)])
+        known = rows.select("url", (F.col("page_id") % 2).cast("double").alias("label"))
+        got = {(r["url"], r["label"]): r["weight"] for r in url_filter._drawn(known, 100).collect()}
+        assert got[hot, 0.0] == got[hot, 1.0] == 500 and 30 < len(got) < 120
+        assert {w for (u, _), w in got.items() if u != hot} == {30.0}
+    assert {r["weight"] for r in url_filter._drawn(known, 5000).collect()} == {500.0, 1.0}
+
+
 def test_native_plan(spark):
     text = all_queries()["op6_url_filters"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for word in ("Python", "Arrow", "Pandas", "NestedLoop", "Cartesian"):
