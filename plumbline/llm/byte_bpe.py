@@ -114,6 +114,11 @@ class Codec:
         starts = ends - self.length_of[ids]
         return Encoded(ids, character[starts] if len(ids) else starts, character[ends - 1] + 1 if len(ids) else ends)
 
+    def packed_offsets(self, text: str, packed: bytes) -> tuple[bytes, bytes]:
+        """Starts and ends as bytes of little-endian 32-bit integers."""
+        spans = self.with_offsets(text, packed)
+        return spans.starts.astype("<i4").tobytes(), spans.ends.astype("<i4").tobytes()
+
     def decode_bytes(self, packed: bytes) -> bytes:
         table = self.bytes_of
         return b"".join([table[i] for i in np.frombuffer(packed, dtype="<u4").tolist()])
@@ -175,8 +180,9 @@ def decode(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids"
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, ids, ids_sha256, decoded_sha256)``: encoded, decoded again from the ids, in one
-    pass over each batch. ``ids`` are packed, little-endian unsigned 32-bit."""
+    """``(doc_id, ids, starts, ends, ids_sha256, decoded_sha256)``: what ``encode`` and ``decode``
+    do, in one pass over each batch. ``ids`` and the character spans are packed, little-endian
+    32-bit. ``decoded_sha256`` is that of the text decoded from the ids, as UTF-8."""
     rows = _rows(docs, doc_id, text)
 
     def make():
@@ -184,13 +190,16 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
         def work(rows):
             packed = own.encode(rows["text"])
+            spans = [own.packed_offsets(t, p) for t, p in zip(rows["text"], packed)]
             return {
                 "ids": packed,
+                "starts": [s for s, _ in spans],
+                "ends": [e for _, e in spans],
                 "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed],
-                "decoded_sha256": [hashlib.sha256(own.decode_bytes(p)).hexdigest() for p in packed],
+                "decoded_sha256": [hashlib.sha256(own.decode(p).encode()).hexdigest() for p in packed],
             }
 
         return work
 
-    added = "ids binary, ids_sha256 string, decoded_sha256 string"
+    added = "ids binary, starts binary, ends binary, ids_sha256 string, decoded_sha256 string"
     return map_rows(rows, ["doc_id"], ["text"], added, make)

@@ -80,6 +80,17 @@ def test_codes_equal_the_library_and_offsets_hold(docs, library):
             assert library[0].decode_single_token_bytes(token) in text[start:end].encode()
 
 
+def test_the_round_trip_has_the_offsets_too(docs):
+    path = public_tokenizers.path(ENCODED)
+    texts = ["", None, "plain words here", "é 漢字 \U0001f600\U0001f9ff x", "a\x00b\r\n  "]
+    rows = docs(*enumerate(texts))
+    want = {r["doc_id"]: (r["ids"], r["starts"], r["ends"]) for r in byte_bpe.encode(rows, path).collect()}
+    for r in byte_bpe.round_trip(rows, path).collect():
+        got = tuple(np.frombuffer(r[c], dtype="<i4").tolist() for c in ("ids", "starts", "ends"))
+        assert got == want[r["doc_id"]]
+        assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+
+
 def test_cut_characters_are_replaced_in_texts_only(spark):
     path = public_tokenizers.path(ENCODED)
     codec = byte_bpe.codec(path)
