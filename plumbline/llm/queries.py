@@ -21,6 +21,8 @@ from . import (
     language_id,
     line_dedup,
     mixing,
+    periodic_runs,
+    sharding,
     simhash_dedup,
     token_counts,
     url_filter,
@@ -168,6 +170,55 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_documents(documents(spark, sf_dir), block=BLOCK)
 
 
+@query
+def op11_sharding(spark, sf_dir):
+    """Sizes and checksums are those of the texts read back from the shards."""
+    found = sharding.shard_documents(documents(spark, sf_dir), shards=24)
+    text = F.col("doc.text")
+    return found.select(
+        "doc.doc_id",
+        sharding.text_bytes(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def repeating(docs):
+    """``docs`` as the contract has them: with h the crc32 of the id and g = h div 10, where 10 divides
+    h the words from a = g mod n on repeat the p = 1 + (n - a) div (3 + g mod 8) words found there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
+    marked = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("_w"), F.expr("crc32(cast(doc_id as string)) div 10").alias("_g"))
+    marked = marked.withColumn("_a", F.when(F.size("_w") > 0, F.col("_g") % F.size("_w")))
+    marked = marked.withColumn("_p", F.expr("1 + (size(_w) - _a) div (3 + _g % 8)"))
+    source = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))
+    edited = F.transform("_w", lambda w, i: F.get("_w", source(i).cast("int")))
+    return marked.select("doc_id", F.when(F.col("_a").isNotNull(), F.array_join(edited, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic_runs.periodic_runs(repeating(documents(spark, sf_dir)))
+    more = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.reduce("runs", none, lambda best, r: F.when(more(best, r), r).otherwise(best))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    told = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 SQL = {
     "op3_exact_dedup": f"""
 with digests as (
