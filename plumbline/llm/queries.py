@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import plumbline
+from plumbline.operators.staging import join_side, stage
 
 from . import (
     byte_bpe,
@@ -22,6 +23,7 @@ from . import (
     line_dedup,
     mixing,
     periodic_runs,
+    prefix_trie,
     sharding,
     simhash_dedup,
     token_counts,
@@ -186,6 +188,29 @@ def op11_sharding(spark, sf_dir):
     )
 
 
+def rebuilt(conversations):
+    """Turns and conversations as the contract has them: of conversation c the first h = crc32(c) mod 6
+    turns give way to as many of conversation c - c mod 100, or to all if it has fewer."""
+    own = prefix_trie.in_order(conversations)
+    h = (F.crc32(F.col("conv_id").cast("string")) % 6).alias("h")
+    base = F.expr("conv_id - pmod(conv_id, 100)").alias("base")
+    heads = own.where((F.col("pos") <= 5) & (F.col("conv_id") == base)).withColumnRenamed("conv_id", "base")
+    lengths = join_side(stage(heads.groupBy("base").agg(F.max("pos").alias("n")), "bases"))
+    given = F.least("h", F.coalesce("n", F.lit(0).cast("bigint"))).alias("given")
+    convs = own.select("conv_id").distinct().select("conv_id", base, h).join(lengths, "base", "left")
+    convs = stage(convs.select("conv_id", "base", given), "conversations")
+    first = convs.join(heads, "base").where(F.col("pos") <= F.col("given")).select(*own.columns)
+    rest = own.select("*", base, h).where(F.col("pos") > F.col("h")).join(lengths, "base", "left")
+    rest = rest.withColumn("pos", F.col("pos") - F.col("h") + given).select(*own.columns)
+    return stage(first.unionByName(rest), "rebuilt"), convs
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    turns, convs = rebuilt(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(turns, convs).drop("k1", "k2")
+
+
 def repeating(docs):
     """``docs`` as the contract has them: with h the crc32 of the id and g = h div 10, where 10 divides
     h the words from a = g mod n on repeat the p = 1 + (n - a) div (3 + g mod 8) words found there."""
@@ -300,5 +325,53 @@ with sizes as (
 )
 select p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0) as taken
 from placed p left join taken t on p.size > 0 and p.rank = t.rank and p.first = t.first
+""",
+    "op12_prefix_trie": """
+with own as (
+    select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos,
+        coalesce(role, '') as role, coalesce(text, '') as text
+    from conversations where conv_id is not null
+), lengths as (
+    select conv_id, count(*) as n from own group by conv_id
+), convs as (
+    select c.conv_id, c.conv_id - c.conv_id % 100 as base, xor(list_reduce(
+        list_concat([4294967295::bigint], list_transform(string_split(c.conv_id::varchar, ''), lambda x: ord(x)::bigint)),
+        lambda crc, byte: list_reduce(
+            [xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1))
+        )), 4294967295::bigint) % 6 as h
+    from lengths c
+), given as (
+    select convs.*, least(h, coalesce(n, 0)) as given from convs left join lengths on base = lengths.conv_id
+), turns as (
+    select g.conv_id, o.pos, role, text from given g join own o on o.conv_id = g.base and o.pos <= g.given
+    union all
+    select g.conv_id, o.pos - h + given, role, text from given g join own o on o.conv_id = g.conv_id and o.pos > h
+), paths as (
+    select conv_id, pos as depth, length(text) as chars,
+        sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over (partition by conv_id order by pos)) as node
+    from turns
+    union all
+    select conv_id, 0, 0, '' from convs
+), members as (
+    select *, lag(node) over (partition by conv_id order by depth) as parent,
+        lead(node) over (partition by conv_id order by depth) is null as ends
+    from paths
+), nodes as (
+    select node, min(depth) as depth, min(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs,
+        (count(*) - 1) * min(chars) as gain,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256
+    from members group by node
+), children as (
+    select parent as node, count(*) as n_children from nodes where parent is not null group by parent
+), trie as (
+    select n.*, coalesce(n_children, 0) as n_children from nodes n left join children c on n.node = c.node
+), below as (
+    select distinct a.node, b.node as low from members a join members b on a.conv_id = b.conv_id and a.depth <= b.depth
+), sums as (
+    select b.node, count(*) filter (where t.n_children = 0) as n_leaves, cast(sum(t.gain) as bigint) as saved_tokens
+    from below b join trie t on b.low = t.node group by b.node
+)
+select t.conv_id, t.depth, p.conv_id as parent_conv_id, t.n_convs, t.n_children, s.n_leaves, s.saved_tokens, t.ends_sha256
+from trie t join sums s on t.node = s.node left join trie p on t.parent = p.node
 """,
 }
