@@ -132,14 +132,18 @@ def all_entries(releases: DataFrame, wanted: dict[str, Column], match: str = "fi
     return docs.select(F.explode(F.concat(*parts)).alias("e")).select("e.*")
 
 
-def build(entries: DataFrame, *also_by: str, work_folder: str | None = None) -> DataFrame:
-    """The best entry and the number of releases per key, rule and date, staged: lookups read
-    it several times, and the releases as often as ``entries`` does. Folded by hashing, map-side
-    first."""
-    folded = entries.groupBy(*also_by, *ENTRY).agg(
+def fold_entries(entries: DataFrame, *also_by: str) -> DataFrame:
+    """The best entry and the number of releases per key, rule and date, folded by hashing,
+    map-side first."""
+    return entries.groupBy(*also_by, *ENTRY).agg(
         F.min("order").alias("order"), F.count(F.lit(1)).alias("n")
     )
-    return stage(folded, "index", work_folder)
+
+
+def build(entries: DataFrame, *also_by: str, work_folder: str | None = None) -> DataFrame:
+    """The folded entries, staged: lookups read them several times, and the releases as often as
+    ``entries`` does."""
+    return stage(fold_entries(entries, *also_by), "index", work_folder)
 
 
 def corpus_size(index: DataFrame) -> Column:

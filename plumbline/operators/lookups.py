@@ -9,6 +9,8 @@ end by :func:`attach_releases`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -199,15 +201,20 @@ def pick_dated(requests: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def attach_releases(
-    chosen: DataFrame, releases: DataFrame, work_folder: str | None = None
+    chosen: DataFrame,
+    releases: DataFrame | Callable[[DataFrame], DataFrame],
+    work_folder: str | None = None,
 ) -> DataFrame:
     """Add the chosen releases' columns, null where no release was chosen.
 
     The choice is staged and measured before the wide table is touched: when its positions
-    fit a broadcast, the table is filtered where it is read and never shuffled.
+    fit a broadcast, the table is filtered where it is read and never shuffled. ``releases`` may
+    be a function of the wanted positions that reads only the parts which may hold them.
     """
     chosen = stage(chosen, "chosen", work_folder)
     wanted = chosen.select("pos").where(F.col("pos").isNotNull()).distinct()
+    if callable(releases):
+        releases = releases(wanted)
     if measure(wanted).fits:
         wanted = F.broadcast(wanted)
     return chosen.join(releases.join(wanted, "pos", "left_semi"), "pos", "left")

@@ -8,19 +8,20 @@ shuffles, and adaptive execution splits the partition of a hot key.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 ROW_OVERHEAD = 64
-_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+#: Bytes of a value of a type that is not named here; all of those are fixed numbers and dates.
+FIXED = 8
 
 
 _run: ContextVar[str | None] = ContextVar("run", default=None)
@@ -72,27 +73,55 @@ def stage(df: DataFrame, label: str, work_folder: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, label: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """``stage`` of the frame that ``work`` makes; what it has staged on the way is deleted."""
+    with run_folder(spark, f"{label}-work") as folder:
+        found = work()
+    kept = stage(found, label)
+    drop_folder(spark, folder)
+    return kept
+
+
 @dataclass(frozen=True)
 class Size:
     fits: bool
     longest: int
 
 
+def payload(value: Column, kind: T.DataType) -> Column | None:
+    """Bytes that a value holds beyond its row: texts, binaries, and what lists, maps and structs
+    hold of anything. None for a plain number, which the overhead of a row covers."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint")
+    if isinstance(kind, T.StructType):
+        parts = [payload(value.getField(f.name), f.dataType) for f in kind.fields]
+        parts = [p for p in parts if p is not None]
+        return sum(parts[1:], parts[0]) if parts else None
+    if isinstance(kind, T.MapType):
+        keys = payload(F.map_keys(value), T.ArrayType(kind.keyType))
+        return keys + payload(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        slots = F.coalesce(F.size(value), F.lit(0)).cast("bigint") * FIXED
+        if payload(F.lit(None), kind.elementType) is None:
+            width = len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1
+            return slots * width
+        each = lambda total, x: total + payload(x, kind.elementType)
+        return slots + F.coalesce(F.aggregate(value, F.lit(0).cast("bigint"), each), F.lit(0))
+    return None
+
+
 def measure(df: DataFrame, text: str | None = None) -> Size:
-    """Rows and text bytes of a frame against the bound, and its longest ``text``."""
-    texts = {
-        f.name: F.octet_length(f.name if f.dataType == _TEXT else F.array_join(f.name, ""))
-        for f in df.schema.fields
-        if f.dataType in (_TEXT, _TEXTS)
-    }
+    """Rows and bytes of a frame against the bound, and its longest ``text``."""
+    texts = {f.name: payload(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
+    texts = {c: size for c, size in texts.items() if size is not None}
     longest = F.max(F.length(text)) if text else F.lit(0)
     found = df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(longest, F.lit(0)).alias("longest"),
         *[F.coalesce(F.sum(size), F.lit(0)).alias(f"{c}_bytes") for c, size in texts.items()],
     ).first()
-    payload = sum(found[f"{c}_bytes"] for c in texts) + ROW_OVERHEAD * found["rows"]
-    fits = found["rows"] <= BROADCAST_ROWS and payload <= BROADCAST_BYTES
+    total = sum(found[f"{c}_bytes"] for c in texts) + ROW_OVERHEAD * found["rows"]
+    fits = found["rows"] <= BROADCAST_ROWS and total <= BROADCAST_BYTES
     return Size(fits, found["longest"])
 
 

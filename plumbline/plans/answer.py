@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formatting as fmt
@@ -41,6 +41,7 @@ from ..operators.questions import (
     route,
     with_texts,
 )
+from ..operators.release_store import ReleaseStore, Snapshot
 from ..operators.releases import PATCH, search_releases
 from ..operators.staging import join_side, measure, stage
 from ..operators.vendors import name_dictionary
@@ -169,6 +170,15 @@ def _conditions(releases: DataFrame, options: Options) -> dict[str, Column]:
     return {OS_VERSION: components, PATCH_FOR: patches, LINUX_TEXT: linux}
 
 
+def release_store(spark: SparkSession, path: str, options: Options = Options(), **sizes: int) -> ReleaseStore:
+    """A store of releases whose index answers questions with these options. A limit on evidence
+    depends on all releases at once and cannot be kept up change by change."""
+    if options.evidence_limit is not None:
+        raise ValueError("a store has no evidence_limit")
+    entries = lambda releases: all_entries(releases, _conditions(releases, options), options.match)
+    return ReleaseStore(spark, path, entries, **sizes)
+
+
 def _limited_entries(releases: DataFrame, options: Options) -> DataFrame:
     corpus = feeds(releases, options)
     parts = {
@@ -198,11 +208,9 @@ def find_evidence(requests: DataFrame, index: DataFrame, options: Options) -> Da
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def format_evidence(
-    found: DataFrame, releases: DataFrame, work_folder: str | None = None
-) -> DataFrame:
-    """Answer columns for each request, null where there is no release."""
-    docs = releases.select(
+def _documents(releases: DataFrame) -> DataFrame:
+    """What answers show of a release."""
+    return releases.select(
         F.col("pos"),
         *[
             release_column(releases, c).alias(f"doc_{c}")
@@ -212,8 +220,19 @@ def format_evidence(
             )
         ],
     )
+
+
+def format_evidence(
+    found: DataFrame, releases: DataFrame | Snapshot, work_folder: str | None = None
+) -> DataFrame:
+    """Answer columns for each request, null where there is no release. Of a store, just the
+    ranges of positions that were chosen are read."""
+    if isinstance(releases, Snapshot):
+        docs = lambda wanted: _documents(releases.releases(wanted))
+    else:
+        docs = _documents(releases)
     df = attach_releases(found, docs, work_folder)
-    c = {name.removeprefix("doc_"): F.col(name) for name in docs.columns if name != "pos"}
+    c = {name.removeprefix("doc_"): F.col(name) for name in df.columns if name.startswith("doc_")}
     lookup, has_doc = F.col("lookup"), F.col("pos").isNotNull()
     main = (
         F.when(lookup == PATCH_FOR, fmt.vendor_patch_version(c["version_number"], c["tags"]))
@@ -348,7 +367,7 @@ ANSWER_COLUMNS = [
 
 def answer_questions(
     questions: DataFrame,
-    releases: DataFrame,
+    releases: DataFrame | Snapshot,
     vendor_names: DataFrame,
     options: Options = Options(),
     keep: tuple[str, ...] = (),
@@ -357,11 +376,14 @@ def answer_questions(
 ) -> DataFrame:
     """One answer row per question. ``keep`` names question columns to carry along; ``index``
     is one built beforehand with the same releases and options; ``work_folder`` is where
-    staged tables are overwritten instead of written anew."""
+    staged tables are overwritten instead of written anew. Releases may be a version of a
+    :func:`release_store` with these options, which has its index."""
     routed = route_texts(questions, vendor_names, options, work_folder)
     routed = stage(routed.drop("normalized"), "routed", work_folder)
     requests = routed.where(F.col("lookup").isNotNull()).select(*REQUEST).distinct()
-    if index is None:
+    if index is None and isinstance(releases, Snapshot):
+        index = releases.index()
+    elif index is None:
         index = build_index(releases, options, requests, work_folder)
     found = find_evidence(requests, index, options)
     evidence = stage(format_evidence(found, releases, work_folder), "evidence", work_folder)

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.events import answers_to_events
+from ..operators.release_store import ReleaseStore
 from ..operators.staging import stage
 from ..plans.answer import Options, answer_questions, build_index
 
 
 def answer_stream(
     questions: DataFrame,
-    releases: DataFrame | Callable[[], DataFrame],
+    releases: DataFrame | Callable[[], DataFrame] | ReleaseStore,
     vendor_names: DataFrame | Callable[[], DataFrame],
     answers_path: str,
     checkpoint: str,
@@ -28,21 +29,33 @@ def answer_stream(
     options: Options = Options(),
     trigger: dict | None = None,
     refresh_every: int | None = None,
+    names_every: int | None = None,
 ) -> StreamingQuery:
     """Start answering a stream of ``(question_id, asked_at, question, …)``. The latency of
     an event is the time from asking to the run of its batch.
 
     The releases are indexed when the stream starts and, with ``refresh_every``, again after
     that many batches; give functions that read them and the vendor names to see what was added
-    meanwhile. Two index folders are written in turns."""
+    meanwhile. Two index folders are written in turns.
+
+    A release store is read in its newest version by every batch: its index is kept up by whoever
+    changes it, and of the releases a batch reads the ranges of positions that it answers with.
+    Names have a clock of their own: ``names_every`` batches, or those of ``refresh_every``."""
     load = releases if callable(releases) else lambda: releases
     load_names = vendor_names if callable(vendor_names) else lambda: vendor_names
     state = {"batches": 0}
 
+    def due(every: int | None) -> bool:
+        return not state["batches"] or bool(every) and state["batches"] % every == 0
+
     def evidence(work: str):
-        due = refresh_every and state["batches"] % refresh_every == 0
-        if due or not state["batches"]:
-            state["releases"], state["names"] = load(), load_names()
+        if due(names_every or refresh_every):
+            state["names"] = load_names()
+        if isinstance(releases, ReleaseStore):
+            state["releases"] = releases.snapshot()
+            state["index"] = state["releases"].index()
+        elif due(refresh_every):
+            state["releases"] = load()
             turn = state["built"] = 1 - state.get("built", 1)  # the other one is still in use
             state["index"] = build_index(state["releases"], options, work_folder=f"{work}/index-{turn}")
         state["batches"] += 1

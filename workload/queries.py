@@ -16,7 +16,7 @@ from plumbline.operators import lookups, questions, releases, summary, vendors
 from plumbline.operators.percentiles import exact_percentiles
 from plumbline.operators.staging import new_folder
 from plumbline.operators.summary import SummaryFilter
-from plumbline.plans.answer import Options, answer_questions
+from plumbline.plans.answer import OS_VERSION, Options, answer_questions, release_store
 from plumbline.plans.component import component_snapshot, format_os
 from plumbline.plans.display import display_answers
 from plumbline.plans.explain import explain_matches, explain_questions
@@ -25,6 +25,7 @@ from plumbline.sources import event_log, landed
 from plumbline.streaming.answers import answer_stream
 from plumbline.streaming.prompts import current_prompts, prompts_stream
 from plumbline.streaming.rollup import append_stream, daily_rollup, rollup_by_day, write_rollup
+from plumbline.streaming.upkeep import release_stream
 
 from . import views
 from .views import AS_OF
@@ -246,6 +247,47 @@ def component_snapshot_(spark, sf_dir):
     )
 
 
+# -- a store of releases -------------------------------------------------------------------
+
+STRAY = 10**8  # positions of releases that are taken out again
+
+
+def outdated(docs):
+    """Releases as they were before: a third is not there yet, some are about other products and
+    days, some will be removed."""
+    early = docs.where("pos % 3 <> 0")
+    other = F.col("pos") % 5 == 1
+    tags = F.array(F.lit("linux"), F.lit("patch"), F.lit("20200101"))
+    changed = {"name": F.lit("Linux"), "release_date": F.lit("20200101"), "tags": tags, "ts_ms": F.col("ts_ms") * 2}
+    early = early.withColumns({c: F.when(other, v).otherwise(F.col(c)) for c, v in changed.items()})
+    return early.unionByName(docs.where("pos % 4 = 2").withColumn("pos", F.col("pos") + STRAY))
+
+
+def kept_up(spark, sf_dir):
+    """A store that has come to hold the releases by three changes."""
+    docs = views.releases(spark, sf_dir)
+    before = outdated(docs)
+    store = release_store(spark, new_folder(spark, "releases"), span=100_000, buckets=16)
+    store.apply(before)
+    store.apply(docs.where("pos % 3 = 0"))
+    store.apply(docs.where("pos % 3 <> 0 and pos % 5 = 1"), before.where(F.col("pos") >= STRAY).select("pos"))
+    return store
+
+
+@query
+def release_by_product_date_kept_up(spark, sf_dir):
+    index = kept_up(spark, sf_dir).snapshot().index().where(F.col("lookup") == OS_VERSION)
+    return lookups.pick_product(views.requests(spark, sf_dir), index.drop("lookup"))
+
+
+@query
+def answer_questions_kept_up(spark, sf_dir):
+    snapshot = kept_up(spark, sf_dir).snapshot()
+    return flat_answers(
+        answer_questions(views.questions(spark, sf_dir), snapshot, views.vendor_names(spark, sf_dir))
+    )
+
+
 # -- answers ------------------------------------------------------------------------------
 
 
@@ -587,6 +629,34 @@ def stream_answers(spark, sf_dir):
     )
 
 
+@query
+def stream_answers_kept_up(spark, sf_dir):
+    """The releases come as a stream of changes, three files and so three micro-batches, into a
+    store that a stream of questions reads."""
+    docs = views.releases(spark, sf_dir)
+    before, inbox = outdated(docs), new_folder(spark, "release-inbox")
+    later = docs.where("pos % 3 = 0 or pos % 5 = 1")
+    removals = before.where(F.col("pos") >= STRAY).withColumn("removed", F.lit(True))
+    present = F.lit(False).alias("removed")
+    for rows in (before.select("*", present), later.select("*", present), removals):
+        rows.coalesce(1).write.mode("append").parquet(inbox)
+    store = release_store(spark, new_folder(spark, "stream-releases"), span=100_000, buckets=16)
+    changes = spark.readStream.schema(removals.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    release_stream(changes, store, new_folder(spark, "release-checkpoint"), trigger=ONCE).awaitTermination()
+    path = new_folder(spark, "kept-up-answers")
+    answer_stream(
+        views.questions_from(_event_stream(spark, sf_dir)),
+        store,
+        views.vendor_names(spark, sf_dir),
+        path,
+        new_folder(spark, "kept-up-checkpoint"),
+        trigger=ONCE,
+    ).awaitTermination()
+    return spark.read.parquet(path).select(
+        "question_id", "status", "reason", "version", "vendor", "matched_id", "is_vendor_found"
+    )
+
+
 @query
 def stream_answers_logged(spark, sf_dir):
     """The questions arrive in four files, a micro-batch each; what their events tell."""
