@@ -1,21 +1,22 @@
 """Landed JSON: response bodies, one per row, unwrapped into release and vendor tables.
 
 A landed table has ``page`` (the order of the bodies) and ``body`` (the JSON text). The
-position of an item is its page and index, so ties resolve as they did in the list. One task
-parses one body: land pages, not one body with everything.
+position of an item is its page and index, so ties resolve as they did in the list.
 
-Bodies up to ``LARGE`` bytes are parsed as variants, which take any JSON. A variant has a size limit, so larger
-bodies are read straight into the item type: complete, or with an error when they are
-malformed, never as nothing.
+Bodies up to ``LARGE`` bytes are parsed as variants, one in one task. A variant has a size limit and a
+task its time, so larger bodies are cut at the commas of their lists and their items parsed by many
+tasks (``bodies.py``). What a body holds does not depend on the way: complete, or nothing when it is
+no JSON.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import RAW_RELEASE, RELEASE_FIELDS
+from .bodies import list_items, parse_strictly, read_pieces, write_bodies
 
 # Where a body that is not itself a list keeps its list; the first field that
 # is not null decides, even when it holds no list.
@@ -33,44 +34,45 @@ def _is_array(value: Column) -> Column:
 
 def unwrap(landed: DataFrame, item: T.DataType, fields: tuple[str, ...]) -> DataFrame:
     """``(page, pos, item)``: the items of every body. A body that is no JSON, or whose list
-    is missing or something else, has none."""
+    is missing or something else, has none. Looks first whether there are large bodies."""
     size = F.octet_length("body")
-    small = _unwrap_small(landed.where(size <= LARGE), item, fields)
-    return small.unionByName(_unwrap_large(landed.where(size > LARGE), item, fields))
-
-
-def _unwrap_large(landed: DataFrame, item: T.DataType, fields: tuple[str, ...]) -> DataFrame:
-    """The same for bodies past the limit of variants. What begins with a bracket is a list,
-    what begins with a brace an envelope; the first field that is there decides."""
-    begins = F.regexp_extract("body", r"\A\s*(.)", 1)
-    strict = {"mode": "FAILFAST"}
-    listed = F.from_json("body", T.ArrayType(item), strict)
-    envelope = T.StructType([T.StructField(f, T.ArrayType(item)) for f in fields])
-    enclosed = F.from_json("body", envelope, strict)
-    chosen = F.when(begins == "[", listed).when(
-        begins == "{", F.coalesce(*[enclosed[f] for f in fields])
-    )
-    return landed.select("page", F.posexplode(chosen).alias("index", "item")).select(
-        "page", (F.col("page") * PAGE_SPAN + F.col("index")).alias("pos"), "item"
-    )
+    found = _items(landed.where(size <= LARGE), fields)
+    large = landed.where(size > LARGE)
+    if not large.isEmpty():
+        found = found.unionByName(_large_items(large, fields))
+    return _typed(found, item)
+
+
+def unwrap_files(spark: SparkSession, folder: str, item: T.DataType, fields: tuple[str, ...]) -> DataFrame:
+    """The same for bodies landed as files, ``id=<number>/page=<number>/…``, one in each. Files are read in
+    byte ranges, whatever their size."""
+    return _typed(list_items(read_pieces(spark, folder), fields), item)
+
+
+def _typed(items: DataFrame, item: T.DataType) -> DataFrame:
+    """Items as the type asked for; what does not fit it is null."""
+    listed = F.from_json(F.concat(F.lit("["), F.to_json("item"), F.lit("]")), T.ArrayType(item))
+    pos = F.col("page") * PAGE_SPAN + F.col("index")
+    return items.select("page", pos.alias("pos"), F.get(listed, F.lit(0)).alias("item"))
+
+
+def _large_items(landed: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    return list_items(read_pieces(landed.sparkSession, write_bodies(landed)), fields)
 
 
-def _unwrap_small(landed: DataFrame, item: T.DataType, fields: tuple[str, ...]) -> DataFrame:
-    body = F.try_parse_json("body")
+def _items(landed: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``(page, index, item)`` of bodies that a task can parse."""
     inner = [F.try_variant_get("parsed", f"$.{f}", "variant") for f in fields]
     chosen = F.coalesce(
         F.when(_is_array(F.col("parsed")), F.col("parsed")),
         *[F.when(~F.is_variant_null(v), v) for v in inner],
     )
     return (
-        landed.withColumn("parsed", body)
+        parse_strictly(landed, F.col("body"), "parsed")
         .withColumn("chosen", chosen)
         .where(_is_array(F.col("chosen")))
-        .select(
-            "page",
-            F.posexplode(F.from_json(F.to_json("chosen"), T.ArrayType(item))).alias("index", "item"),
-        )
-        .select("page", (F.col("page") * PAGE_SPAN + F.col("index")).alias("pos"), "item")
+        .select("page", F.posexplode(F.col("chosen").cast("array<variant>")).alias("index", "item"))
+        .select("page", F.col("index").cast("bigint").alias("index"), "item")
     )
 
 

@@ -4,6 +4,7 @@ import sys
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators import staging
 from plumbline.operators.summary import SummaryFilter, filter_events
@@ -50,18 +51,51 @@ def test_release_columns(bodies):
     assert rows[1]["tags"] == ["x"] and rows[1]["name"] is None
 
 
-def test_large_bodies_are_complete_or_an_error(bodies, monkeypatch):
-    good = bodies(
-        '  [{"_id":"a"},{"_id":"b"}]',
-        '{"components":[{"_id":"c"}],"data":[{"_id":"no"}]}',
-        '{"components":null,"data":[{"_id":"e"}]}',
-        '{"total":3}',
-    )
-    small = landed.releases_from(good).orderBy("pos").collect()
-    monkeypatch.setattr(landed, "LARGE", 3)
-    assert landed.releases_from(good).orderBy("pos").collect() == small and len(small) == 4
-    with pytest.raises(Exception, match="MALFORMED|malformed"):
-        landed.releases_from(bodies('[{"_id":"a"},')).collect()
+AWKWARD = [
+    '  [{"_id":"a"},{"_id":"b"}]', '{"components":[{"_id":"c"}],"data":[{"_id":"no"}]}', '{"components":null,"data":[{"_id":"e"}]}',
+    '{"total":3}', "[]", " [ ] ", "{}", "", " ", "oops", "3", '"text, with [commas]"', "null", "[1,,2]", "[1,2,]", "[,1]", "[1]x", "[1] [2]",
+    '[{"_id":"a"},', '[{"_id":"a"}', '{"data":[{"_id":"a"}]', '{"data":[{"_id":"a"}}', "[}", '{"data":[1},"x":2]', '[[{"_id":"n"}],{"_id":"m"}]',
+    r'[{"_id":"q\"u,o[t]e\\"},{"_id":"\\\\\",{"}]', r'{"n\"a,me":[1,2],"data":[{"_id":"z"},null,5,"s",[1]]}',
+    '{"data":[{"_id":"1"}],"data":[{"_id":"2"}]}', '{"a":1,"a":2,"data":[{"_id":"1"}]}', '{"data":{"x":[1,2],"y":"a,b"},"components":[{"_id":"y"}]}',
+    '{"x":{"y":1,"z":[1,{"w":2}]},"data":[\n{"_id":"t"} ,\t{"_id":"u"}\n] , "end":"a,]}"}', '{"x":{"y":1,},"data":[{"_id":"1"}]}',
+    '{"data":[{"_id":"1"}],}', '{"data" : [ ] , "components" : [ {"_id":"w"} ] }', '{"data":[{"_id":"1"}]}}', ',[1]', '[1],', '{"data":[{"a":1,"a":2}]}',
+    '{"\\u0064ata":[{"_id":"esc"}]}', '[{"_id":"é😀,"},{"_id":"日本"}]', '{"data":[{"_id":"1"}] "x":1}', '{"data" [1]}', '{data:[1]}', r'[{"_id":"a\"}]',
+    '[' + ",".join(f'{{"_id":"{i}","versionReleaseNotes":"{"x, " * (i % 5)}"}}' for i in range(60)) + "]",
+]
+
+
+def test_bodies_read_the_same_at_any_size(spark, bodies, monkeypatch):
+    docs = bodies(*AWKWARD, None)
+    want = {}
+    for fields in (landed.COMPONENT_FIELDS, landed.PATCH_FIELDS):
+        want[fields] = landed.releases_from(docs, fields).orderBy("pos").collect()
+    assert len(want[landed.PATCH_FIELDS]) > 70
+    monkeypatch.setattr(landed, "LARGE", -1)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for (fields, rows), block in zip(want.items(), ("40", "1000")):  # many blocks in a body, or few
+            spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+            assert landed.releases_from(docs, fields).orderBy("pos").collect() == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_body_is_read_by_several_tasks(spark, tmp_path):
+    items = ",".join(f'"name {i}, of {"[" * (i % 3)}"' for i in range(40_000))
+    folder = tmp_path / "landed" / "id=5" / "page=2"
+    os.makedirs(folder)
+    (folder / "body.json").write_text('{"count":40000,"names":[' + items + "]}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        pieces = landed.read_pieces(spark, str(tmp_path / "landed"))
+        assert pieces.select("block").distinct().count() >= 7
+        names = landed.unwrap_files(spark, str(tmp_path / "landed"), T.StringType(), landed.NAME_FIELDS)
+        got = names.orderBy("pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["pos"] for r in got] == [2 * landed.PAGE_SPAN + i for i in range(40_000)]
+    assert [r["item"] for r in got] == [f"name {i}, of {'[' * (i % 3)}" for i in range(40_000)]
 
 
 def test_timestamps_are_numbers_or_texts(bodies):
