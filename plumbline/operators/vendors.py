@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, strip, text_key
-from .containment import find_in_texts, find_needles
+from .containment import find_in_texts
 
 WORD_EDGE = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
 EDGE_MARK = "\x01"
@@ -66,6 +66,7 @@ def vendors_in_names(vendors: DataFrame, vendor: str, vendor_names: DataFrame) -
     asked = asked.withColumn("_vendor_key", text_key(F.col(vendor)))
     names = name_dictionary(vendor_names).select("folded")
     holding = find_in_texts(asked, vendor, names, "folded").select("_vendor_key")
-    held = find_needles(names, "folded", asked, vendor).select("_vendor_key")
+    listed = names.select(text_key(F.col("folded")).alias("_name_key"), "folded")
+    held = find_in_texts(listed, "folded", asked, vendor).select("_vendor_key")
     found = holding.unionByName(held).distinct()
     return asked.join(found, "_vendor_key", "left_semi").select(vendor)

@@ -67,20 +67,23 @@ def _listed(tag: str, item: Column) -> Column:
 def build_summary(events: DataFrame, wanted: SummaryFilter) -> DataFrame:
     """One row: the filter, counts, rates, latency, top lists, day buckets, KPIs, recent."""
     kept = filter_events(events, wanted)
-    cube = stage(summary_cube(kept), "summary")
+    return summary_of(stage(summary_cube(kept), "summary"), recent_events(kept, RECENT), wanted)
 
+
+def summary_of(cube: DataFrame, newest: DataFrame, wanted: SummaryFilter) -> DataFrame:
+    """The summary from counts by facet and the newest events."""
     totals = with_rates(cube.where(F.col("facet") == _TOTAL))
     by_count = [F.desc("total"), "first_pos"]
     vendors = _ranked(_facet(cube, "vendor_label"), "vendor_label", by_count, TOP_VENDORS)
     reasons = _ranked(_facet(cube, "reason_label"), "reason_label", by_count, TOP_REASONS)
-    days = day_keys(events, wanted).join(
+    days = day_keys(cube, wanted).join(
         _facet(cube, "day").select("day", F.col("total").alias("count")), "day", "left"
     )
     days = days.select(F.col("day").alias("label"), F.coalesce("count", F.lit(0)).alias("count"))
     latency = exact_percentiles(
         _facet(cube, "latency"), "latency", {"p50": 50, "p95": 95}, weight="total"
     )
-    recent = recent_events(kept, RECENT).select(
+    recent = newest.select(
         F.struct(
             F.unix_millis("ts").alias("ts"),
             "status", "flow", "vendor", "latency_ms", "reason", "is_vendor_found", "pos",

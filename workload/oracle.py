@@ -820,4 +820,16 @@ def statements() -> dict[str, str]:
         "release_by_product_date_kept_up": known["release_by_product_date"],
         "answer_questions_kept_up": known["answer_questions"],
         "stream_answers_kept_up": known["stream_answers"],
+        "month_summary_from_days": known["month_summary"],
+        "filtered_summary_from_days": known["filtered_summary"],
+        "approximate_latency": sql(
+            """select flow, quantile_disc(latency_ms, 0.5) as p50, quantile_disc(latency_ms, 0.95) as p95
+            from month group by flow""",
+            "month",
+        ),
+        "month_latency_from_rollup": sql(
+            """select percent, count(latency_ms) as n, true as within_bound
+            from month, (select unnest([50, 95]) as percent) group by percent""",
+            "month",
+        ),
     }

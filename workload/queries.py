@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
 import tempfile
 from collections.abc import Callable
@@ -13,18 +14,26 @@ from plumbline.functions import formatting as fmt
 from plumbline.functions.dates import date_digits
 from plumbline.operators import events as ev
 from plumbline.operators import lookups, questions, releases, summary, vendors
-from plumbline.operators.percentiles import exact_percentiles
+from plumbline.operators.percentiles import approximate_percentiles, exact_percentiles
 from plumbline.operators.staging import new_folder
 from plumbline.operators.summary import SummaryFilter
 from plumbline.plans.answer import OS_VERSION, Options, answer_questions, release_store
 from plumbline.plans.component import component_snapshot, format_os
 from plumbline.plans.display import display_answers
 from plumbline.plans.explain import explain_matches, explain_questions
+from plumbline.plans.partials import refresh_days, summary_from_days
 from plumbline.plans.summary import build_summary
 from plumbline.sources import event_log, landed
 from plumbline.streaming.answers import answer_stream
 from plumbline.streaming.prompts import current_prompts, prompts_stream
-from plumbline.streaming.rollup import append_stream, daily_rollup, rollup_by_day, write_rollup
+from plumbline.streaming.rollup import (
+    RANK_ERROR,
+    append_stream,
+    daily_rollup,
+    rollup_by_day,
+    rollup_percentiles,
+    write_rollup,
+)
 from plumbline.streaming.upkeep import release_stream
 
 from . import views
@@ -528,6 +537,51 @@ def filtered_summary(spark, sf_dir):
     return flat_summary(build_summary(views.answer_events(spark, sf_dir), FILTERED))
 
 
+def stored_days(spark, sf_dir):
+    """Cells of all days, of which the newest was first stored too early, with a part of its events."""
+    log, path = views.answer_events(spark, sf_dir), new_folder(spark, "days")
+    days = [AS_OF - dt.timedelta(days=n) for n in range(31)]
+    early = log.where((F.to_date("ts") < F.lit(AS_OF)) | (F.col("pos") % 3 == 0))
+    refresh_days(early, path, days)
+    refresh_days(log, path, days[:1])
+    return path
+
+
+@query
+def month_summary_from_days(spark, sf_dir):
+    return flat_summary(summary_from_days(spark, stored_days(spark, sf_dir), MONTH))
+
+
+@query
+def filtered_summary_from_days(spark, sf_dir):
+    return flat_summary(summary_from_days(spark, stored_days(spark, sf_dir), FILTERED))
+
+
+@query
+def month_latency_from_rollup(spark, sf_dir):
+    """Percentiles merged from the sketches of a rollup. What is returned is how many values they are
+    of, and whether their ranks among the logged latencies are within the bound."""
+    events, path = views.answer_events(spark, sf_dir), new_folder(spark, "sketched-rollup")
+    daily_rollup(events, sketch=True).write.parquet(path)
+    percents = {"p50": 50, "p95": 95}
+    found = rollup_percentiles(spark.read.parquet(path), percents, MONTH.day_from, MONTH.as_of)
+    logged = summary.filter_events(events, MONTH).where("latency_ms is not null")
+    n, rows = F.count(F.lit(1)), []
+    for name, p in percents.items():
+        value = found.select(name).scalar()
+        low, high = F.count_if(F.col("latency_ms") < value), F.count_if(F.col("latency_ms") <= value)
+        near = (low <= (p / 100 + RANK_ERROR) * n) & (high >= (p / 100 - RANK_ERROR) * n)
+        same = n == found.select("n").scalar()
+        rows.append(F.struct(F.lit(p).alias("percent"), n.alias("n"), (near & same).alias("within_bound")))
+    return logged.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+@query
+def approximate_latency(spark, sf_dir):
+    """The one-pass percentiles, by flow; latencies have fewer values than the sketch has room for."""
+    return approximate_percentiles(month(spark, sf_dir), "latency_ms", {"p50": 50, "p95": 95}, ("flow",))
+
+
 # -- sources and streams ------------------------------------------------------------------
 
 
