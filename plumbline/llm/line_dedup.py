@@ -1,19 +1,21 @@
 """Line dedup: an exact set-similarity join of all lines, later matches removed.
 
 A line's tokens are its shingles of five words in lower case (the whole line when it is
-shorter). Lines with the same set of tokens are one class, led by its first line. Classes whose
-sets have a Jaccard similarity of ``least`` or more match. A line goes when an earlier line, by
+shorter). Lines equal but for case are one class, led by its first line. Classes whose sets have a
+Jaccard similarity of ``least`` or more match. A line goes when an earlier line, by
 document id and place, matches it; whether that earlier line itself stays does not matter.
 
 Tokens are put in one order, rarest first. Sets of size n can only reach the similarity with sets
 that share one of the first n - ceil(least n) + 1 tokens (prefix filter), whose sizes are within
 the ratio (length filter), and whose shared token lies early enough in both for the rest to
-suffice (positional filter). What passes is verified on the whole sets.
+suffice (positional filter). A set also has 64 bits, the parity of its tokens by hash; every bit in which
+two sets differ is a token that one of them lacks (bitmap filter). What passes is verified.
 
 Rarity has to tell crowded tokens from others. Counters of bounded number (Misra-Gries) hold every
 token with more than one in ``COUNTERS`` of all occurrences; they come last, in order of their
-counts. Others come first, by hash. A token is known by 45 bits of its hash: candidates may meet by
-chance, but within a candidate pair the sets are told apart.
+counts. Others come first, by hash. In the search a token is known by 45 bits of its hash, so
+candidates may meet by chance. A class is named by 128 bits of the hash of its line, and a candidate
+pair is verified on the words themselves.
 
 A crowd of matching lines does not make all its pairs. Where more than ``FEW`` classes share a
 token, each is compared with the earliest of them; one that matches is settled, and only classes that are
@@ -22,6 +24,7 @@ not look at the others.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.operators.staging import join_side, stage
+from plumbline.operators.staging import join_side, settled, stage
 
 from .batches import SLICE
 
@@ -228,7 +231,7 @@ def crowded_tokens(keyed: DataFrame, counters: int = COUNTERS, shingle: int = SH
 
 # -- lines, classes, postings --------------------------------------------------------------
 
-_LINE = "doc_key bigint, doc_id bigint, line int, class bigint, check bigint, size int, prefix array<bigint>"
+_LINE = "doc_key bigint, doc_id bigint, line int, class bigint, check bigint, size int, bits bigint, prefix array<bigint>"
 
 
 def needed(sizes: np.ndarray, least: float) -> np.ndarray:
@@ -237,8 +240,9 @@ def needed(sizes: np.ndarray, least: float) -> np.ndarray:
 
 
 def _lines(keyed: DataFrame, crowd, least: float, shingle: int) -> DataFrame:
-    """A row for every line with a word. ``class`` and ``check`` are the halves of a 128-bit hash
-    of its set; ``prefix`` is left out where the task has already told it for the same class."""
+    """A row for every line with a word. ``class`` and ``check`` are the halves of a 128-bit hash of
+    the line; ``bits`` and ``prefix`` are left out where the task has already told them for the same
+    class."""
     schema = to_arrow_schema(T.StructType.fromDDL(_LINE))
     kinds = [field.type for field in schema]
 
@@ -249,13 +253,13 @@ def _lines(keyed: DataFrame, crowd, least: float, shingle: int) -> DataFrame:
                 part = batch.slice(begin, SLICE)
                 bodies = [body_lines(body) for body in part["text"].to_pylist()]
                 counts = [len(lines) for lines in bodies]
-                codes, offsets = token_sets([line for lines in bodies for line in lines], common, shingle)
+                every = [line for lines in bodies for line in lines]
+                codes, offsets = token_sets(every, common, shingle)
                 sizes = np.diff(offsets)
                 some = np.nonzero(sizes)[0]
                 if not len(some):
                     continue
-                raw, bounds = codes.tobytes(), (offsets * 8).tolist()
-                names = [xxhash.xxh3_128_digest(raw[bounds[i] : bounds[i + 1]]) for i in some.tolist()]
+                names = [xxhash.xxh3_128_digest(every[i]) for i in some.tolist()]
                 new = np.empty(len(some), dtype=bool)
                 for i, name in enumerate(names):
                     new[i] = name not in told
@@ -270,9 +274,11 @@ def _lines(keyed: DataFrame, crowd, least: float, shingle: int) -> DataFrame:
                 values = codes[np.arange(ends[-1]) + np.repeat(starts - ends + length, length)]
                 bounds = pa.array(np.concatenate((ends - length, ends[-1:])), type=pa.int32(), mask=np.append(~new, False))
                 halves = np.frombuffer(b"".join(names), dtype=np.int64).reshape(-1, 2)
+                parity = np.bitwise_xor.reduceat(np.int64(1) << (codes & 63), starts)
                 columns = [
                     part["doc_key"].take(pa.array(document)), part["doc_id"].take(pa.array(document)),
-                    number, halves[:, 0], halves[:, 1], sizes, pa.ListArray.from_arrays(bounds, pa.array(values)),
+                    number, halves[:, 0], halves[:, 1], sizes, pa.array(parity, mask=~new),
+                    pa.ListArray.from_arrays(bounds, pa.array(values)),
                 ]
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c).cast(k) for c, k in zip(columns, kinds)]
                 yield pa.RecordBatch.from_arrays([a.cast(k) for a, k in zip(arrays, kinds)], schema=schema)
@@ -286,26 +292,27 @@ def _place() -> Column:
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """``(class, check, first, size, prefix, n)``; ``first`` is the first line of the class."""
+    """``(class, check, first, size, bits, n)``; ``first`` is the first line of the class."""
     classes = lines.groupBy("class", "check").agg(
         F.min(_place()).alias("first"),
         F.first("size").alias("size"),
-        F.max("prefix").alias("prefix"),
+        F.max("bits").alias("bits"),
         F.count(F.lit(1)).alias("n"),
     )
     return stage(classes, "line-classes")
 
 
-def _live(classes: DataFrame) -> DataFrame:
-    """``(token, first, size, at)``, ``at`` being the token's place in the set, for tokens that more
+def _live(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(token, first, size, bits, at)``, ``at`` being the token's place in the set, for tokens that more
     than one class has in its prefix.
 
     Postings are shuffled with half the class hash only; two classes that share it both get its
     postings, which may add a candidate. The postings of a token stream past sorted, one of them held
-    back. Tokens that may be crowded are dealt with by a join that can be split instead.
+    back; those that several tasks have told for a class are dropped there but for one. Tokens that
+    may be crowded are dealt with by a join that can be split instead.
     """
     spark = classes.sparkSession
-    postings = classes.select("class", F.posexplode("prefix").alias("at", "token"))
+    postings = lines.select("class", F.posexplode("prefix").alias("at", "token"))
     kind = "class bigint, at int, token bigint"
     schema = to_arrow_schema(T.StructType.fromDDL(kind))
 
@@ -317,7 +324,10 @@ def _live(classes: DataFrame) -> DataFrame:
             table = pa.Table.from_batches([batch]).cast(schema)
             if held is not None:
                 table = pa.concat_tables([held, table])
-            token = table["token"].to_numpy()
+            token, of = table["token"].to_numpy(), table["class"].to_numpy()
+            again = np.concatenate(([False], (token[1:] == token[:-1]) & (of[1:] == of[:-1])))
+            if again.any():
+                table, token = table.filter(pa.array(~again)), token[~again]
             same = token[1:] == token[:-1]
             shared = np.concatenate(([in_run], same)) | np.concatenate((same, [False]))
             yield from table.slice(0, len(token) - 1).filter(pa.array(shared[:-1])).to_batches()
@@ -328,10 +338,10 @@ def _live(classes: DataFrame) -> DataFrame:
 
     late = F.col("token") >= F.lit(1 << TOKEN_BITS)  # codes of crowded tokens
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    streamed = postings.where(~late).repartition(parts, "token").sortWithinPartitions("token").mapInArrow(work, kind)
-    met = streamed.unionByName(postings.where(late).select("class", "at", "token"))
+    streamed = postings.where(~late).repartition(parts, "token").sortWithinPartitions("token", "class").mapInArrow(work, kind)
+    met = streamed.unionByName(postings.where(late).select("class", "at", "token").distinct())
     return stage(
-        met.join(classes.select("class", "first.*", "size"), "class").drop("class"), "live-postings"
+        met.join(classes.select("class", "first.*", "size", "bits"), "class").drop("class"), "live-postings"
     )
 
 
@@ -339,78 +349,111 @@ def _live(classes: DataFrame) -> DataFrame:
 
 
 def _may_match(least: float) -> Column:
-    """Length and positional filter between ``x`` and ``y`` at a shared token."""
+    """Length, positional and bitmap filter between ``x`` and ``y`` at a shared token."""
     small, large = F.least("x_size", "y_size"), F.greatest("x_size", "y_size")
     shared = least / (1 + least) * (F.col("x_size") + F.col("y_size"))
     rest = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
-    return (small >= least * large - 1e-9) & (rest >= shared - 1e-9)
+    lacking = F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits")))
+    allowed = (1 - least) / (1 + least) * (F.col("x_size") + F.col("y_size"))
+    return (small >= least * large - 1e-9) & (rest >= shared - 1e-9) & (lacking <= allowed + 1e-9)
+
+
+#: What a posting tells of its set, beside the line.
+_TOLD = ("size", "bits", "at")
 
 
 def _sides(postings: DataFrame, name: str, *more: Column) -> DataFrame:
-    return postings.select("token", *more, _place().alias(name), F.col("size").alias(f"{name}_size"), F.col("at").alias(f"{name}_at"))
+    return postings.select("token", *more, _place().alias(name), *[F.col(c).alias(f"{name}_{c}") for c in _TOLD])
+
+
+def shingles(words: list[bytes], shingle: int = SHINGLE) -> set:
+    """The tokens of a line as the words themselves."""
+    if len(words) < shingle:
+        return {tuple(words)}
+    return set(zip(*(words[i:] for i in range(shingle))))
 
 
-def _verified(keyed: DataFrame, pairs: DataFrame, crowd, least: float, shingle: int) -> DataFrame:
-    """The pairs that match, verified on the whole token sets of their lines. The texts are read
-    again for just the lines that occur; when their list is small enough to be sent to each task,
-    texts are not shuffled."""
+def similar(a: set, b: set, least: float) -> bool:
+    shared = len(a & b)
+    return shared >= least * (len(a) + len(b) - shared) - 1e-9
+
+
+def _verified(keyed: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """The pairs that match, verified on the words of their lines. The texts are read again for just
+    the lines that occur; when their list is small enough to be sent to each task, texts are not
+    shuffled. Rows that repeat a document tell its lines again, which are folded to one."""
     pairs = stage(pairs.select("x", "y").distinct(), "line-pairs")
     ends = pairs.select(F.col("x").alias("end")).union(pairs.select("y")).distinct()
     wanted = ends.groupBy("end.doc_key").agg(F.collect_list("end.line").alias("wanted"))
     wanted = stage(wanted.withColumnRenamed("doc_key", "_key"), "wanted-lines")
     texts = keyed.join(join_side(wanted), F.col("doc_key") == F.col("_key")).select("doc_id", "doc_key", "text", "wanted")
-    kind = "doc_id bigint, doc_key bigint, line int, tokens array<bigint>"
+    kind = "doc_id bigint, doc_key bigint, line int, body binary"
     schema = to_arrow_schema(T.StructType.fromDDL(kind))
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = crowd.value
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 rows = []
                 for row in batch.slice(at, SLICE).to_pylist():
-                    lines, numbers = row["text"].split("\n"), sorted(set(row["wanted"]))
-                    codes, offsets = token_sets([lines[n].lower().encode() for n in numbers], common, shingle)
-                    for n, begin, end in zip(numbers, offsets, offsets[1:]):
-                        rows.append({"doc_id": row["doc_id"], "doc_key": row["doc_key"], "line": n, "tokens": codes[begin:end]})
+                    lines = row["text"].split("\n")
+                    for n in sorted(row["wanted"]):
+                        body = b" ".join(lines[n].lower().encode().split())
+                        rows.append({"doc_id": row["doc_id"], "doc_key": row["doc_key"], "line": n, "body": body})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    # Repeated rows tell a set twice, and so a pair: what is made of pairs is made distinct.
-    sets = stage(texts.mapInArrow(work, kind).select(_place().alias("end"), "tokens"), "line-sets")
-    both = pairs.join(sets.select(F.col("end").alias("x"), F.col("tokens").alias("a")), "x")
-    both = both.join(sets.select(F.col("end").alias("y"), F.col("tokens").alias("b")), "y")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= least * (F.size("a") + F.size("b") - shared) - 1e-9).select("x", "y")
+    told = texts.mapInArrow(find, kind).groupBy(_place().alias("end")).agg(F.first("body").alias("body"))
+    told = stage(told, "line-bodies")
+    both = pairs.join(told.select(F.col("end").alias("x"), F.col("body").alias("a")), "x")
+    both = both.join(told.select(F.col("end").alias("y"), F.col("body").alias("b")), "y").select("x", "y", "a", "b")
 
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets: dict[bytes, set] = {}
+                hold = []
+                for pair in zip(part["a"].to_pylist(), part["b"].to_pylist()):
+                    for body in pair:
+                        if body not in sets:
+                            sets[body] = shingles(body.split(), shingle)
+                    hold.append(similar(sets[pair[0]], sets[pair[1]], least))
+                yield part.select(["x", "y"]).filter(pa.array(hold, type=pa.bool_()))
+
+    return both.mapInArrow(verify, both.select("x", "y").schema)
 
-def _matched(keyed: DataFrame, live: DataFrame, crowd, least: float, shingle: int) -> DataFrame:
+
+def _matched(keyed: DataFrame, live: DataFrame, least: float, shingle: int) -> DataFrame:
     """``first`` of the classes that match an earlier class. Tokens of few classes (``FEW``) pair them
     all. Where there are more, each is compared with the earliest, and only then those that are not settled with
     the others."""
-    lead = F.min(F.struct(_place().alias("x"), "size", "at"))
+    lead = F.min(F.struct(_place().alias("x"), *_TOLD))
     tokens = live.groupBy("token").agg(lead.alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     marked = stage(live.join(tokens, "token"), "marked-postings")
     few, many = marked.where(F.col("n") <= FEW), marked.where(F.col("n") > FEW)
 
-    own = F.struct(_place().alias("place"), "size", "at")
+    own = F.struct(_place().alias("place"), *_TOLD)
     groups = few.groupBy("token").agg(F.collect_list(own).alias("members"))
     ends = groups.select(F.explode("members").alias("q"), "members")
     ends = ends.select("q", F.explode(F.filter("members", lambda m: m["place"] < F.col("q.place"))).alias("p"))
     paired = ends.select(
-        F.col("p.place").alias("x"), F.col("p.size").alias("x_size"), F.col("p.at").alias("x_at"),
-        F.col("q.place").alias("y"), F.col("q.size").alias("y_size"), F.col("q.at").alias("y_at"),
+        *[F.col(f"{side}.{c}").alias(name + suffix) for side, name in (("p", "x"), ("q", "y"))
+          for c, suffix in (("place", ""), *((c, f"_{c}") for c in _TOLD))]
     )
-    led = _sides(many, "y", F.col("lead.x").alias("x"), F.col("lead.size").alias("x_size"), F.col("lead.at").alias("x_at"))
+    led = _sides(many, "y", F.col("lead.x").alias("x"), *[F.col(f"lead.{c}").alias(f"x_{c}") for c in _TOLD])
     led = led.where(F.col("x") < F.col("y")).select(*paired.columns)
     pairs = paired.unionByName(led).where(_may_match(least))
-    settled = stage(_verified(keyed, pairs, crowd, least, shingle).select(F.col("y").alias("first")).distinct(), "settled")
+    done = stage(_verified(keyed, pairs, least, shingle).select(F.col("y").alias("first")).distinct(), "settled")
     if many.isEmpty():
-        return settled
-    open_ = many.join(settled, _place() == F.col("first"), "left_anti")
+        return done
+    open_ = many.join(done, _place() == F.col("first"), "left_anti")
+    # Sizes that may match lie in one band of sizes or in neighbouring ones.
+    band = F.floor(F.log("size") / -math.log(least)).cast("int")
+    theirs = _sides(open_, "y", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     later = (F.col("x") < F.col("y")) & _may_match(least)
-    pairs = _sides(many, "x").join(_sides(open_, "y"), "token").where(later)
-    others = _verified(keyed, pairs, crowd, least, shingle).select(F.col("y").alias("first"))
-    return stage(settled.union(others).distinct(), "matched")
+    pairs = _sides(many, "x", band.alias("band")).hint("merge").join(theirs, ["token", "band"]).where(later)
+    others = _verified(keyed, pairs, least, shingle).select(F.col("y").alias("first"))
+    return done.union(others).distinct()
 
 
 def removed_lines(
@@ -418,12 +461,16 @@ def removed_lines(
 ) -> DataFrame:
     """``(doc_key, removed)``: numbers of the lines (from 0) that an earlier line matches, for the
     documents that have such lines."""
-    keyed = _keyed(docs, doc_id, text)
+    return settled(docs.sparkSession, "removed-lines", lambda: _removed(_keyed(docs, doc_id, text), least, shingle))
+
+
+def _removed(keyed: DataFrame, least: float, shingle: int) -> DataFrame:
+    spark = keyed.sparkSession
     known = crowded_tokens(keyed, COUNTERS, shingle)
-    crowd = docs.sparkSession.sparkContext.broadcast(known)  # bounded by COUNTERS
+    crowd = spark.sparkContext.broadcast(known)  # bounded by COUNTERS
     lines = _lines(keyed, crowd, least, shingle)
     classes = _classes(lines)
-    matched = _matched(keyed, _live(classes), crowd, least, shingle)
+    matched = settled(spark, "matched", lambda: _matched(keyed, _live(lines, classes), least, shingle))
     decided = classes.select("class", "check", "first", "n").join(
         matched.select(F.col("first").alias("_later")), F.col("first") == F.col("_later"), "left"
     )
@@ -432,7 +479,7 @@ def removed_lines(
     )
     repeated = stage(repeated, "repeated-lines")
     gone = lines.join(join_side(repeated), ["class", "check"]).where(F.col("goes") | (_place() != F.col("lead")))
-    return stage(gone.groupBy("doc_key").agg(F.collect_set("line").alias("removed")), "removed-lines")
+    return gone.groupBy("doc_key").agg(F.collect_set("line").alias("removed"))
 
 
 def dedup_lines(

@@ -115,6 +115,30 @@ def test_repeated_rows_lose_the_same_lines(docs):
     assert got == [(1, "p q\nr s", 0)] * 2 + [(2, "", 1)] * 2
 
 
+def test_lines_whose_hashes_meet_are_told_apart(docs):
+    """The tokens of these two lines share their 45 bits."""
+    rows = [(1, "item 4782700"), (2, "item 7605754")]
+    tokens, _ = line_dedup.line_tokens([text.encode() for _, text in rows])
+    assert len(set(tokens.tolist())) == 1
+    check_lines(docs(*rows), rows)
+
+
+def test_many_copies_of_a_row_are_one_document(docs):
+    words = [f"w{i}" for i in range(30)]
+    near = " ".join(words[:-1])
+    rows = docs(*[(1, " ".join(words))] * 1500, *[(2, near + "\nown line")] * 1500, *[(None, None)] * 1500)
+    got = {(r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(rows).collect()}
+    assert got == {(1, " ".join(words), 0), (2, "own line", 1), (None, None, 0)}
+
+
+def test_unlike_lines_with_a_common_phrase(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FEW", 4)
+    rng = random.Random(4)
+    phrase = "all rights are reserved here"
+    rows = [(i, f"{phrase} " + " ".join(str(rng.random()) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    check_lines(docs(*rows), rows)
+
+
 def test_line_query_equals_brute_force(spark):
     import hashlib
 
