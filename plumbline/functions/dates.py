@@ -26,6 +26,17 @@ def date_digits(value: Column) -> Column:
     return F.substring(F.regexp_replace(F.coalesce(value, F.lit("")), "[^0-9]", ""), 1, 8)
 
 
+def unbracketed(value: Column) -> Column:
+    """A date text without what it has in brackets."""
+    return F.regexp_replace(value, r"\[[^\]]*\]", "")
+
+
+def day_number(digits: Column) -> Column:
+    """Days since 1970 of eight digits that are a calendar date; null for others."""
+    whole = F.when(F.length(digits) == 8, digits)
+    return F.unix_date(F.try_to_timestamp(whole, F.lit("yyyyMMdd")).cast("date"))
+
+
 def undashed(value: Column) -> Column:
     return F.replace(F.coalesce(value, F.lit("")), F.lit("-"), F.lit(""))
 

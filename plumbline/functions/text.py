@@ -15,6 +15,7 @@ BLANK = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x
 # Question patterns. The vendor ends before " on ", a full stop,
 # a question mark or the end of the text, and never spans a comma.
 PATCH_VENDOR = rf"patch{BLANK}+for{BLANK}+([^,.?]+?)(?={BLANK}+on{BLANK}+|{BLANK}*[.?]|{BLANK}*\z)"
+# Longer words that hold one of these are left out, since the shorter one matches wherever they do.
 VERSION_WORDS = r"version|release|build|firmware|update|license|note"
 OS_WORDS = (
     r"operating system|(?<![A-Za-z0-9_])os(?![A-Za-z0-9_])"

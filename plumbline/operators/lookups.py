@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import date_digits
+from ..functions.dates import date_digits, day_number
 from ..functions.text import text_key
 from .containment import find_in_texts, find_needles
 from .index import (
@@ -36,16 +36,18 @@ DATED_LENGTH = 6
 
 
 def product_release(
-    requests: DataFrame, releases: DataFrame, fallback: str = "first"
+    requests: DataFrame, releases: DataFrame, fallback: str = "first", distance: str = "digits"
 ) -> DataFrame:
     """The release of a product nearest to a date, or its newest one without a date.
 
     A product matches a release by its name or one of its tags, whole and folded. The same
     date wins over the nearest; among equals the newest does. An unknown product gets the
-    first release of the corpus, or nothing with ``fallback='none'``.
+    first release of the corpus, or nothing with ``fallback='none'``. Dates are as far apart as
+    their digits are, or with ``distance='days'`` as many days; what is no calendar date then has no
+    distance.
     """
     entries = keep_asked(product_entries(releases), requests)
-    return pick_product(requests, build(entries), fallback)
+    return pick_product(requests, build(entries), fallback, distance)
 
 
 def keep_asked(entries: DataFrame, requests: DataFrame) -> DataFrame:
@@ -54,7 +56,15 @@ def keep_asked(entries: DataFrame, requests: DataFrame) -> DataFrame:
     return entries.join(wanted.distinct(), "key", "left_semi")
 
 
-def pick_product(requests: DataFrame, index: DataFrame, fallback: str = "first") -> DataFrame:
+def _point(date: Column, distance: str) -> Column:
+    return day_number(date) if distance == "days" else date.try_cast("int")
+
+
+def pick_product(
+    requests: DataFrame, index: DataFrame, fallback: str = "first", distance: str = "digits"
+) -> DataFrame:
+    if distance not in ("digits", "days"):
+        raise ValueError(f"no distance {distance!r}")
     dated = (
         index.where(F.col("rule") == BY_DATE)
         .select("key", "date", F.col("order").alias("same"))
@@ -63,14 +73,15 @@ def pick_product(requests: DataFrame, index: DataFrame, fallback: str = "first")
     newest = dated.groupBy("key").agg(F.min("same").alias("latest"))
     points = (
         dated.where(F.length("date") >= DATED_LENGTH)
-        .groupBy("key", F.col("date").cast("int").alias("at"))
+        .groupBy("key", _point(F.col("date"), distance).alias("at"))
         .agg(F.min("same").alias("best"))
+        .where(F.col("at").isNotNull())
     )
     asked = requests.where(F.col("date") != "")
-    probes = asked.select("key", F.col("date").try_cast("int").alias("at")).distinct()
+    probes = asked.select("key", _point(F.col("date"), distance).alias("at")).distinct()
     nearest = nearest_points(probes, points).withColumnRenamed("best", "near")
     found = (
-        requests.withColumn("at", F.col("date").try_cast("int"))
+        requests.withColumn("at", _point(F.col("date"), distance))
         .join(dated.where(F.col("date") != ""), ["key", "date"], "left")
         .join(nearest, ["key", "at"], "left")
         .join(newest, "key", "left")

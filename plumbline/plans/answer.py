@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formatting as fmt
+from ..functions.dates import unbracketed
 from ..functions.tags import mentions_vendor
 from ..operators.index import (
     CORPUS,
@@ -69,7 +70,8 @@ class Options:
     ``fallback='none'`` abstains on an unknown product instead of taking the first release.
     ``boundary`` resolves vendors by whole words. ``strict`` abstains on one repeated
     character. ``day_first`` reads D-M-YYYY. ``evidence_limit`` keeps only the newest
-    patches of each feed. ``match`` is the rule of :func:`vendor_patch`. ``component_type``
+    patches of each feed. ``distance='days'`` takes nearest dates by days, ``repair_dates`` leaves out
+    what release dates have in brackets. ``match`` is the rule of :func:`vendor_patch`. ``component_type``
     limits version questions to releases of that product type, where one table holds the
     operating systems and the patches. ``unavailable`` names the sources that could not be
     read: ``"patch"``, ``"os"``.
@@ -80,6 +82,8 @@ class Options:
     strict: bool = False
     day_first: bool = False
     evidence_limit: int | None = None
+    distance: str = "digits"
+    repair_dates: bool = False
     match: str = "first_tag"
     component_type: str | None = None
     unavailable: frozenset = frozenset()
@@ -147,6 +151,7 @@ def build_index(
     if requests is not None:
         asked = requests.where(F.col("lookup") == OS_VERSION).select(F.col("key").alias("_asked")).distinct()
         asked = asked if measure(asked).fits else None
+    releases = _dated(releases, options)
     if options.evidence_limit is None:
         entries = all_entries(releases, _conditions(releases, options), options.match)
     else:  # the newest of each feed have to be found first
@@ -175,10 +180,21 @@ def release_store(spark: SparkSession, path: str, options: Options = Options(),
     depends on all releases at once and cannot be kept up change by change."""
     if options.evidence_limit is not None:
         raise ValueError("a store has no evidence_limit")
-    entries = lambda releases: all_entries(releases, _conditions(releases, options), options.match)
+
+    def entries(releases: DataFrame) -> DataFrame:
+        releases = _dated(releases, options)
+        return all_entries(releases, _conditions(releases, options), options.match)
+
     return ReleaseStore(spark, path, entries, **sizes)
 
 
+def _dated(releases: DataFrame, options: Options) -> DataFrame:
+    """Releases with the dates that lookups go by."""
+    if not options.repair_dates:
+        return releases
+    return releases.withColumn("release_date", unbracketed(F.col("release_date")))
+
+
 def _limited_entries(releases: DataFrame, options: Options) -> DataFrame:
     corpus = feeds(releases, options)
     parts = {
@@ -200,7 +216,7 @@ def find_evidence(requests: DataFrame, index: DataFrame, options: Options) -> Da
         return of(requests, lookup), of(index, lookup)
 
     found = {
-        OS_VERSION: pick_product(*both(OS_VERSION), options.fallback),
+        OS_VERSION: pick_product(*both(OS_VERSION), options.fallback, options.distance),
         PATCH_FOR: pick_vendor(*both(PATCH_FOR), options.match),
         LINUX_TEXT: pick_dated(*both(LINUX_TEXT)),
     }

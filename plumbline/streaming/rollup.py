@@ -4,7 +4,8 @@ State holds one row per day, flow and status of counts that add up, so it stays
 whatever the traffic. Days are those of the session's time zone, as in the batch summary and the
 log. A stream emits rows once the watermark has closed their 24 hours of UTC, so a local day may
 come in two rows that add up; later rows are dropped. What is still open is in the log: the
-same functions over the appended log give every day, today included.
+same functions over the appended log give every day, today included; ``days.py`` keeps days that late
+rows repair.
 """
 
 from __future__ import annotations
@@ -77,9 +78,18 @@ def write_rollup(
 
 
 def append_stream(
-    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    once: tuple[str, ...] = (),
+    watermark: str = "1 hour",
 ) -> StreamingQuery:
-    """Append a stream of events to a log partitioned by day."""
+    """Append a stream of events to a log partitioned by day. ``once`` names the columns by which a
+    source that sends events again can be told: an event is logged when it is first met, and forgotten
+    when the ``watermark`` has passed it."""
+    if once:
+        events = events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(once))
     return (
         events.withColumn("day", day_key(F.col("ts")))
         .writeStream.outputMode("append")

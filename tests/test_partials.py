@@ -12,7 +12,8 @@ from plumbline.operators.summary import SummaryFilter
 from plumbline.plans.partials import refresh_days, summary_from_days
 from plumbline.plans.summary import build_summary
 from plumbline.sources import event_log
-from plumbline.streaming.rollup import RANK_ERROR, daily_rollup, rollup_percentiles, write_rollup
+from plumbline.streaming.days import days_stream
+from plumbline.streaming.rollup import RANK_ERROR, append_stream, daily_rollup, rollup_percentiles, write_rollup
 
 DAY = dt.date(2024, 1, 10)
 KIND = "pos long, ts timestamp, status string, flow string, vendor string, latency_ms long, reason string, is_vendor_found int"
@@ -70,6 +71,34 @@ def test_an_emptied_day_holds_nothing(spark, log, tmp_path):
     assert summary_from_days(spark, str(tmp_path), FILTERS[0]).collect() == build_summary(rest, FILTERS[0]).collect()
 
 
+def test_late_events_repair_their_days(spark, log, tmp_path):
+    """Three batches, the last of them weeks late and sent again after a restart."""
+    inbox, stored, path = (str(tmp_path / n) for n in ("inbox", "log", "days"))
+    parts = [log.where("ts >= '2024-01-05'"), log.where("ts < '2024-01-05' and pos % 9 > 0"), log.where("ts < '2024-01-05' and pos % 9 = 0")]
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        days_stream(stream, stored, path, str(tmp_path / checkpoint), {"availableNow": True}).awaitTermination()
+
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(inbox)
+        run("first")
+    for _ in range(2):
+        assert summary_from_days(spark, path, FILTERS[0]).collect() == build_summary(log, FILTERS[0]).collect()
+        run("again")  # the same batches once more
+
+
+def test_events_sent_again_are_logged_once(spark, log, tmp_path):
+    inbox, path = str(tmp_path / "inbox"), str(tmp_path / "log")
+    for _ in range(2):
+        log.repartition(2).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        checkpoint = str(tmp_path / "checkpoint")
+        append_stream(stream, path, checkpoint, {"availableNow": True}, once=("pos",), watermark="30 days").awaitTermination()
+    got = event_log.read_events(spark, path).select(*log.columns)
+    assert got.count() == log.count() and got.exceptAll(log).count() == 0
+
+
 def test_percentiles_of_a_streamed_rollup(spark, log, tmp_path):
     """Sketches of closed days, from a stream, merged; ranks against the exact ones."""
     inbox, path = str(tmp_path / "inbox"), str(tmp_path / "rollup")

@@ -13,6 +13,7 @@ CHANNEL = "case o_orderstatus when 'P' then 'patch' when 'F' then 'production' e
 NUMBER = "concat(o_orderkey % 9, '.', o_orderkey % 7, '.', o_orderkey % 5)"
 DATE_TEXT = "concat(month(ts), '-', 1 + event_id % 28, '-', 1995 + event_id % 7)"
 VENDOR = "concat('NATION_', user_id % 30)"
+# Question patterns and the answer of an abstention.
 PATCH_VENDOR = r"patch\s+for\s+([^,.?]+?)(?:\s+on\s+|\s*[.?]|\s*$)"
 DATE = r"(\d{1,2})[-/](\d{1,2})[-/](\d{4})"
 INTENT = (
@@ -200,8 +201,15 @@ routing(
 
 
 def by_product(
-    name: str, requests: str, fallback: bool = True, *needs: str, corpus: str = "docs"
+    name: str, requests: str, fallback: bool = True, *needs: str, corpus: str = "docs", in_days: bool = False
 ) -> None:
+    far = "length(d.date_norm) >= 6"
+    gap = "abs(d.date_norm::int - r.date::int)"
+    if in_days:
+        day = "case when length({0}) = 8 then try_strptime({0}, '%Y%m%d') end"
+        theirs, asked = day.format("d.date_norm"), day.format("r.date")
+        far = f"({theirs}) is not null and ({asked}) is not null"
+        gap = f"abs(date_diff('day', {theirs}, {asked}))"
     cte(
         f"{name}_keyed",
         f"""select unnest(list_distinct(list_append(tags_lower, name_lower))) as key,
@@ -216,9 +224,8 @@ def by_product(
             partition by key, date order by rule, gap, ts_ms desc, pos) as rn
           from (select r.key, r.date, d.pos, d.ts_ms,
               case when r.date = '' then 2 when d.date_norm = r.date then -1
-                   when length(d.date_norm) >= 6 then 0 else 1 end as rule,
-              case when r.date <> '' and length(d.date_norm) >= 6
-                   then abs(d.date_norm::int - r.date::int) else 0 end as gap
+                   when {far} then 0 else 1 end as rule,
+              case when r.date <> '' and {far} then {gap} else 0 end as gap
             from {requests} r join {name}_keyed d on d.key = r.key)) b
           on b.key = r.key and b.date = r.date and b.rn = 1""",
         f"{name}_keyed",
@@ -289,6 +296,13 @@ for _feed in ("feed", "linux_feed"):
     cte(f"{_feed}_25", f"select * from {_feed} order by ts_ms desc, pos limit 25", _feed)
 
 by_product("product_pick", "requests", True, "requests")
+cte(
+    "repaired_docs",
+    r"""select * replace (substr(regexp_replace(regexp_replace(release_date, '\[[^\]]*\]', '', 'g'), '[^0-9]', '', 'g'), 1, 8)
+      as date_norm) from docs""",
+    "docs",
+)
+by_product("calendar_pick", "requests", True, "requests", corpus="repaired_docs", in_days=True)
 by_product("known_pick", "requests", False, "requests")
 by_vendor("vendor_pick", "requests", "feed", False, "requests")
 cte(
@@ -591,6 +605,7 @@ def statements() -> dict[str, str]:
             "releases",
         ),
         "release_by_product_date": sql("select key, date, pos from product_pick", "product_pick"),
+        "release_by_calendar_date": sql("select key, date, pos from calendar_pick", "calendar_pick"),
         "release_by_known_product": sql("select key, date, pos from known_pick", "known_pick"),
         "latest_release": sql(
             """select key, pos, version_number, release_date from (
@@ -822,6 +837,8 @@ def statements() -> dict[str, str]:
         "stream_answers_kept_up": known["stream_answers"],
         "month_summary_from_days": known["month_summary"],
         "filtered_summary_from_days": known["filtered_summary"],
+        "stream_month_summary": known["month_summary"],
+        "stream_event_log_once": known["stream_event_log"],
         "approximate_latency": sql(
             """select flow, quantile_disc(latency_ms, 0.5) as p50, quantile_disc(latency_ms, 0.95) as p95
             from month group by flow""",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import formatting as fmt
-from plumbline.functions.dates import date_digits
+from plumbline.functions.dates import date_digits, unbracketed
 from plumbline.operators import events as ev
 from plumbline.operators import lookups, questions, releases, summary, vendors
 from plumbline.operators.percentiles import approximate_percentiles, exact_percentiles
@@ -25,6 +25,7 @@ from plumbline.plans.partials import refresh_days, summary_from_days
 from plumbline.plans.summary import build_summary
 from plumbline.sources import event_log, landed
 from plumbline.streaming.answers import answer_stream
+from plumbline.streaming.days import days_stream
 from plumbline.streaming.prompts import current_prompts, prompts_stream
 from plumbline.streaming.rollup import (
     RANK_ERROR,
@@ -183,6 +184,13 @@ def release_by_known_product(spark, sf_dir):
     )
 
 
+@query
+def release_by_calendar_date(spark, sf_dir):
+    """Nearest by days, bracketed dates repaired."""
+    docs = views.releases(spark, sf_dir).withColumn("release_date", unbracketed(F.col("release_date")))
+    return lookups.product_release(views.requests(spark, sf_dir), docs, distance="days")
+
+
 @query
 def latest_release(spark, sf_dir):
     docs = views.releases(spark, sf_dir)
@@ -667,6 +675,33 @@ def stream_event_log(spark, sf_dir):
     return rows.select("pos", F.unix_millis("ts").alias("ts"), "status", "flow", "vendor")
 
 
+@query
+def stream_event_log_once(spark, sf_dir):
+    """A source that sends everything twice, in four micro-batches."""
+    inbox, path = new_folder(spark, "event-inbox"), new_folder(spark, "once-log")
+    events = views.answer_events(spark, sf_dir)
+    for _ in range(2):
+        events.repartition(2, "pos").write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    checkpoint = new_folder(spark, "once-checkpoint")
+    append_stream(stream, path, checkpoint, ONCE, once=("pos",), watermark="60 days").awaitTermination()
+    rows = event_log.read_events(spark, path)
+    return rows.select("pos", F.unix_millis("ts").alias("ts"), "status", "flow", "vendor")
+
+
+@query
+def stream_month_summary(spark, sf_dir):
+    """Stored days kept up by a stream, of which a part comes weeks late."""
+    inbox, log, days = (new_folder(spark, f"late-{name}") for name in ("inbox", "log", "days"))
+    events = views.answer_events(spark, sf_dir)
+    late = (F.to_date("ts") < F.date_sub(F.lit(AS_OF), 7)) & (F.col("pos") % 100 == 7)
+    for part in (events.where(~late), events.where(late)):
+        part.coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    days_stream(stream, log, days, new_folder(spark, "late-checkpoint"), ONCE).awaitTermination()
+    return flat_summary(summary_from_days(spark, days, MONTH))
+
+
 @query
 def stream_answers(spark, sf_dir):
     path = new_folder(spark, "answers")
