@@ -4,7 +4,10 @@ The words of a source form one stream, cut into blocks. A source's target says h
 the mix takes: whole passes over all its blocks and part of one more. Each such slot draws its
 output shard by a hash, so that the counts of a shard are a multinomial draw, conditioned on the
 totals that meet the targets. Slots are mapped to blocks through a pseudorandom permutation of
-the source's block numbers, another one for each pass, and joined to blocks by that number.
+the source's block numbers, another one for each pass, and joined to blocks by that number. The
+permutation is a swap-or-not shuffle: in each of some rounds, a number x and its mirror image
+(key - x) mod n change places or not, by a bit hashed from the larger of the two. It needs no
+table, and works for any n.
 
 Everything is built-in functions. No window and no generated sequence grows with a source: the
 places of texts in the stream are running sums within buckets on top of running sums over
@@ -14,6 +17,8 @@ since the optimizer takes generated rows for as few as they come from and would
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,8 +31,8 @@ WORD_AND_GAP = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Texts of a bucket of the stream, and slots of a generated chunk, about.
 BUCKET, CHUNK = 4096, 65_536
-#: Primes; one that does not divide a block count multiplies to a permutation of its numbers.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563)
+#: Rounds of the shuffle that permutes block numbers, and primes that numbers are hashed with.
+ROUNDS, P, Q, R = 24, 2147483647, 1000003, 998244353
 
 
 def n_words(text: Column) -> Column:
@@ -58,13 +63,30 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return levels.select("rank", "source", "source_size", target.alias("target"), "rows")
 
 
-def _permuted(index: Column, n: Column, rank: Column, turn: Column) -> Column:
-    """Number of a block: a permutation of 0 .. n-1 for each source and pass."""
-    usable = F.filter(F.array(*[F.lit(p).cast("bigint") for p in PRIMES]), lambda p: n % p != 0)
-    factor = F.element_at(usable, (F.pmod(rank * 7 + turn * 3, F.size(usable)) + 1).cast("int"))
-    shift = F.pmod((rank + 1) * F.lit(40503) + turn * F.lit(9973), n)
-    product = (factor % n).cast("decimal(18,0)") * index.cast("decimal(18,0)") + shift
-    return (product % n).cast("bigint")
+def _hashed(number: Column) -> Column:
+    """A number below ``R`` from one below 2**46; the same in SQL."""
+    mixed = (number % P * 48271 + 11) % P
+    return (mixed * mixed + 2718281) % P % R
+
+
+def _round_keys(n: Column, rank: Column, turn: int) -> Column:
+    """``(key, seed)`` of each round, for a source and a pass; ``key`` is below n."""
+    def of(r: Column) -> Column:
+        base = rank * Q + turn * 10007 + r * 101
+        seed = _hashed(base + 17)
+        return F.struct(((seed * R + _hashed(base + 59)) % n).alias("key"), seed.alias("seed"))
+
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(ROUNDS - 1).cast("bigint")), of)
+
+
+def permuted(index: Column, n: Column, keys: Column) -> Column:
+    """Number of a block: a permutation of 0 .. n-1 for each list of round keys."""
+    def swapped(x: Column, r: Column) -> Column:
+        other = (r["key"] - x + n) % n
+        chosen = F.shiftright(_hashed(F.greatest(x, other) + r["seed"]), 10) % 2 == 1
+        return F.when(chosen, other).otherwise(x)
+
+    return F.aggregate(keys, index, swapped)
 
 
 class Mix:
@@ -72,7 +94,7 @@ class Mix:
     ``size``."""
 
     def __init__(self, rows: DataFrame, block: int, shards: int, weights=WEIGHTS, share: float = 1.5, most: float = 2.0):
-        self.block = block
+        self.block, self.turns = block, math.ceil(most) + 1
         targets = stage(source_targets(rows, weights, share, most), "targets")
         words = F.col("source_size")
         passes = F.when(words > 0, F.floor(F.col("target") / words)).otherwise(0).cast("bigint")
@@ -87,19 +109,29 @@ class Mix:
 
     def _place(self, rows: DataFrame, targets: DataFrame) -> DataFrame:
         """``(row, doc_id, rank, size, start)``: where each text begins in its source's stream.
-        The order within a source is by bucket, then id, then size."""
+        The order within a source is by bucket, then id, then size. Texts equal in all three are
+        numbered where they were read, so a crowd of them is a row for each task in the window."""
         known = targets.select(
             F.col("source").alias("_source"), "rank", F.greatest(F.lit(1), F.expr(f"rows div {BUCKET}")).alias("buckets")
         )
-        spread = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2147483647)) * 48271, F.col("buckets"))
+        spread = _hashed(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(P)) * 48271 % P + F.col("size") * 40503) % F.col("buckets")
         rows = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).withColumn("bucket", spread)
-        sums = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
+        rows = rows.withColumn("part", F.shiftright("row", 33))  # the task that numbered it
+        same = ["rank", "bucket", "size", "part"]
+        chunks = rows.groupBy(*same, F.col("doc_id").alias("_id")).agg((F.count(F.lit(1)) * F.col("size")).alias("words"))
+        sums = chunks.groupBy("rank", "bucket").agg(F.sum("words").alias("words"))
         before = W.partitionBy("rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
         bases = sums.select("rank", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-        within = W.partitionBy("rank", "bucket").orderBy("doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
-        inside = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        placed = inside.join(bases, ["rank", "bucket"])
-        return placed.select("row", "doc_id", "rank", "size", (F.col("base") + F.col("inside")).alias("start"))
+        within = W.partitionBy("rank", "bucket").orderBy("_id", "size", "part").rowsBetween(W.unboundedPreceding, -1)
+        chunks = chunks.withColumn("inside", F.coalesce(F.sum("words").over(within), F.lit(0))).join(bases, ["rank", "bucket"])
+        chunks = chunks.select(*same, "_id", (F.col("base") + F.col("inside")).alias("begin"))
+        nth = F.row_number().over(W.partitionBy(*same, "doc_id").orderBy("row")) - 1
+        match = F.col("doc_id").eqNullSafe(F.col("_id"))
+        for c in same:
+            chunks = chunks.withColumnRenamed(c, f"_{c}")
+            match = match & (F.col(c) == F.col(f"_{c}"))
+        placed = rows.withColumn("nth", nth).join(chunks, match)
+        return placed.select("row", "doc_id", "rank", "size", (F.col("begin") + F.col("nth") * F.col("size")).alias("start"))
 
     def pieces(self) -> DataFrame:
         """``(rank, block, row, doc_id, size, first, words)``: what each text gives to each block."""
@@ -120,11 +152,17 @@ class Mix:
         ).repartition(int(some.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "chunk")
         begin = F.col("chunk") * CHUNK
         end = F.least(begin + CHUNK, F.col("n_slots")) - 1
-        slots = chunks.select("rank", "n_blocks", F.explode(F.sequence(begin, end)).alias("slot"))
-        slots = slots.withColumn("pass", F.expr("slot div n_blocks"))
-        number = _permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("rank"), F.col("pass"))
+        n = F.col("n_blocks")
+        turns = F.array(*[_round_keys(n, F.col("rank"), turn) for turn in range(self.turns)])
+
+        def placed(slot: Column) -> Column:
+            turn = F.floor(slot / n)
+            number = permuted(slot - turn * n, n, F.get("turns", turn.cast("int")))
+            return F.struct(slot.alias("slot"), turn.alias("pass"), number.alias("block"))
+
+        slots = chunks.withColumn("turns", turns).select("rank", F.inline(F.transform(F.sequence(begin, end), placed)))
         shard = F.pmod(F.xxhash64("rank", "slot"), F.lit(shards))
-        return slots.select("rank", "slot", "pass", number.alias("block"), shard.alias("shard"))
+        return slots.select("rank", "slot", "pass", "block", shard.alias("shard"))
 
     def shard_counts(self) -> DataFrame:
         """``(shard, rank, n)``: the blocks of each source in each output shard."""

@@ -244,6 +244,11 @@ def op13_periodic_runs(spark, sf_dir):
     )
 
 
+#: ``mixing._hashed`` in SQL, and what a round of the permutation is numbered by.
+_MIXED = f"((({{0}}) % {mixing.P} * 48271 + 11) % {mixing.P})"
+_HASHED = f"(({_MIXED} * {_MIXED} + 2718281) % {mixing.P} % {mixing.R})"
+_ROUND = f"rank * {mixing.Q} + turn * 10007 + r * 101"
+
 SQL = {
     "op3_exact_dedup": f"""
 with digests as (
@@ -299,19 +304,20 @@ with sizes as (
 ), placed as (
     select doc_id, size, q.rank, q.source_size, q.target, q.n_blocks, q.passes, q.rest,
         sum(size) over (partition by q.rank order by
-            ((coalesce(doc_id, 0) % 2147483647 + 2147483647) % 2147483647 * 48271) % greatest(1, n_rows // {mixing.BUCKET}),
+            {_HASHED.format(f"(coalesce(doc_id, 0) % {mixing.P} + {mixing.P}) % {mixing.P} * 48271 % {mixing.P} + size * 40503")}
+                % greatest(1, n_rows // {mixing.BUCKET}),
             doc_id, size rows unbounded preceding) - size as first
     from sizes s join quotas q on s.source is not distinct from q.source
-), factors as (
-    select rank, turn, n_blocks,
-        list_filter([{", ".join(f"{p}::bigint" for p in mixing.PRIMES)}], lambda p: n_blocks % p <> 0) as usable
+), rounds as (
+    select rank, turn, n_blocks, list_transform(range({mixing.ROUNDS}), lambda r: {_HASHED.format(_ROUND + " + 17")}) as seeds,
+        list_transform(range({mixing.ROUNDS}), lambda r:
+            ({_HASHED.format(_ROUND + " + 17")} * {mixing.R} + {_HASHED.format(_ROUND + " + 59")}) % n_blocks) as keys
     from quotas, (select unnest([0, 1, 2]) as turn) where n_blocks > 0
 ), slots as (
-    select f.rank, cast((
-        cast(usable[cast((f.rank * 7 + turn * 3) % len(usable) + 1 as bigint)] as hugeint) * j
-        + ((f.rank + 1) * 40503 + turn * 9973) % f.n_blocks
-    ) % f.n_blocks as bigint) as block
-    from factors f join quotas q on f.rank = q.rank,
+    select f.rank, list_reduce(list_prepend(j, range({mixing.ROUNDS})), lambda x, r:
+        case when ({_HASHED.format("greatest(x, (keys[r + 1] - x + f.n_blocks) % f.n_blocks) + seeds[r + 1]")} >> 10) % 2 = 1
+        then (keys[r + 1] - x + f.n_blocks) % f.n_blocks else x end) as block
+    from rounds f join quotas q on f.rank = q.rank,
         unnest(range(case when turn < passes then q.n_blocks when turn = passes then q.rest else 0 end)) t(j)
 ), times as (
     select rank, block, count(*) as times from slots group by all

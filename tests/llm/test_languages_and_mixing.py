@@ -172,12 +172,40 @@ def test_blocks_are_permuted_and_shards_drawn(docs, spark):
     assert {r["shard"] for r in counts} == set(range(5))
 
 
+def permutation(spark, n, rank=0, turn=0):
+    size = F.lit(n).cast("bigint")
+    block = mixing.permuted(F.col("id"), size, mixing._round_keys(size, F.lit(rank).cast("bigint"), turn))
+    return [r[0] for r in spark.range(n).select("id", block).orderBy("id").select(block).collect()]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 1000])
 def test_permutations(spark, n):
-    for rank in range(3):
-        for turn in range(2):
-            index = mixing._permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit(rank), F.lit(turn))
-            assert sorted(r[0] for r in spark.range(n).select(index).collect()) == list(range(n))
+    found = {(rank, turn): permutation(spark, n, rank, turn) for rank in range(2) for turn in range(2)}
+    assert all(sorted(blocks) == list(range(n)) for blocks in found.values())
+    assert n < 64 or len(set(map(tuple, found.values()))) == 4
+
+
+def test_permutations_have_no_long_runs(spark):
+    """Neighbouring slots are not neighbouring blocks, nor a constant step apart, for any count; and a
+    part of a pass draws from all parts of a source."""
+    for n in (500, 2187, 4096, 10261):
+        blocks = permutation(spark, n)
+        steps = [(b - a) % n for a, b in zip(blocks, blocks[1:])]
+        assert max(steps.count(s) for s in set(steps[:200])) < 12
+        assert sum(s in (1, n - 1) for s in steps) < 12
+        first = blocks[: n // 4]
+        quarters = [sum(q * n // 4 <= b < (q + 1) * n // 4 for b in first) for q in range(4)]
+        assert min(quarters) > 0.15 * len(first) and max(quarters) < 0.35 * len(first)
+
+
+def test_a_crowd_without_ids_is_spread(docs, monkeypatch):
+    """Equal rows are a row for each task in the windows; reruns take the same."""
+    monkeypatch.setattr(mixing, "BUCKET", 64)
+    rows = [(None, "w " * 20, "en", "a")] * 1500 + [(None, "w " * (i % 90), "en", "a") for i in range(600)] + [(i, "x y", "en", "b") for i in range(50)]
+    taken = [sorted(map(tuple, mixing.mix_documents(docs(*rows, partitions=n), block=8).collect()), key=repr) for n in (3, 5)]
+    assert taken[0] == taken[1] and len(taken[0]) == len(rows)
+    words = sum(t[4] for t in taken[0] if t[2] > 100)
+    assert abs(words - next(t[3] for t in taken[0] if t[2] > 100)) <= 16
 
 
 def test_nothing_to_mix(docs):
