@@ -34,8 +34,8 @@ def test_run_equals_plain_stages(spark):
     reader = language_id.Reader(model, 8.0)
     plain = []
     for doc_id, text, _, source, _ in rows_of(docs):
-        lang, score, _ = reader.judge(text or "")
-        if lang != "und" and score >= corpus_pipeline.SURE:
+        lang, _, _, known = reader.judge_known(text or "")
+        if lang != "und" and known >= corpus_pipeline.SURE:
             plain.append((doc_id, text, lang, source))
     assert sorted((r[0], r[2]) for r in rows_of(WORK["language_id"](spark, docs, SF))) == sorted((r[0], r[2]) for r in plain)
 
