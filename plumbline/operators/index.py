@@ -92,44 +92,63 @@ def date_entries(releases: DataFrame) -> DataFrame:
     return _explode(match_columns(releases), entries)
 
 
-def _named(lookup: str) -> Callable[[Column], Column]:
-    return lambda entry: entry.withField("lookup", F.lit(lookup))
-
-
 def all_entries(releases: DataFrame, wanted: dict[str, Column], match: str = "first_tag") -> DataFrame:
     """The entries of the three lookups, by ``lookup``, from one pass over the releases.
     ``wanted`` holds, in the order product, vendor, date, the name of each lookup and the
-    condition on releases that it may choose."""
+    condition on releases that it may choose.
+
+    A release is exploded to plain texts, sorts of entries behind one another, and a row finds its sort by
+    its number: lists of whole entries would be built by interpreted functions, element by element."""
     flags = {f"in_{n}": F.coalesce(c, F.lit(False)) for n, c in enumerate(wanted.values())}
     docs = match_columns(releases, **flags)
-    names = F.array_compact(F.array_distinct(F.concat(F.array("name_lower"), F.col("tags_lower"))))
-    products = F.transform(names, lambda k: _entry(k, BY_DATE, F.col("date_norm"), F.col("newest")))
-
-    def of_patch(key: Column) -> Column:
-        return F.array(
-            _entry(key, BY_DATE, F.col("date_norm"), _first()),
-            _entry(key, NEWEST, F.lit(""), F.col("newest")),
-        )
-
+    stem = F.substring(undashed(F.col("release_date")), 1, 8)
+    docs = docs.withColumns({"earliest": _first(), "stem": stem, "head": first_tag(F.col("tags_lower"))})
+    product, vendor, date = zip(wanted, map(F.col, flags))
+    is_patch = (vendor[0], vendor[1] & has_tag(F.col("tags_lower"), PATCH))
+    item, blank, one = F.col("item"), F.lit(""), F.array(F.lit(""))
+    date_norm, newest, earliest = F.col("date_norm"), F.col("newest"), F.col("earliest")
+    nulls = F.array(F.lit(None).cast("string"))
+    names = F.array_except(F.concat(F.array("name_lower"), F.col("tags_lower")), nulls)  # each once
+    # By sort: the lookup, the condition, the texts, and of each text the entry.
+    sorts = [
+        (*product, one, item, CORPUS, blank, earliest),
+        (*product, names, item, BY_DATE, date_norm, newest),
+        (*vendor, one, item, CORPUS, blank, earliest),
+    ]
     if match == "first_tag":
-        first = first_tag(F.col("tags_lower"))
         dates = F.filter(F.col("tags"), lambda t: t.rlike(r"\A[0-9]{1,8}\z"))
-        tagged = F.transform(dates, lambda t: _entry(first, BY_TAG, t, _first()))
-        patches = F.concat(of_patch(first), F.coalesce(tagged, F.filter(of_patch(first), lambda e: F.lit(False))))
+        keys, tagged = F.array("head"), [(*is_patch, dates, F.col("head"), BY_TAG, item, earliest)]
     else:
-        fields = F.array_distinct(F.concat("tags_lower", F.array("name_lower", "brand_lower")))
-        patches = F.flatten(F.transform(F.array_compact(fields), of_patch))
-    is_patch = has_tag(F.col("tags_lower"), PATCH)
-    stem = F.substring(undashed(F.col("release_date")), 1, 8)
-    dated = F.array(
-        _entry(F.lit(""), BY_DATE, stem, _first()), _entry(F.lit(""), NEWEST, F.lit(""), F.col("newest"))
+        keys, tagged = F.array_except(F.concat("tags_lower", F.array("name_lower", "brand_lower")), nulls), []
+    sorts += [(*is_patch, keys, item, BY_DATE, date_norm, earliest), (*is_patch, keys, item, NEWEST, blank, newest), *tagged]
+    sorts += [
+        (*date, one, item, CORPUS, blank, earliest),
+        (*date, one, item, BY_DATE, F.col("stem"), earliest),
+        (*date, one, item, NEWEST, blank, newest),
+    ]
+    none = F.array().cast("array<string>")
+    texts = {f"of_{n}": F.when(chosen, F.coalesce(items, none)).otherwise(none) for n, (_, chosen, items, *_) in enumerate(sorts)}
+    carried = ["date_norm", "newest", "earliest", "stem", "head"]
+    sizes = [F.size(c) for c in texts]
+    ends = [sum(sizes[1 : n + 1], sizes[0]).alias(f"end_{n}") for n in range(len(sizes) - 1)]
+    rows = docs.select(*carried, *[c.alias(name) for name, c in texts.items()])
+    rows = rows.select(*carried, *ends, F.concat(*texts).alias("items"))
+    rows = rows.select(*carried, *[f"end_{n}" for n in range(len(ends))], F.posexplode("items").alias("number", "item"))
+
+    def by_sort(values: list[Column]) -> Column:
+        told = F
+        for n, value in enumerate(values[:-1]):
+            told = told.when(F.col("number") < F.col(f"end_{n}"), value)
+        return told.otherwise(values[-1])
+
+    lookups, _, _, keys, rules, on, orders = zip(*sorts)
+    return rows.select(
+        by_sort(keys).alias("key"),
+        by_sort([F.lit(r) for r in rules]).alias("rule"),
+        by_sort(on).alias("date"),
+        by_sort(orders).alias("order"),
+        by_sort([F.lit(name) for name in lookups]).alias("lookup"),
     )
-    parts = []
-    for (lookup, flag), own in zip(zip(wanted, flags), (products, F.when(is_patch, patches), dated)):
-        counted = F.concat(F.array(_corpus()), F.coalesce(own, F.filter(F.array(_corpus()), lambda e: F.lit(False))))
-        chosen = F.when(F.col(flag), counted).otherwise(F.filter(counted, lambda e: F.lit(False)))
-        parts.append(F.transform(chosen, _named(lookup)))
-    return docs.select(F.explode(F.concat(*parts)).alias("e")).select("e.*")
 
 
 def fold_entries(entries: DataFrame, *also_by: str) -> DataFrame:

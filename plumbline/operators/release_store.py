@@ -231,15 +231,26 @@ class ReleaseStore:
         ]
         rows = changed.where(F.col("pos").isNotNull())
         if sequence is None:
-            return rows.select(*columns).dropDuplicates(["pos"])
+            return rows.select(*columns)
         last = rows.groupBy("pos").agg(F.max(F.col(sequence)).alias("_last"))
         rows = rows.join(last, "pos").where(F.col(sequence).eqNullSafe(F.col("_last")))
-        return rows.select(*columns).dropDuplicates(["pos"])
+        return rows.select(*columns)
+
+    def _once(self, rows: DataFrame) -> DataFrame:
+        """Staged rows, one of each position. Just those of positions that come again are sorted and
+        folded with their texts; the others stay as they were staged."""
+        again = rows.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("pos")
+        again = stage(again, "repeated")
+        if again.isEmpty():
+            return rows
+        again = join_side(again)
+        folded = rows.join(again, "pos", "left_semi").dropDuplicates(["pos"])
+        return stage(rows.join(again, "pos", "left_anti").unionByName(folded), "added-once")
 
     def _applied(self, before: Snapshot, changed, removed, delta, sequence) -> Snapshot:
         if before.schema is None and changed is None:
             raise ValueError("the first change has to bring releases")
-        added = stage(self._fitted(changed, before.schema, sequence), "added")
+        added = self._once(stage(self._fitted(changed, before.schema, sequence), "added"))
         schema, segment = before.schema or added.schema, before.version + 1
         before = Snapshot(self, before.version, before.delta, schema, before.parts)
         positions = added.select("pos")

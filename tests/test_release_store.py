@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import release_store as stores
 from plumbline.operators.index import fold_entries
 from plumbline.plans.answer import Options, answer_questions, build_index, release_store
 from plumbline.streaming.upkeep import release_stream
@@ -136,3 +137,22 @@ def test_a_stream_of_changes(spark, tmp_path):
         release_stream(stream, store, str(tmp_path / "checkpoint"), "seq", {"availableNow": True}).awaitTermination()
     assert store.snapshot().version == 1
     assert rows_of(store.snapshot().index()) == rows_of(build_index(docs.where("pos % 7 <> 0")))
+
+
+def test_a_change_sorts_no_texts_where_positions_come_once(spark, releases, tmp_path, monkeypatch):
+    plans, stage = {}, stores.stage
+
+    def staged(df, label, *more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, label, *more)
+
+    monkeypatch.setattr(stores, "stage", staged)
+    store = release_store(spark, str(tmp_path / "store"), span=10, buckets=4)
+    store.apply(releases(*[{"pos": p, "name": "a", "tags": ["a", "patch"]} for p in range(30)]))
+    assert "Aggregate" not in plans["added"] and "added-once" not in plans
+    assert "named_struct" not in plans["plus"]  # entries are not built by functions of list elements
+    twice = [{"pos": p, "name": n, "tags": ["b"]} for p in (1, 2, 2, 40) for n in ("b", "b")]
+    snapshot = store.apply(releases(*twice))
+    kept = sorted((r["pos"], r["name"]) for r in snapshot.releases().collect())
+    assert kept == sorted((p, "b" if p in (1, 2, 40) else "a") for p in [*range(30), 40])
+    assert rows_of(snapshot.index()) == rows_of(build_index(snapshot.releases()))
