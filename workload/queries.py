@@ -720,18 +720,19 @@ def stream_answers(spark, sf_dir):
 
 @query
 def stream_answers_kept_up(spark, sf_dir):
-    """The releases come as a stream of changes, three files and so three micro-batches, into a
-    store that a stream of questions reads."""
+    """The releases come as a stream of changes, three deliveries of as many files as they need and so
+    three micro-batches, into a store that a stream of questions reads."""
     docs = views.releases(spark, sf_dir)
     before, inbox = outdated(docs), new_folder(spark, "release-inbox")
     later = docs.where("pos % 3 = 0 or pos % 5 = 1")
     removals = before.where(F.col("pos") >= STRAY).withColumn("removed", F.lit(True))
     present = F.lit(False).alias("removed")
-    for rows in (before.select("*", present), later.select("*", present), removals):
-        rows.coalesce(1).write.mode("append").parquet(inbox)
     store = release_store(spark, new_folder(spark, "stream-releases"), span=100_000, buckets=16)
-    changes = spark.readStream.schema(removals.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    release_stream(changes, store, new_folder(spark, "release-checkpoint"), trigger=ONCE).awaitTermination()
+    checkpoint = new_folder(spark, "release-checkpoint")
+    for rows in (before.select("*", present), later.select("*", present), removals):
+        rows.write.mode("append").parquet(inbox)
+        changes = spark.readStream.schema(removals.schema).parquet(inbox)
+        release_stream(changes, store, checkpoint, trigger=ONCE).awaitTermination()
     path = new_folder(spark, "kept-up-answers")
     answer_stream(
         views.questions_from(_event_stream(spark, sf_dir)),
