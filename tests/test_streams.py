@@ -1,3 +1,8 @@
+import datetime as dt
+from pathlib import Path
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from plumbline.plans.answer import answer_questions
@@ -6,7 +11,7 @@ from plumbline.operators.events import last_prompts
 from plumbline.operators.percentiles import approximate_percentiles
 from plumbline.streaming.prompts import current_prompts, prompts_stream
 from plumbline.streaming.rollup import append_stream, daily_rollup, rollup_by_day, write_rollup
-from workload import views
+from workload import queries, views
 
 SF = "/root/testdata/sf0.001"
 ONCE = {"availableNow": True}
@@ -146,3 +151,29 @@ def test_days_of_the_stream_the_log_and_the_summary_agree(spark, tmp_path):
             assert {str(r["day"]): r["total"] for r in closed} == {d: n for d, n in want.items() if d < "2024-01-20"}
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_deliveries_are_spread_over_files(spark, tmp_path, monkeypatch):
+    """As many micro-batches as deliveries, each of more than one file."""
+    day = dt.datetime(2024, 1, 5)
+    tables = {
+        "nation": [{"n_nationkey": n, "n_name": f"NATION_{n}"} for n in range(25)],
+        "customer": [{"c_custkey": n, "c_mktsegment": "A", "c_nationkey": n % 25} for n in range(30)],
+        "orders": [
+            {"o_orderkey": n, "o_custkey": n % 30, "o_orderstatus": "PFO"[n % 3], "o_orderdate": dt.date(1995, 1, 1 + n % 28),
+             "o_orderpriority": "1-URGENT"} for n in range(200)
+        ],
+        "events": [{"event_id": n, "ts": day, "user_id": n % 40} for n in range(300)],
+    }
+    for name, rows in tables.items():
+        pq.write_table(pa.Table.from_pylist(rows), tmp_path / f"{name}.parquet")
+    made, new_folder = {}, queries.new_folder
+    monkeypatch.setattr(queries, "new_folder", lambda s, label: made.setdefault(label, new_folder(s, label)))
+
+    def inside(label, pattern):
+        return len(list(Path(made[label].removeprefix("file:")).glob(pattern)))
+
+    queries.all_queries()["stream_answers_logged"](spark, str(tmp_path))
+    assert inside("inbox", "part-*") > 4 and inside("logged-answers", "batch=*") == 4
+    queries.all_queries()["stream_answers_kept_up"](spark, str(tmp_path))
+    assert inside("release-inbox", "part-*") > 3 and inside("release-checkpoint", "commits/[0-9]*") == 3

@@ -749,11 +749,13 @@ def stream_answers_kept_up(spark, sf_dir):
 
 @query
 def stream_answers_logged(spark, sf_dir):
-    """The questions arrive in four files, a micro-batch each; what their events tell."""
+    """The questions arrive in four deliveries, a micro-batch each; what their events tell. A delivery
+    has a file for every core, since a file is read, and its batch answered, by few tasks."""
     inbox, path = new_folder(spark, "inbox"), new_folder(spark, "logged-answers")
     asked_ = views.questions(spark, sf_dir)
-    asked_.repartition(4, "question_id").write.parquet(inbox)
-    stream = spark.readStream.schema(asked_.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    files = spark.sparkContext.defaultParallelism
+    asked_.repartition(4 * files, "question_id").write.parquet(inbox)
+    stream = spark.readStream.schema(asked_.schema).option("maxFilesPerTrigger", files).parquet(inbox)
     log = new_folder(spark, "logged-events")
     answer_stream(
         stream,
