@@ -83,6 +83,46 @@ def test_words_are_forgotten_not_confused(model, monkeypatch):
     assert np.array_equal(reader.matrix(words), np.concatenate([reader.score([w]) for w in words]))
 
 
+def plain_look(model, word):
+    """Scores and fits of a word, n-gram by n-gram."""
+    rows = [model.rows.get(g) for g in language_id.grams(word)]
+    candidates = model.scripts.get(language_id.script(word), np.zeros(len(model.languages), dtype=bool))
+    total = sum((model.weights[r].astype(np.float64) for r in rows if r is not None), np.zeros(len(candidates)))
+    scores = np.maximum(np.where(candidates, total, -np.inf) - total[candidates].max(initial=-np.inf), -language_id.FLOOR)
+    longer = rows[len(word) :]
+    met = sum((model.weights[r] > model.unmet + 0.5 for r in longer if r is not None), np.zeros(len(candidates), dtype=int))
+    return scores if candidates.any() else 0.0 * total, (2 * met >= len(longer)) & candidates
+
+
+def test_words_are_looked_at_as_one_by_one(model):
+    words = ["a", "the", "house", "élan", "straße", "मराठी", "мир", "漢", "𐐨𐐩", "zzzzqq", "ǆ", "i̇stanbul", "word" * 9]
+    scores, fits = language_id.Reader(model, 8.0).look(words)
+    for word, score, fit in zip(words, scores, fits):
+        plain_score, plain_fit = plain_look(model, word)
+        assert score == pytest.approx(plain_score, abs=1e-3) and fit.tolist() == plain_fit.tolist()
+    assert fits.any() and not fits.all()
+
+
+def test_texts_are_judged_together_as_one_by_one(model, monkeypatch):
+    """Also when they are cut into small parts; no word is taken apart by interpreted code."""
+    rng = random.Random(5)
+    some = ["the", "house", "maison", "und", "nicht", "élan", "мир", "12", "漢字", "-"]
+    texts = ["", "12 %"]
+    for _ in range(40):
+        new = ["".join(rng.choices("abdeñoß", k=rng.randint(1, 9))) for _ in range(20)]
+        texts.append(" ".join(rng.choices(some + new, k=60)))
+    want = [language_id.Reader(model, 8.0).judge_known(t) for t in texts]
+    for word in {w for t in texts for w in language_id.words_of(t)}:
+        assert language_id.words_of(word.upper()) == language_id.WORDS(word.upper().lower())
+    monkeypatch.setattr(language_id, "grams", None)
+    assert language_id.Reader(model, 8.0).judge_all(texts) == want
+    monkeypatch.setattr(language_id, "WORDS_AT_ONCE", 100)
+    monkeypatch.setattr(language_id, "LETTERS", 7)
+    monkeypatch.setattr(language_id, "REMEMBERED", 90)
+    assert language_id.Reader(model, 8.0).judge_all(texts) == want
+    assert [language_id.Reader(model, 8.0).judge(t) for t in texts] == [w[:3] for w in want]
+
+
 # -- mixing --------------------------------------------------------------------------------
 
 
